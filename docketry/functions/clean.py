@@ -13,9 +13,10 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def lookup(key: Column, table: dict) -> Column:
-    """Value of `key` in a small constant table; NULL when absent."""
-    chain = reduce(lambda w, kv: w.when(key == kv[0], F.lit(kv[1])), table.items(), F)
-    return chain.otherwise(F.lit(None)) if table else F.lit(None)
+    """Value of `key` in a small constant table; NULL when absent. The table is one literal,
+    so the key expression is evaluated once and not once per entry."""
+    entries = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def text(c: Column) -> Column:

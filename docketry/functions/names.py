@@ -43,12 +43,19 @@ def fold_ascii(c: Column) -> Column:
     table = F.map_from_arrays(
         F.split(F.lit("\t".join(several)), "\t"), F.split(F.lit("\t".join(several.values())), "\t")
     )
-    spread = F.array_join(
-        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+    beyond = r"[^\x00-\x7F]"
+    once = F.translate(c, source, target)
+    # What is still not ASCII is rare: each distinct such character is looked up once.
+    rest = F.array_distinct(F.split(F.regexp_replace(once, r"[\x00-\x7F]+", ""), ""))
+    spread = F.aggregate(
+        rest,
+        once,
+        lambda text, ch: F.when(ch == "", text).otherwise(
+            F.replace(text, ch, F.coalesce(F.try_element_at(table, ch), F.lit("")))
+        ),
     )
-    whole = F.when(c.rlike("[" + "".join(several) + "]"), spread).otherwise(c)
-    folded = F.regexp_replace(F.translate(whole, source, target), r"[^\x00-\x7F]", "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+    folded = F.when(once.rlike(beyond), spread).otherwise(once)
+    return F.when(c.rlike(beyond), folded).otherwise(c)
 
 
 def normalize_name(c: Column) -> Column:

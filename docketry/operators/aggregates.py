@@ -16,12 +16,18 @@ from docketry.functions.rules import role_group
 from docketry.operators.ordering import best_per_key
 from docketry.operators.percentiles import exact_percentiles
 
-CERTIFIED = F.col("case_status") == fixed.CERTIFIED
-PAY_OK = CERTIFIED & F.col("full_time") & F.col("wage_valid")
 PAY_BAND = 1000.0  # histogram band: plausible pay spans fewer than a thousand bands
 QUARTILES = {"wage_p25": 0.25, "wage_median": 0.5, "wage_p75": 0.75}
 
 
+def certified() -> Column:
+    return F.col("case_status") == fixed.CERTIFIED
+
+
+def pay_counts() -> Column:
+    return F.col("full_time") & F.col("wage_valid")
+
+
 def count_where(cond: Column) -> Column:
     return F.count_if(cond).cast("int")
 
@@ -70,8 +76,8 @@ def last_years(cases: DataFrame, n: int = 2) -> DataFrame:
 def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
     """Counts, stated workers, pay quartiles, level mix and flags per entity and year."""
     keys = [key, "fiscal_year"]
-    workers = F.when(F.count_if(CERTIFIED) == 0, F.lit(0)).otherwise(
-        F.sum(F.when(CERTIFIED, F.col("total_workers")))
+    workers = F.when(F.count_if(certified()) == 0, F.lit(0)).otherwise(
+        F.sum(F.when(certified(), F.col("total_workers")))
     )
     levels = {
         "level_i": "I", "level_ii": "II", "level_iii": "III", "level_iv": "IV",
@@ -79,16 +85,16 @@ def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
     }
     counts = cases.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("filed"),
-        count_where(CERTIFIED).alias("certified"),
+        count_where(certified()).alias("certified"),
         count_where(F.col("case_status").isin(*fixed.WITHDRAWN_GROUP)).alias("withdrawn"),
         count_where(F.col("case_status") == fixed.DENIED).alias("denied"),
         workers.cast("int").alias("certified_workers"),
-        *[count_where(CERTIFIED & (F.col("level") == v)).alias(c) for c, v in levels.items()],
+        *[count_where(certified() & (F.col("level") == v)).alias(c) for c, v in levels.items()],
         F.bool_or("h1b_dependent").alias("h1b_dependent"),
         F.bool_or("willful_violator").alias("willful_violator"),
     )
     pay = exact_percentiles(
-        cases.where(PAY_OK), keys, F.col("wage_annual"), QUARTILES, "wage_rows", PAY_BAND
+        cases.where(certified() & pay_counts()), keys, F.col("wage_annual"), QUARTILES, "wage_rows", PAY_BAND
     )
     return (
         counts.join(pay, keys, "left")
@@ -107,11 +113,11 @@ def entity_year_role(cases: DataFrame, key: str = "employer_id") -> DataFrame:
     keys = [key, "fiscal_year", "role_group"]
     latest = cases.agg(F.max("fiscal_year").alias("_latest"))
     recent = (
-        cases.where(CERTIFIED)
+        cases.where(certified())
         .join(F.broadcast(latest), F.col("fiscal_year") >= F.col("_latest") - 1)  # one row
         .drop("_latest")
     )
-    pay = F.col("full_time") & F.col("wage_valid")
+    pay = pay_counts()
     counts = recent.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("certified"),
         count_where(F.col("level") == "I").alias("level_i"),
@@ -144,11 +150,11 @@ def top_values(
     each = F.explode(
         F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in kinds.items()])
     )
-    certified = cases.where(CERTIFIED)
-    latest = certified.groupBy(key).agg(F.max("fiscal_year").alias("fiscal_year"))
+    chosen = cases.where(certified())
+    latest = chosen.groupBy(key).agg(F.max("fiscal_year").alias("fiscal_year"))
     # Count first: the join then carries one row per value instead of one per case.
     counted = (
-        certified.select(key, "fiscal_year", each.alias("_v"))
+        chosen.select(key, "fiscal_year", each.alias("_v"))
         .select(key, "fiscal_year", "_v.kind", "_v.value")
         .where(F.col("value").isNotNull())
         .groupBy(key, "fiscal_year", "kind", "value")
@@ -162,9 +168,9 @@ def top_values(
 
 def fact_cube(cases: DataFrame, key: str = "employer_id") -> DataFrame:
     """Certified counts and pay sums per entity, year, role, worksite state and level."""
-    pay = F.col("full_time") & F.col("wage_valid")
+    pay = pay_counts()
     return (
-        cases.where(CERTIFIED)
+        cases.where(certified())
         .groupBy(
             key,
             "fiscal_year",
@@ -202,7 +208,7 @@ def entry_signal(
     )
     entry = F.col("role_group").isin(*roles) & F.col("level").isin(*fixed.ENTRY_LEVELS)
     signal = (
-        cases.where(CERTIFIED)
+        cases.where(certified())
         .join(F.broadcast(last2), "fiscal_year", "left_semi")  # two rows
         .groupBy(key)
         .agg(count_where(entry).alias("entry_lcas"), F.count(F.lit(1)).cast("int").alias("certified_all"))

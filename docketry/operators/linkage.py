@@ -15,7 +15,11 @@ from docketry.operators.ordering import dense_index
 from docketry.operators.slugs import assign_slugs
 
 KEY = ["norm", "state", "tax4"]
-APPROVALS = F.col("initial_approvals") + F.col("continuing_approvals")
+
+
+def approvals():
+    """Initial and continuing approvals; unknown when either is."""
+    return F.col("initial_approvals") + F.col("continuing_approvals")
 
 
 def registry_entities(registry: DataFrame) -> DataFrame:
@@ -31,7 +35,7 @@ def registry_entities(registry: DataFrame) -> DataFrame:
 
     return (
         registry.where(F.col("employer_name").isNotNull())
-        .withColumns({"norm": normalize_name(F.col("employer_name")), "_approvals": APPROVALS})
+        .withColumns({"norm": normalize_name(F.col("employer_name")), "_approvals": approvals()})
         .where(F.col("norm") != "")
         .groupBy(*KEY)
         .agg(by_most("employer_name"), by_most("city"), F.sum("_approvals").alias("approvals"))
@@ -167,6 +171,6 @@ def link_rates(final: DataFrame, registry: DataFrame) -> DataFrame:
     )
     unnamed = registry.where(F.col("employer_name").isNull()).agg(
         F.count(F.lit(1)).alias("unnamed_rows"),
-        F.coalesce(F.sum(APPROVALS), F.lit(0)).alias("unnamed_approvals"),
+        F.coalesce(F.sum(approvals()), F.lit(0)).alias("unnamed_approvals"),
     )
     return rates.crossJoin(unnamed)  # two one-row tables

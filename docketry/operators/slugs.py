@@ -55,20 +55,27 @@ def assign_slugs(
         judged = cut_lineage(
             asked.join(best, "_slug").withColumn("_lost", F.col("_rank") != F.col("_best"))
         )
-        if judged.where("_lost").isEmpty():
+        # Two counts come back: who lost, and who asks for a numbered slug next.
+        after = F.col("_k") + F.col("_lost").cast("int")
+        lost, numbered = judged.agg(
+            F.count_if("_lost"), F.count_if(after >= F.size("_choices"))
+        ).first()
+        if lost == 0:
             return df.join(
                 judged.select(F.col("_rank").alias(rank), F.col("_slug").alias(out)), rank
             )
-        state = _advance(judged)
+        state = _advance(judged, numbered > 0)
 
 
-def _advance(judged: DataFrame) -> DataFrame:
+def _advance(judged: DataFrame, any_numbered: bool) -> DataFrame:
     """Losers move to their next choice; numbered entities move up together."""
     cols = ["_rank", "_choices", "_stem", "_k", "_num"]
     named = F.col("_k") < F.size("_choices")
     moved = judged.withColumn("_was_numbered", ~named).withColumn(
         "_k", F.when(F.col("_lost") & named, F.col("_k") + 1).otherwise(F.col("_k"))
     )
+    if not any_numbered:
+        return moved.select(*cols)
     numbered = F.col("_k") >= F.size("_choices")
     rest = moved.where(~numbered).select(*cols)
     line = position_in_key(

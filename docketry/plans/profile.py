@@ -9,7 +9,9 @@ from docketry import fixed
 from docketry.operators.links import partners_of
 from docketry.operators.ordering import best_per_key
 
-BY_VOLUME = [F.desc_nulls_last("certified_total"), F.asc("display_name"), F.asc("slug")]
+
+def by_volume() -> list[Column]:
+    return [F.desc_nulls_last("certified_total"), F.asc("display_name"), F.asc("slug")]
 
 
 def profile(tables: dict[str, DataFrame], slug: str) -> dict[str, DataFrame]:
@@ -34,7 +36,7 @@ def profile(tables: dict[str, DataFrame], slug: str) -> dict[str, DataFrame]:
         "top": mine("agg_lca_year_top", F.asc("fiscal_year"), F.asc("kind"), F.asc("rank")),
         "aliases": mine("agg_aliases", F.desc("rows"), F.asc("name")),
         "signal": mine("agg_entry_signal", F.asc("role_selection")),
-        "links": employers.join(partners, "employer_id").orderBy(*BY_VOLUME),
+        "links": employers.join(partners, "employer_id").orderBy(*by_volume()),
         "similar": similar_employers(employers, me),
         "group": group_page(tables["agg_groups"], employers, group),
     }
@@ -50,7 +52,7 @@ def similar_employers(
     """
     placed = F.col("naics").isNotNull() & F.col("state").isNotNull()
     top = best_per_key(
-        employers.where(placed & F.col("has_lca")), ["naics", "state"], BY_VOLUME, n + 1, "_place"
+        employers.where(placed & F.col("has_lca")), ["naics", "state"], by_volume(), n + 1, "_place"
     )
     mine = (employers if asked is None else asked).where(placed).select(
         F.col("employer_id").alias("asked_id"), "naics", "state"
@@ -75,7 +77,7 @@ def group_page(groups: DataFrame, employers: DataFrame, asked: DataFrame) -> Dat
         groups.select("group_slug", "group_name", "evidence_url", "reviewed_on", "employer_id")
         .join(asked, "group_slug", "left_semi")
         .join(employers, "employer_id")
-        .orderBy("group_slug", *BY_VOLUME)
+        .orderBy("group_slug", *by_volume())
     )
 
 

@@ -40,7 +40,7 @@ def _candidates(forms: DataFrame, asked: DataFrame) -> DataFrame:
                 F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))
             ).alias("by_df")  # a name's own trigrams
         )
-        keep = F.col("size") - F.ceil(F.col("size") * fixed.TRIGRAM_THRESHOLD) + 1
+        keep = F.col("size") - F.ceil(F.col("size") * fixed.TRIGRAM_THRESHOLD - 1e-9) + 1
         return ranked.select(
             name, F.explode(F.slice("by_df", F.lit(1), keep.cast("int"))["gram"]).alias("gram")
         )

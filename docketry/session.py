@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,25 +39,23 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return tune(spark)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: `spark.checkpoint.dir`, or, where it is unset on a
-    one-machine session, a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`. Where it is unset, which only a
+    one-machine session may do, a temporary folder."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared is None:
-        if sc.getCheckpointDir():
-            return sc.getCheckpointDir()
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="docketry-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared)
-    return shared
+    return shared.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize `df` reliably, so a lost executor re-reads it instead of recomputing it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and read it back, so a lost executor re-reads rows
+    instead of recomputing them, and later reads prune columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -33,7 +33,6 @@ _CASE_TYPES = {
     "worksite_workers": (clean.whole, "int"),
 }
 CASE_KEYS = ["fiscal_year", "case_number"]
-CASE_ORDER = [F.desc("source_quarter"), F.desc_nulls_last("decision_date"), F.asc("source_file")]
 
 
 def read_text_csv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -80,7 +79,8 @@ def all_cases(raw: dict[Release, DataFrame], checked: bool = True) -> DataFrame:
 
 def latest_cases(rows: DataFrame) -> DataFrame:
     """One row per case and fiscal year: a later quarter supersedes, then a later decision."""
-    return latest_wins(rows, CASE_KEYS, CASE_ORDER)
+    order = [F.desc("source_quarter"), F.desc_nulls_last("decision_date"), F.asc("source_file")]
+    return latest_wins(rows, CASE_KEYS, order)
 
 
 def worksites(raw: dict[Release, DataFrame]) -> DataFrame:

@@ -3,7 +3,7 @@ they touch are rebuilt.
 
 Arrived rows are kept in an append-only log with one folder per micro-batch; a repeated
 batch overwrites its own folder. A touched year is rebuilt from the log by the latest-wins
-rule into a new folder, and then the year's pointer row is replaced. No step overwrites what
+rule into a new folder, and then a pointer row names the new folder. No step overwrites what
 it reads, so a job can be lost anywhere and run again.
 """
 
@@ -37,6 +37,10 @@ def take_batch(
     )
     latest = latest_wins(log.drop("batch"), keys, order)
     latest.write.mode("overwrite").partitionBy(year).parquet(f"{root}/snapshot/batch={batch_id}")
+    # Only now do readers look at the new folder.
+    touched.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
+        f"{root}/pointers/{batch_id}"
+    )
 
 
 def run_arrivals(
@@ -53,10 +57,11 @@ def run_arrivals(
 
 
 def current_rows(spark: SparkSession, root: str, year: str = "fiscal_year") -> DataFrame:
-    """The latest snapshot of every year."""
+    """The latest complete snapshot of every year."""
     rows = spark.read.option("basePath", f"{root}/snapshot").parquet(f"{root}/snapshot")
-    newest = rows.groupBy(year).agg(F.max("batch").alias("batch"))
-    # One row per fiscal year.
+    pointers = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/pointers")
+    newest = pointers.groupBy(year).agg(F.max("batch").alias("batch"))
+    # One row per fiscal year; year and batch are folders, so others are not read.
     return rows.join(F.broadcast(newest), [year, "batch"], "left_semi").drop("batch")
 
 
