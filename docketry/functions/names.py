@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from docketry import fixed
 
 
+# '(space) D/B/A' or '(space) DBA' and the rest of the line, with Unix line ends only.
+_GAP = r"[\s\x1c-\x1f]"
+_TRADE_NAME = rf"(?d){_GAP}(?:D{_GAP}*/{_GAP}*B{_GAP}*/{_GAP}*A|DBA)\b.*$"
+
+
 @cache
 def _folds() -> tuple[str, str, dict[str, str]]:
     """Compatibility decomposition cut down to ASCII, from the Unicode tables of Python.
@@ -47,32 +52,32 @@ def fold_ascii(c: Column) -> Column:
     once = F.translate(c, source, target)
     # What is still not ASCII is rare: each distinct such character is looked up once.
     rest = F.array_distinct(F.split(F.regexp_replace(once, r"[\x00-\x7F]+", ""), ""))
-    spread = F.aggregate(
+    folded = F.aggregate(
         rest,
         once,
         lambda text, ch: F.when(ch == "", text).otherwise(
             F.replace(text, ch, F.coalesce(F.try_element_at(table, ch), F.lit("")))
         ),
     )
-    folded = F.when(once.rlike(beyond), spread).otherwise(once)
     return F.when(c.rlike(beyond), folded).otherwise(c)
 
 
 def normalize_name(c: Column) -> Column:
-    """Matching form of a name; NULL and unusable names give ''."""
+    """Matching form of a name; NULL and unusable names give ''.
+
+    One chain, each step used once: a step used twice would copy the whole expression.
+    """
     s = F.upper(fold_ascii(c))
     # Only the legal name before a trade-name marker counts.
-    s = F.regexp_replace(s, r"(?d)[\s\x1c-\x1f](?:D[\s\x1c-\x1f]*/[\s\x1c-\x1f]*B[\s\x1c-\x1f]*/[\s\x1c-\x1f]*A|DBA)\b.*$", "")
+    s = F.regexp_replace(s, _TRADE_NAME, "")
     s = F.regexp_replace(s, "[.'`]", "")
     s = F.trim(F.regexp_replace(s, "[^A-Z0-9]+", " "))
-    joined = F.trim(
-        F.regexp_replace(F.regexp_replace(s, r"(?<![^ ])AND(?![^ ])", ""), " +", " ")
-    )
-    # A name made of nothing but connectors keeps one.
-    s = F.when((s != "") & (joined == ""), F.lit("AND")).otherwise(joined)
+    # A name made of nothing but connectors keeps one: it is masked while they are dropped.
+    s = F.regexp_replace(s, "^AND(?: AND)*$", "&")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?<![^ ])AND(?![^ ])", ""), " +", " "))
+    s = F.replace(s, F.lit("&"), F.lit("AND"))
     s = F.regexp_replace(s, "(?: (?:" + "|".join(fixed.LEGAL_FORMS) + "))+$", "")
-    s = F.regexp_replace(s, "^THE (?=.)", "")
-    return F.coalesce(s, F.lit(""))
+    return F.coalesce(F.regexp_replace(s, "^THE (?=.)", ""), F.lit(""))
 
 
 def slugify(c: Column) -> Column:
@@ -80,7 +85,7 @@ def slugify(c: Column) -> Column:
     s = F.replace(s, F.lit("&"), F.lit(" and "))
     s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     s = F.regexp_replace(F.substring(s, 1, 80), "-+$", "")
-    return F.when(F.coalesce(s, F.lit("")) == "", F.lit("employer")).otherwise(s)
+    return F.coalesce(F.regexp_replace(s, "^$", "employer"), F.lit("employer"))
 
 
 def trigrams(norm: Column) -> Column:

@@ -99,7 +99,9 @@ def link_registry(registry_entity: DataFrame, places: DataFrame) -> DataFrame:
 
 def registry_only(linked: DataFrame, entity: DataFrame) -> DataFrame:
     """New ids, after the entities' own, and free slugs for unmatched registry entities."""
-    fresh = linked.where(F.col("employer_id").isNull())
+    fresh = linked.where(F.col("employer_id").isNull()).withColumn(
+        "_base", slugify(F.coalesce("name", "norm"))
+    )
     order = [F.desc_nulls_last("approvals"), F.asc("norm"), F.asc_nulls_last("state"), F.asc_nulls_last("tax4")]
     top = entity.agg(F.coalesce(F.max("employer_id"), F.lit(0)).alias("_top"))
     placed = (
@@ -108,7 +110,7 @@ def registry_only(linked: DataFrame, entity: DataFrame) -> DataFrame:
         .withColumn("new_id", F.col("_place") + F.col("_top"))
         .drop("_place", "_top", "employer_id")
     )
-    base = slugify(F.coalesce("name", "norm"))
+    base = F.col("_base")
     stem = F.concat_ws("-", base, F.lower(F.coalesce("state", F.lit("xx"))))
     return assign_slugs(
         placed, "new_id", [base, stem], stem, entity.select("slug"), out="new_slug"

@@ -18,27 +18,27 @@ from docketry.operators.slugs import assign_slugs
 NEEDED = ["employer_fein", "employer_name", "employer_state", "employer_city", "fiscal_year"]
 
 
-def name_state_ids(named: DataFrame, share: float = fixed.DOMINANT_SHARE) -> DataFrame:
-    """(norm, state) -> number of ids, the id with most rows, and whether it dominates."""
-    per_id = (
+def name_state_id_rows(named: DataFrame) -> DataFrame:
+    """Rows per (norm, state, id), over the rows that have an id."""
+    return (
         named.where(F.col("employer_fein").isNotNull() & (F.col("norm") != ""))
         .groupBy("norm", "employer_state", "employer_fein")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def name_state_ids(per_id: DataFrame, share: float = fixed.DOMINANT_SHARE) -> DataFrame:
+    """(norm, state) -> number of ids, the id with most rows, and whether it dominates."""
     return per_id.groupBy("norm", "employer_state").agg(
         F.count(F.lit(1)).alias("ns_ids"),
-        F.max(F.struct("n", "employer_fein"))["employer_fein"].alias("ns_top"),
+        F.max_by("employer_fein", "n").alias("ns_top"),  # a tie never dominates
         (F.max("n") / F.sum("n") >= share).alias("ns_dominant"),
     )
 
 
-def name_ids(named: DataFrame) -> DataFrame:
+def name_ids(per_id: DataFrame) -> DataFrame:
     """norm -> number of ids in any state, and the id when it is the only one."""
-    ids = (
-        named.where(F.col("employer_fein").isNotNull() & (F.col("norm") != ""))
-        .select("norm", "employer_fein")
-        .distinct()
-    )
+    ids = per_id.select("norm", "employer_fein").distinct()
     return ids.groupBy("norm").agg(
         F.count(F.lit(1)).alias("n_ids"), F.min("employer_fein").alias("n_only")
     )
@@ -66,7 +66,8 @@ def with_entity_key(cases: DataFrame) -> DataFrame:
     with_id = named.where(F.col("employer_fein").isNotNull()).withColumns(
         {"employer_key": id_key(F.col("employer_fein")), "match_method": F.lit("fein")}
     )
-    by_state, by_name = name_state_ids(named), name_ids(named)
+    per_id = name_state_id_rows(named)
+    by_state, by_name = name_state_ids(per_id), name_ids(per_id)
     dominant = F.coalesce(F.col("ns_dominant"), F.lit(False))
     # A name known anywhere in this state may not borrow an id from another state.
     elsewhere = F.col("ns_ids").isNull() & (F.col("n_ids") == 1)
@@ -140,9 +141,10 @@ def entities(keyed: DataFrame) -> DataFrame:
             "state",
             "lca_rows",
         )
+        .withColumn("_stem", slugify(F.col("display_name")))
     )
     ranked = dense_index(base, [F.desc("lca_rows"), F.asc("employer_key")], "employer_id")
-    stem = slugify(F.col("display_name"))
+    stem = F.col("_stem")
     area = F.lower(F.coalesce("state", F.lit("xx")))
     choices = [
         stem,

@@ -320,9 +320,9 @@ SLUG_SQL = """ranked AS (SELECT *, row_number() OVER (ORDER BY volume DESC, key)
     """ + SLUG_SQL + " SELECT key AS p_partkey, rank, slug FROM slugged",
 )
 def slugify_unique(spark, d):
-    part = table(spark, d, "part")
+    part = table(spark, d, "part").withColumn("_base", names.slugify(F.col("p_name")))
     ranked = dense_index(part, [F.desc("p_retailprice"), F.asc("p_partkey")], "rank")
-    base = names.slugify(F.col("p_name"))
+    base = F.col("_base")
     tail = F.lpad((F.col("p_partkey") % 500).cast("string"), 3, "0")
     choices = [
         base,

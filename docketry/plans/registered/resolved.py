@@ -55,7 +55,7 @@ def dominant_key(spark, d):
     from docketry.functions.names import normalize_name
 
     named = cases(spark, d).withColumn("norm", normalize_name(F.col("employer_name")))
-    return resolve.name_state_ids(named).select(
+    return resolve.name_state_ids(resolve.name_state_id_rows(named)).select(
         "norm", "employer_state", "ns_ids", "ns_dominant", F.when(F.col("ns_dominant"), F.col("ns_top")).alias("top")
     )
 
