@@ -92,11 +92,16 @@ def trigrams(norm: Column) -> Column:
     """Distinct trigrams of a normalized string, each word padded with two spaces before and
     one after. Windows that end in two spaces straddle two words and are left out."""
     padded = F.concat(F.lit("  "), F.regexp_replace(norm, " +", "   "), F.lit(" "))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))
-    )
-    kept = F.array_distinct(F.filter(grams, lambda g: ~g.endswith("  ")))
-    return F.when(F.length(norm) > 0, kept).otherwise(F.array().cast("array<string>"))
+
+    def windows(p: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(p) - 2)
+        grams = F.transform(places, lambda i: F.substr(p, i, F.lit(3)))
+        return F.array_distinct(F.filter(grams, lambda g: ~g.endswith("  ")))
+
+    # Through a one-element array the padded text is a bound value; inside the inner lambda
+    # it would otherwise be built again for every window.
+    each = F.get(F.transform(F.array(padded), windows), F.lit(0))
+    return F.when(F.length(norm) > 0, each).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:

@@ -105,13 +105,14 @@ def unmapped_statuses(spark, d):
 @query(
     "undeclared_years",
     """SELECT DISTINCT 'lines' AS source_file, CAST(year(l_shipdate) AS INTEGER) AS fiscal_year FROM lineitem
-    WHERE year(l_shipdate) NOT IN (SELECT year(o_orderdate) FROM orders)""",
+    WHERE year(l_shipdate) NOT IN (SELECT year(o_orderdate) + 1 FROM orders)""",
 )
 def undeclared_years(spark, d):
-    def years(name, c):
-        return table(spark, d, name).select(F.lit("lines").alias("source_file"), F.year(c).alias("fiscal_year"))
+    def years(name, year):
+        return table(spark, d, name).select(F.lit("lines").alias("source_file"), year.alias("fiscal_year"))
 
-    return quality.wrong_years(years("lineitem", "l_shipdate"), years("orders", "o_orderdate").distinct())
+    declared = years("orders", F.year("o_orderdate") + 1).distinct()
+    return quality.wrong_years(years("lineitem", F.year("l_shipdate")), declared)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry import fixed
 from docketry.functions.names import normalize_name, pieces, trigram_similarity, trigrams
 from docketry.operators.ordering import best_per_key
+from docketry.session import cut_lineage
 
 EXACT, PREFIX, WITHIN, FUZZY = 0, 1, 2, 3
 QUERY_CHARS, QUERY_MIN, LIMIT_MAX = 100, 2, 50
@@ -47,22 +48,22 @@ def _candidates(forms: DataFrame, asked: DataFrame) -> DataFrame:
 
     fuzzy = rarest(grams, "norm").join(rarest(wanted, "q_norm"), "gram").select("norm", "q_norm")
 
-    probes = []
-    for n in (2, 3):
-        held = forms.select("norm", F.explode(pieces(F.col("norm"), n)).alias("piece"))
-        freq = held.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
-        length = F.length("q_norm") == 2 if n == 2 else F.length("q_norm") > 2
-        mine = asked.where(length).select("q_norm", F.explode(pieces(F.col("q_norm"), n)).alias("piece"))
-        # Every piece of a contained query is held by the name: an unheld piece rules it out,
-        # so the left join's missing count (0) makes the best probe.
-        probe = best_per_key(
-            mine.join(F.broadcast(freq), "piece", "left"),  # bounded like the trigrams
-            ["q_norm"],
-            [F.asc_nulls_first("df"), F.asc("piece")],
-        )
-        hit = held.join(probe.select("q_norm", "piece"), "piece")
-        probes.append(hit.where(F.col("norm").contains(F.col("q_norm"))).select("norm", "q_norm"))
-    return fuzzy.union(probes[0]).union(probes[1]).distinct()
+    # A query is contained only in names that hold its rarest piece (of three letters, or of
+    # two for a two-letter query); a piece no name holds ranks rarest and rules all out.
+    held = forms.select("norm", F.explode(F.concat(pieces(F.col("norm"), 2), pieces(F.col("norm"), 3))).alias("piece"))
+    freq = held.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))  # bounded like the trigrams
+    own = F.when(F.length("q_norm") == 2, pieces(F.col("q_norm"), 2)).otherwise(pieces(F.col("q_norm"), 3))
+    probe = best_per_key(
+        asked.select("q_norm", F.explode(own).alias("piece")).join(F.broadcast(freq), "piece", "left"),
+        ["q_norm"],
+        [F.asc_nulls_first("df"), F.asc("piece")],
+    )
+    within = (
+        held.join(probe.select("q_norm", "piece"), "piece")
+        .where(F.col("norm").contains(F.col("q_norm")))
+        .select("norm", "q_norm")
+    )
+    return fuzzy.union(within).distinct()
 
 
 def search_batch(
@@ -73,11 +74,10 @@ def search_batch(
     query: str = "q",
 ) -> DataFrame:
     """Ranked hits of many queries in one job: (q, place, employer fields, alias, tier)."""
-    asked = prepare_queries(queries.select(query).distinct(), query)
+    asked = cut_lineage(prepare_queries(queries.select(query).distinct(), query))
     # Distinct forms first: many entities sharing a spelling are matched once.
-    forms = aliases.select("norm").where(F.col("norm") != "").distinct()
-    sim = trigram_similarity(trigrams(F.col("norm")), trigrams(F.col("q_norm")))
-    scored = _rank_tier(_candidates(forms, asked.select("q_norm").distinct()).withColumn("sim", sim))
+    forms = cut_lineage(aliases.select("norm").where(F.col("norm") != "").distinct())
+    scored = _rank_tier(_scored(_candidates(forms, asked.select("q_norm").distinct())))
     hits = scored.join(asked, "q_norm").join(aliases, "norm")
     return _ranked(hits, employers, [query], limit)
 
@@ -89,16 +89,21 @@ def search(
     spark = aliases.sparkSession
     asked = prepare_queries(spark.createDataFrame([(text,)], "q string"))
     norm = (asked.first() or {"q_norm": None})["q_norm"]  # the normalized query, one string
-    found = aliases.withColumns(
-        {
-            "q": F.lit(text),
-            "q_norm": F.lit(norm).cast("string"),
-            "sim": trigram_similarity(trigrams(F.col("norm")), trigrams(F.lit(norm or ""))),
-        }
-    ).where(F.lit(norm is not None))
+    asked_form = {"q": F.lit(text), "q_norm": F.lit(norm).cast("string")}
+    found = _scored(aliases.withColumns(asked_form).where(F.lit(norm is not None)))
     return _ranked(_rank_tier(found), employers, ["q"], limit)
 
 
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Add the similarity of `norm` and `q_norm`. As generated columns the arrays and the
+    similarity are computed once; as plain ones the optimizer would copy them into the
+    filters above."""
+    grams = F.struct(trigrams(F.col("norm")).alias("a"), trigrams(F.col("q_norm")).alias("b"))
+    each = pairs.select("*", F.explode(F.array(grams)).alias("_grams"))
+    sim = trigram_similarity(F.col("_grams.a"), F.col("_grams.b"))
+    return each.select("*", F.explode(F.array(sim)).alias("sim")).drop("_grams")
+
+
 def _rank_tier(found: DataFrame) -> DataFrame:
     norm, q = F.col("norm"), F.col("q_norm")
     tier = (
