@@ -60,11 +60,12 @@ def with_dimensions(cases: DataFrame) -> DataFrame:
 
 def year_sources(cases: DataFrame, stem: str = "LCA_Disclosure_Data_FY") -> DataFrame:
     """Per fiscal year: the one file behind it or a label over its quarters; last quarter."""
-    files = F.count_distinct("source_file")
-    label = F.concat(F.lit(stem), F.col("fiscal_year"), F.lit("_Q1-Q"), F.max("source_quarter"))
-    return cases.groupBy("fiscal_year").agg(
-        F.when(files == 1, F.min("source_file")).otherwise(label).alias("source_file"),
-        F.max("source_quarter").alias("quarter"),
+    # Files first: all later text handling is on one row per file.
+    files = cases.groupBy("fiscal_year", "source_file").agg(F.max("source_quarter").alias("_q"))
+    label = F.concat(F.lit(stem), F.col("fiscal_year"), F.lit("_Q1-Q"), F.max("_q"))
+    return files.groupBy("fiscal_year").agg(
+        F.when(F.count("source_file") == 1, F.min("source_file")).otherwise(label).alias("source_file"),
+        F.max("_q").alias("quarter"),
     )
 
 
@@ -244,12 +245,14 @@ def entity_totals(year: DataFrame, key: str = "employer_id") -> DataFrame:
     )
 
 
-def most_frequent(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+def most_frequent(
+    df: DataFrame, key: str, value: str, out: str, weight: Column | None = None
+) -> DataFrame:
     """Most frequent non-NULL value per key; ties go to the lowest value."""
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(key, F.col(value).alias(out))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
     )
     return best_per_key(counted, [key], [F.desc("_n"), F.asc(out)]).drop("_n")
 
@@ -285,7 +288,7 @@ def employer_table(
     sector = F.nullif(F.regexp_extract("naics", r"^\d+", 0), F.lit(""))
     sectors = most_frequent(
         registry_rows.where(~F.col("matched")).withColumn("_sector", sector),
-        "final_id", "_sector", "_naics",
+        "final_id", "_sector", "_naics", F.col("rows"),
     )
     theirs = (
         registry_final.where(~F.col("matched"))
@@ -317,7 +320,7 @@ def alias_table(entity_aliases: DataFrame, registry_rows: DataFrame) -> DataFram
     ours = entity_aliases.select("employer_id", "name", "norm", F.lit("lca").alias("source"), "rows")
     theirs = registry_rows.groupBy(
         F.col("final_id").alias("employer_id"), F.col("employer_name").alias("name"), "norm"
-    ).agg(F.lit("uscis").alias("source"), F.count(F.lit(1)).cast("int").alias("rows"))
+    ).agg(F.lit("uscis").alias("source"), F.sum("rows").cast("int").alias("rows"))
     return ours.unionByName(theirs)
 
 

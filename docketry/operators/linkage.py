@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry import fixed
 from docketry.functions.names import normalize_name, slugify
 from docketry.operators.ordering import dense_index
 from docketry.operators.slugs import assign_slugs
@@ -22,30 +23,48 @@ def approvals():
     return F.col("initial_approvals") + F.col("continuing_approvals")
 
 
-def registry_entities(registry: DataFrame) -> DataFrame:
+COUNTS = [f"{t}_{o}" for t in ("initial", "continuing") for o in fixed.OUTCOMES] + [
+    "new_employment_approvals"
+]
+
+
+def registry_summary(registry: DataFrame) -> DataFrame:
+    """Registry rows combined per year and identity columns, with the name's matching form.
+
+    Map tasks combine before the shuffle, and names are normalized once per combined row.
+    `approvals` is the sum over rows, `top_approvals` the largest single row.
+    """
+    identity = ["fiscal_year", "source_file", "employer_name", "state", "city", "naics", "tax4"]
+    combined = registry.groupBy(*identity).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(c).alias(c) for c in COUNTS],
+        F.sum(approvals()).alias("approvals"),
+        F.max(approvals()).alias("top_approvals"),
+    )
+    return combined.withColumn("norm", normalize_name(F.col("employer_name")))
+
+
+def registry_entities(summary: DataFrame) -> DataFrame:
     """Registry rows grouped to (norm, state, tax4); name and city by most approvals."""
 
-    def by_most(c: str):
+    def by_most(c: str, out: str):
         # Rows without the value or without approvals do not compete; ties go to the
         # first value in the alphabet.
-        counts = F.col(c).isNotNull() & F.col("_approvals").isNotNull()
-        return F.min_by(c, F.when(counts, F.struct(-F.col("_approvals"), F.col(c)))).alias(
-            "name" if c == "employer_name" else c
-        )
+        counts = F.col(c).isNotNull() & F.col("top_approvals").isNotNull()
+        order = F.when(counts, F.struct(-F.col("top_approvals"), F.col(c)))
+        return F.min_by(c, order).alias(out)
 
     return (
-        registry.where(F.col("employer_name").isNotNull())
-        .withColumns({"norm": normalize_name(F.col("employer_name")), "_approvals": approvals()})
-        .where(F.col("norm") != "")
+        summary.where(F.col("norm") != "")
         .groupBy(*KEY)
-        .agg(by_most("employer_name"), by_most("city"), F.sum("_approvals").alias("approvals"))
+        .agg(by_most("employer_name", "name"), by_most("city", "city"), F.sum("approvals").alias("approvals"))
     )
 
 
 def entity_places(keyed: DataFrame, entity: DataFrame) -> DataFrame:
     """Distinct (entity, norm, state, tax id) under which an entity ever filed."""
     return (
-        keyed.where(F.col("employer_name").isNotNull())
+        keyed.where(F.col("employer_name").isNotNull())  # the keyed summary of filings
         .select("employer_key", "norm", F.col("employer_state").alias("state"))
         .distinct()
         .join(entity.select("employer_key", "employer_id", "fein"), "employer_key")
@@ -132,12 +151,11 @@ def finalize_links(linked: DataFrame, only: DataFrame) -> DataFrame:
     )
 
 
-def with_final_id(registry: DataFrame, final: DataFrame) -> DataFrame:
-    """Registry rows with their entity's final id; nameless rows drop out."""
-    rows = registry.withColumn("norm", normalize_name(F.col("employer_name")))
+def with_final_id(summary: DataFrame, final: DataFrame) -> DataFrame:
+    """Registry summary rows with their entity's final id; nameless rows drop out."""
     same = [F.col("u." + k).eqNullSafe(F.col("e." + k)) for k in KEY]
     return (
-        rows.alias("u")
+        summary.alias("u")
         .join(final.alias("e"), same)
         .select("u.*", F.col("e.final_id").alias("final_id"), "e.matched")
     )
@@ -145,14 +163,9 @@ def with_final_id(registry: DataFrame, final: DataFrame) -> DataFrame:
 
 def registry_years(rows: DataFrame) -> DataFrame:
     """Registry counts per entity and year; a sum of nothing known stays missing."""
-    sums = [
-        "initial_approvals", "initial_denials", "continuing_approvals", "continuing_denials",
-        "new_employment_approvals",
-    ]
     return rows.groupBy(F.col("final_id").alias("employer_id"), "fiscal_year").agg(
         F.min("source_file").alias("source_file"),
-        F.count(F.lit(1)).cast("int").alias("rows"),
-        *[F.sum(c).cast("int").alias(c) for c in sums],
+        *[F.sum(c).cast("int").alias(c) for c in ["rows", *COUNTS]],
     )
 
 
@@ -163,7 +176,7 @@ def link_outcomes(final: DataFrame) -> DataFrame:
     )
 
 
-def link_rates(final: DataFrame, registry: DataFrame) -> DataFrame:
+def link_rates(final: DataFrame, summary: DataFrame) -> DataFrame:
     """Matched and total entities and approvals, and the rows that have no name."""
     rates = final.agg(
         F.count(F.lit(1)).alias("uscis_employers"),
@@ -171,8 +184,8 @@ def link_rates(final: DataFrame, registry: DataFrame) -> DataFrame:
         F.coalesce(F.sum("approvals"), F.lit(0)).alias("approvals"),
         F.coalesce(F.sum(F.when(F.col("matched"), F.col("approvals"))), F.lit(0)).alias("approvals_matched"),
     )
-    unnamed = registry.where(F.col("employer_name").isNull()).agg(
-        F.count(F.lit(1)).alias("unnamed_rows"),
-        F.coalesce(F.sum(approvals()), F.lit(0)).alias("unnamed_approvals"),
+    unnamed = summary.where(F.col("employer_name").isNull()).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("unnamed_rows"),
+        F.coalesce(F.sum("approvals"), F.lit(0)).alias("unnamed_approvals"),
     )
     return rates.crossJoin(unnamed)  # two one-row tables

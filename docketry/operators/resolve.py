@@ -3,6 +3,10 @@
 Rows with a tax id are that id's. Rows without one are looked up by (name, state), then by
 name alone; each lookup table has one row per key, so no join multiplies rows. Different ids
 are never merged: sharing a name is only recorded.
+
+Everything but the final attachment works on a summary of the filings: rows counted per
+(id, spelling, state, city, year), which map tasks combine before anything is shuffled. Names
+are normalized there, once per summary row instead of once per filing.
 """
 
 from __future__ import annotations
@@ -15,20 +19,26 @@ from docketry.functions.names import normalize_name, slugify
 from docketry.operators.ordering import best_per_key, dense_index
 from docketry.operators.slugs import assign_slugs
 
-NEEDED = ["employer_fein", "employer_name", "employer_state", "employer_city", "fiscal_year"]
+PARTY = ["employer_fein", "employer_name", "employer_state", "employer_city", "fiscal_year"]
+
+
+def filing_summary(cases: DataFrame) -> DataFrame:
+    """Filings counted per party columns and year, with the name's matching form."""
+    counted = cases.groupBy(*PARTY).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("norm", normalize_name(F.col("employer_name")))
 
 
-def name_state_id_rows(named: DataFrame) -> DataFrame:
-    """Rows per (norm, state, id), over the rows that have an id."""
+def name_state_id_rows(summary: DataFrame) -> DataFrame:
+    """Filings per (norm, state, id), over those that have an id."""
     return (
-        named.where(F.col("employer_fein").isNotNull() & (F.col("norm") != ""))
+        summary.where(F.col("employer_fein").isNotNull() & (F.col("norm") != ""))
         .groupBy("norm", "employer_state", "employer_fein")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
 def name_state_ids(per_id: DataFrame, share: float = fixed.DOMINANT_SHARE) -> DataFrame:
-    """(norm, state) -> number of ids, the id with most rows, and whether it dominates."""
+    """(norm, state) -> number of ids, the id with most filings, and whether it dominates."""
     return per_id.groupBy("norm", "employer_state").agg(
         F.count(F.lit(1)).alias("ns_ids"),
         F.max_by("employer_fein", "n").alias("ns_top"),  # a tie never dominates
@@ -57,30 +67,25 @@ def key_id(key: Column) -> Column:
     return F.when(key.startswith("F:"), F.substr(key, F.lit(3)))
 
 
-def with_entity_key(cases: DataFrame) -> DataFrame:
-    """Add `norm`, `employer_key` and `match_method` to every row.
-
-    Only rows without an id go through the joins; rows with one are united back.
-    """
-    named = cases.withColumn("norm", normalize_name(F.col("employer_name")))
-    with_id = named.where(F.col("employer_fein").isNotNull()).withColumns(
+def keyed_summary(summary: DataFrame) -> DataFrame:
+    """Add `employer_key` and `match_method` to every summary row."""
+    with_id = summary.where(F.col("employer_fein").isNotNull()).withColumns(
         {"employer_key": id_key(F.col("employer_fein")), "match_method": F.lit("fein")}
     )
-    per_id = name_state_id_rows(named)
-    by_state, by_name = name_state_ids(per_id), name_ids(per_id)
+    per_id = name_state_id_rows(summary)
     dominant = F.coalesce(F.col("ns_dominant"), F.lit(False))
     # A name known anywhere in this state may not borrow an id from another state.
     elsewhere = F.col("ns_ids").isNull() & (F.col("n_ids") == 1)
     routed = (
-        named.where(F.col("employer_fein").isNull())
+        summary.where(F.col("employer_fein").isNull())
         .alias("k")
         .join(
-            by_state.alias("s"),
+            name_state_ids(per_id).alias("s"),
             (F.col("k.norm") == F.col("s.norm"))
             & F.col("k.employer_state").eqNullSafe(F.col("s.employer_state")),
             "left",
         )
-        .join(by_name.alias("n"), F.col("k.norm") == F.col("n.norm"), "left")
+        .join(name_ids(per_id).alias("n"), F.col("k.norm") == F.col("n.norm"), "left")
         .select(
             "k.*",
             F.when(dominant, id_key(F.col("ns_top")))
@@ -98,12 +103,36 @@ def with_entity_key(cases: DataFrame) -> DataFrame:
     return with_id.unionByName(routed)
 
 
+def with_entity_key(cases: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Add `employer_key` and `match_method` to every case.
+
+    Cases with an id need no lookup and are not shuffled. The others join the routes of
+    their (spelling, state), one row each.
+    """
+    with_id = cases.where(F.col("employer_fein").isNotNull()).withColumns(
+        {"employer_key": id_key(F.col("employer_fein")), "match_method": F.lit("fein")}
+    )
+    routes = (
+        keyed.where(F.col("employer_fein").isNull())
+        .groupBy("employer_name", "employer_state")
+        .agg(F.min("employer_key").alias("employer_key"), F.min("match_method").alias("match_method"))
+    )
+    same = [F.col("k." + c).eqNullSafe(F.col("r." + c)) for c in ("employer_name", "employer_state")]
+    routed = (
+        cases.where(F.col("employer_fein").isNull())
+        .alias("k")
+        .join(routes.alias("r"), same)
+        .select("k.*", "r.employer_key", "r.match_method")
+    )
+    return with_id.unionByName(routed)
+
+
 def spelling_counts(keyed: DataFrame) -> DataFrame:
-    """Rows per (entity, spelling), with the last year it was used."""
+    """Filings per (entity, spelling), with the last year it was used."""
     return (
         keyed.where(F.col("employer_name").isNotNull())
-        .groupBy("employer_key", "employer_name")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("fiscal_year").alias("last_fy"))
+        .groupBy("employer_key", "employer_name", "norm")
+        .agg(F.sum("n").alias("n"), F.max("fiscal_year").alias("last_fy"))
     )
 
 
@@ -119,7 +148,7 @@ def main_places(keyed: DataFrame) -> DataFrame:
     places = (
         keyed.where(F.col("employer_state").isNotNull())
         .groupBy("employer_key", "employer_city", "employer_state")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     order = [F.desc("n"), F.asc_nulls_last("employer_city"), F.asc("employer_state")]
     return best_per_key(places, ["employer_key"], order).select(
@@ -128,8 +157,9 @@ def main_places(keyed: DataFrame) -> DataFrame:
 
 
 def entities(keyed: DataFrame) -> DataFrame:
-    """One row per entity: id by volume, unique slug, display name, tax id, place, rows."""
-    totals = keyed.groupBy("employer_key").agg(F.count(F.lit(1)).alias("lca_rows"))
+    """One row per entity of the keyed summary: id by volume, unique slug, display name, tax
+    id, place, filings."""
+    totals = keyed.groupBy("employer_key").agg(F.sum("n").alias("lca_rows"))
     base = (
         totals.join(display_names(spelling_counts(keyed)), "employer_key", "left")
         .join(main_places(keyed), "employer_key", "left")
@@ -158,28 +188,26 @@ def entities(keyed: DataFrame) -> DataFrame:
 
 
 def aliases(keyed: DataFrame, entity: DataFrame) -> DataFrame:
-    """Spellings of every entity with their matching form and row counts."""
+    """Spellings of every entity with their matching form and filing counts."""
     return (
         spelling_counts(keyed)
         .join(entity.select("employer_key", "employer_id"), "employer_key")
-        .groupBy("employer_id", F.col("employer_name").alias("name"))
-        .agg(F.sum("n").cast("int").alias("rows"))
-        .select("employer_id", "name", normalize_name(F.col("name")).alias("norm"), "rows")
+        .select("employer_id", F.col("employer_name").alias("name"), "norm", F.col("n").cast("int").alias("rows"))
     )
 
 
-def attach_entities(keyed: DataFrame, entity: DataFrame) -> DataFrame:
-    """Give every case its entity id."""
-    return keyed.join(entity.select("employer_key", "employer_id"), "employer_key").drop(
-        "employer_key", "norm"
-    )
+def attach_entities(cases: DataFrame, keyed: DataFrame, entity: DataFrame) -> DataFrame:
+    """Give every case its entity id and match method."""
+    ids = entity.select("employer_key", "employer_id")
+    return with_entity_key(cases, keyed).join(ids, "employer_key").drop("employer_key")
 
 
 def method_counts(keyed: DataFrame, year: int | None = None) -> DataFrame:
-    """Rows per match method, over all years and in one year."""
-    aggs = [F.count(F.lit(1)).alias("cases")]
+    """Filings per match method, over all years and in one year."""
+    aggs = [F.sum("n").alias("cases")]
     if year is not None:
-        aggs.append(F.count_if(F.col("fiscal_year") == year).alias("cases_in_year"))
+        in_year = F.when(F.col("fiscal_year") == year, F.col("n")).otherwise(0)
+        aggs.append(F.sum(in_year).alias("cases_in_year"))
     return keyed.groupBy("match_method").agg(*aggs)
 
 

@@ -23,16 +23,22 @@ def build_tables(
     cases are materialized once, since nearly every table below reads them.
     """
     spark = cases.sparkSession
-    keyed = cut_lineage(resolve.with_entity_key(aggregates.with_annual_pay(cases)))
+    paid = aggregates.with_annual_pay(cases)
+    keyed = cut_lineage(resolve.keyed_summary(cut_lineage(resolve.filing_summary(cases))))
     entity = cut_lineage(resolve.entities(keyed))
     alias = resolve.aliases(keyed, entity)
-    resolved = cut_lineage(aggregates.with_dimensions(resolve.attach_entities(keyed, entity)))
+    resolved = cut_lineage(
+        aggregates.with_dimensions(resolve.attach_entities(paid, keyed, entity))
+    )
 
-    linked = linkage.link_registry(
-        linkage.registry_entities(registry), linkage.entity_places(keyed, entity)
+    summary = cut_lineage(linkage.registry_summary(registry))
+    linked = cut_lineage(
+        linkage.link_registry(
+            linkage.registry_entities(summary), linkage.entity_places(keyed, entity)
+        )
     )
     final = cut_lineage(linkage.finalize_links(linked, linkage.registry_only(linked, entity)))
-    registry_rows = linkage.with_final_id(registry, final)
+    registry_rows = linkage.with_final_id(summary, final)
     registry_year = linkage.registry_years(registry_rows)
 
     year = aggregates.entity_year(resolved)
@@ -46,6 +52,8 @@ def build_tables(
         "employers": entity,
         "employer_aliases": alias,
         "uscis_employer": final,
+        "filing_summary": keyed,
+        "registry_summary": summary,
         "agg_employers": employers,
         "agg_aliases": aggregates.alias_table(alias, registry_rows),
         "agg_lca_year": year,

@@ -44,7 +44,8 @@ ENTITIES = KEYED + ", " + SPELLINGS + r""", src AS (SELECT *, employer_key AS ke
 
 
 def keyed(spark, d):
-    return resolve.with_entity_key(cases(spark, d))
+    """The keyed summary of filings, written once: the entity steps read it several times."""
+    return cut_lineage(resolve.keyed_summary(resolve.filing_summary(cases(spark, d))))
 
 
 @query(
@@ -52,17 +53,16 @@ def keyed(spark, d):
     f"WITH {KEYED} SELECT norm, employer_state, ids AS ns_ids, dominant AS ns_dominant, CASE WHEN dominant THEN top END AS top FROM ns",
 )
 def dominant_key(spark, d):
-    from docketry.functions.names import normalize_name
-
-    named = cases(spark, d).withColumn("norm", normalize_name(F.col("employer_name")))
-    return resolve.name_state_ids(resolve.name_state_id_rows(named)).select(
-        "norm", "employer_state", "ns_ids", "ns_dominant", F.when(F.col("ns_dominant"), F.col("ns_top")).alias("top")
-    )
+    per_id = resolve.name_state_id_rows(resolve.filing_summary(cases(spark, d)))
+    top = F.when(F.col("ns_dominant"), F.col("ns_top"))
+    return resolve.name_state_ids(per_id).select("norm", "employer_state", "ns_ids", "ns_dominant", top.alias("top"))
 
 
-@query("resolve_keys", f"WITH {KEYED} SELECT case_number, norm, employer_key, match_method FROM keyed")
+@query("resolve_keys", f"WITH {KEYED} SELECT case_number, employer_key, match_method FROM keyed")
 def resolve_keys(spark, d):
-    return keyed(spark, d).select("case_number", "norm", "employer_key", "match_method")
+    rows = cases(spark, d)
+    routed = resolve.keyed_summary(resolve.filing_summary(rows))
+    return resolve.with_entity_key(rows, routed).select("case_number", "employer_key", "match_method")
 
 
 @query(
@@ -71,12 +71,12 @@ def resolve_keys(spark, d):
     FROM keyed GROUP BY 1""",
 )
 def resolve_method_counts(spark, d):
-    return resolve.method_counts(keyed(spark, d), 1996)
+    return resolve.method_counts(resolve.keyed_summary(resolve.filing_summary(cases(spark, d))), 1996)
 
 
 @query("resolve_entities", f"WITH {ENTITIES} SELECT * FROM entities")
 def resolve_entities(spark, d):
-    return resolve.entities(cut_lineage(keyed(spark, d)))
+    return resolve.entities(keyed(spark, d))
 
 
 @query(
@@ -84,8 +84,9 @@ def resolve_entities(spark, d):
     f"WITH {ENTITIES} SELECT case_number, e.employer_id, match_method FROM keyed JOIN entities e USING (employer_key)",
 )
 def attach_entities(spark, d):
-    rows = cut_lineage(keyed(spark, d))
-    resolved = resolve.attach_entities(rows.drop("employer_id"), resolve.entities(rows))
+    routed = keyed(spark, d)
+    rows = cases(spark, d).drop("employer_id")
+    resolved = resolve.attach_entities(rows, routed, resolve.entities(routed))
     return resolved.select("case_number", "employer_id", "match_method")
 
 
@@ -99,10 +100,11 @@ def attach_entities(spark, d):
 def aliases_of_both(spark, d):
     from docketry.functions.names import normalize_name
 
-    rows = cut_lineage(keyed(spark, d))
+    rows = keyed(spark, d)
     name = F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"), F.lit(" Co"))
-    theirs = table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("final_id"), name.alias("employer_name"), normalize_name(name).alias("norm")
+    counted = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("rows"))
+    theirs = counted.select(
+        F.col("l_suppkey").alias("final_id"), name.alias("employer_name"), normalize_name(name).alias("norm"), "rows"
     )
     return alias_table(resolve.aliases(rows, resolve.entities(rows)), theirs)
 
@@ -132,7 +134,7 @@ def id_pairs_same_name(spark, d):
       (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) FROM s) AS possible_link_pairs""",
 )
 def resolved_link_counts(spark, d):
-    rows = cut_lineage(keyed(spark, d))
+    rows = keyed(spark, d)
     entity = cut_lineage(resolve.entities(rows))
     alias = resolve.aliases(rows, entity)
     members = links.link_members(alias.join(entity.select("employer_id", "fein"), "employer_id"))
