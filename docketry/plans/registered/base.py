@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docketry.functions.clean import lookup
+from docketry.functions.clean import lookup, plausible
 from docketry.functions.display import fiscal_quarter, fiscal_year
 from docketry.operators.aggregates import with_annual_pay
-from docketry.functions.clean import plausible
 from docketry.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,8 +37,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 UNITS = ["Year", "Month", "bi_weekly", " week ", "HOUR"]
@@ -241,7 +248,3 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("int").alias("rows"))
         .withColumn("norm", normalize_name(F.col("name")))
     )
-
-
-def money(c: Column) -> Column:
-    return c.cast("decimal(18,2)")

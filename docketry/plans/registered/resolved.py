@@ -43,9 +43,13 @@ ENTITIES = KEYED + ", " + SPELLINGS + r""", src AS (SELECT *, employer_key AS ke
     display_name, fein, city, state, lca_rows FROM slugged)"""
 
 
+def summary(rows):
+    """The summary of filings, written once: the key lookups read it several times."""
+    return cut_lineage(resolve.filing_summary(rows))
+
+
 def keyed(spark, d):
-    """The keyed summary of filings, written once: the entity steps read it several times."""
-    return cut_lineage(resolve.keyed_summary(resolve.filing_summary(cases(spark, d))))
+    return cut_lineage(resolve.keyed_summary(summary(cases(spark, d))))
 
 
 @query(
@@ -61,7 +65,7 @@ def dominant_key(spark, d):
 @query("resolve_keys", f"WITH {KEYED} SELECT case_number, employer_key, match_method FROM keyed")
 def resolve_keys(spark, d):
     rows = cases(spark, d)
-    routed = resolve.keyed_summary(resolve.filing_summary(rows))
+    routed = resolve.keyed_summary(summary(rows))
     return resolve.with_entity_key(rows, routed).select("case_number", "employer_key", "match_method")
 
 
@@ -71,7 +75,7 @@ def resolve_keys(spark, d):
     FROM keyed GROUP BY 1""",
 )
 def resolve_method_counts(spark, d):
-    return resolve.method_counts(resolve.keyed_summary(resolve.filing_summary(cases(spark, d))), 1996)
+    return resolve.method_counts(resolve.keyed_summary(summary(cases(spark, d))), 1996)
 
 
 @query("resolve_entities", f"WITH {ENTITIES} SELECT * FROM entities")
