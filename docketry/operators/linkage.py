@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry import fixed
+from docketry.functions.barrier import with_once
 from docketry.functions.names import normalize_name, slugify
 from docketry.operators.ordering import dense_index
 from docketry.operators.slugs import assign_slugs
@@ -41,7 +42,7 @@ def registry_summary(registry: DataFrame) -> DataFrame:
         F.sum(approvals()).alias("approvals"),
         F.max(approvals()).alias("top_approvals"),
     )
-    return combined.withColumn("norm", normalize_name(F.col("employer_name")))
+    return with_once(combined, "norm", normalize_name(F.col("employer_name")))
 
 
 def registry_entities(summary: DataFrame) -> DataFrame:

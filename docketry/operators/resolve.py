@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import fixed
+from docketry.functions.barrier import with_once
 from docketry.functions.names import normalize_name, slugify
 from docketry.operators.ordering import best_per_key, dense_index
 from docketry.operators.slugs import assign_slugs
@@ -25,7 +26,7 @@ PARTY = ["employer_fein", "employer_name", "employer_state", "employer_city", "f
 def filing_summary(cases: DataFrame) -> DataFrame:
     """Filings counted per party columns and year, with the name's matching form."""
     counted = cases.groupBy(*PARTY).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("norm", normalize_name(F.col("employer_name")))
+    return with_once(counted, "norm", normalize_name(F.col("employer_name")))
 
 
 def name_state_id_rows(summary: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry import fixed
+from docketry.functions.barrier import with_once
 from docketry.functions.names import normalize_name, pieces, trigram_similarity, trigrams
 from docketry.operators.ordering import best_per_key
 from docketry.session import cut_lineage
@@ -95,13 +96,10 @@ def search(
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    """Add the similarity of `norm` and `q_norm`. As generated columns the arrays and the
-    similarity are computed once; as plain ones the optimizer would copy them into the
-    filters above."""
+    """Add the similarity of `norm` and `q_norm`, each pair's trigrams computed once."""
     grams = F.struct(trigrams(F.col("norm")).alias("a"), trigrams(F.col("q_norm")).alias("b"))
-    each = pairs.select("*", F.explode(F.array(grams)).alias("_grams"))
     sim = trigram_similarity(F.col("_grams.a"), F.col("_grams.b"))
-    return each.select("*", F.explode(F.array(sim)).alias("sim")).drop("_grams")
+    return with_once(with_once(pairs, "_grams", grams), "sim", sim).drop("_grams")
 
 
 def _rank_tier(found: DataFrame) -> DataFrame:
