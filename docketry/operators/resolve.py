@@ -113,10 +113,11 @@ def with_entity_key(cases: DataFrame, keyed: DataFrame) -> DataFrame:
     with_id = cases.where(F.col("employer_fein").isNotNull()).withColumns(
         {"employer_key": id_key(F.col("employer_fein")), "match_method": F.lit("fein")}
     )
+    # A route follows from spelling and state, so distinct routes are one per pair.
     routes = (
         keyed.where(F.col("employer_fein").isNull())
-        .groupBy("employer_name", "employer_state")
-        .agg(F.min("employer_key").alias("employer_key"), F.min("match_method").alias("match_method"))
+        .select("employer_name", "employer_state", "employer_key", "match_method")
+        .distinct()
     )
     same = [F.col("k." + c).eqNullSafe(F.col("r." + c)) for c in ("employer_name", "employer_state")]
     routed = (

@@ -239,7 +239,8 @@ def role_group_map(spark, d):
 
 @query(
     "rule_flags",
-    r"""WITH reg AS (SELECT DISTINCT s_suppkey * 7 AS id FROM supplier WHERE s_suppkey % 2 = 0),
+    r"""WITH register AS (SELECT s_suppkey * 7 AS id, CASE WHEN s_suppkey % 2 = 0 THEN '03' ELSE '04' END AS subsection FROM supplier),
+      reg AS (SELECT DISTINCT id FROM register WHERE subsection = '03'),
       emp AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'State University ' ELSE 'Acme ' END || c_mktsegment AS name,
         CASE c_custkey % 4 WHEN 0 THEN '611310' WHEN 1 THEN '611110' WHEN 2 THEN '622110' ELSE '541511' END AS naics FROM customer)
     SELECT c_custkey, CASE WHEN c_custkey IN (SELECT id FROM reg) THEN 'irs_nonprofit' WHEN naics = '611310' THEN 'naics_611310'

@@ -144,18 +144,17 @@ def similar_entities(spark, d):
 
 @query(
     "linked_partners",
-    """WITH m AS (SELECT upper(p_name) AS norm, p_partkey AS id FROM part),
-      asked AS (SELECT p_partkey AS id FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) <= 50)
-    SELECT a.id AS asked_id, b.id AS partner_id, a.norm FROM m a JOIN asked USING (id) JOIN m b ON a.norm = b.norm AND a.id <> b.id""",
+    """WITH m AS (SELECT c_mktsegment || ' GROUP ' || (c_custkey // 10) AS norm, c_custkey AS id FROM customer)
+    SELECT a.id AS asked_id, b.id AS partner_id, a.norm FROM m a JOIN m b ON a.norm = b.norm AND a.id <> b.id""",
 )
 def linked_partners(spark, d):
-    """Partners of the 50 dearest parts (a top-n question), from linear member rows."""
+    """Partners of every customer that shares its group's name, from linear member rows."""
     from docketry.functions.names import normalize_name
 
-    part = table(spark, d, "part")
-    rows = part.select(normalize_name(F.col("p_name")).alias("norm"), F.col("p_partkey").alias("id"))
-    asked = part.orderBy(F.desc("p_retailprice"), F.asc("p_partkey")).limit(50).select(F.col("p_partkey").alias("id"))
-    return partners_of(link_members(rows, ident="id", entity="id"), asked, entity="id")
+    key = F.col("c_custkey")
+    name = F.concat("c_mktsegment", F.lit(" Group "), F.floor(key / 10).cast("string"), F.lit(", Inc."))
+    rows = table(spark, d, "customer").select(normalize_name(name).alias("norm"), key.alias("id"))
+    return partners_of(link_members(rows, ident="id", entity="id"), rows, entity="id")
 
 
 YEARS = list(range(1995, 2003))
