@@ -13,7 +13,7 @@ entities before it cannot get a number below 2 + p.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.ordering import position_in_key, running_max
@@ -55,14 +55,18 @@ def assign_slugs(
         best = asked.groupBy("_slug").agg(F.min("_rank").cast("bigint").alias("_best"))
         if fixed_holders is not None:
             best = best.unionByName(fixed_holders).groupBy("_slug").agg(F.min("_best").alias("_best"))
+        judged = asked.join(best, "_slug").withColumn("_lost", F.col("_rank") != F.col("_best"))
+        # Counted while the round is written: who lost, and who asks for a number next.
+        after = F.col("_k") + F.col("_lost").cast("int")
+        seen = Observation()
         judged = cut_lineage(
-            asked.join(best, "_slug").withColumn("_lost", F.col("_rank") != F.col("_best"))
+            judged.observe(
+                seen,
+                F.count_if("_lost").alias("lost"),
+                F.count_if(after >= F.size("_choices")).alias("numbered"),
+            )
         )
-        # Two counts come back: who lost, and who asks for a numbered slug next.
-        after = F.col("_k") + F.col("_lost").cast("int")
-        lost, numbered = judged.agg(
-            F.count_if("_lost"), F.count_if(after >= F.size("_choices"))
-        ).first()
+        lost, numbered = seen.get["lost"], seen.get["numbered"]
         if lost == 0:
             return df.join(
                 judged.select(F.col("_rank").alias(rank), F.col("_slug").alias(out)), rank

@@ -10,6 +10,8 @@ from docketry.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", partitions=4, memory="6g")
+    # Tiny tables need few tasks.
+    settings = {"spark.sql.leafNodeDefaultParallelism": "2"}
+    session = local_session("8", partitions=2, memory="6g", **settings)
     yield session
     session.stop()
