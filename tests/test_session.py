@@ -7,16 +7,11 @@ from docketry.functions.names import normalize_name
 from docketry.session import cut_lineage, shared_dir
 
 
-def test_the_named_folder_is_used(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-        cut = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
-        assert cut.count() == 10 and cut.columns == ["id", "x"]
-        assert all(f.startswith(f"file://{tmp_path}") for f in cut.inputFiles())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert shared_dir(spark) != str(tmp_path)
+def test_the_named_folder_is_used(spark, shared_folder):
+    assert shared_dir(spark) == shared_folder
+    cut = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert cut.count() == 10 and cut.columns == ["id", "x"]
+    assert all(f.startswith(f"file://{shared_folder}/tables/") for f in cut.inputFiles())
 
 
 def test_a_costly_column_is_not_pushed_below_the_grouping(spark):
