@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import quality_rules
+from docketry.llm import minmax_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     cascade = quality_rules.plan_cascade(docs, rules=rules)
     base = [quality_rules.TOO_SHORT, quality_rules.REPEATED]
     return quality_rules.apply_cascade(docs, cascade, measures=quality_rules.MEASURES, base=base).drop("text")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [[w[1]]]
+    ELSE list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) END) AS g FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT u, v FROM meet JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)
+),
+ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT u AS doc_id, u AS other FROM ways UNION SELECT reach.doc_id, ways.v FROM reach JOIN ways ON ways.u = reach.other),
+low AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, doc_id) AS component_id, coalesce(low.c, doc_id) = doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
+@query("op9_minmax_near_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
