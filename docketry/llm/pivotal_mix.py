@@ -9,8 +9,8 @@ with the fractional part as its probability. The fractional parts are rounded de
 two documents of a source trade probability so that the expected words of the pair stay the
 same, until one is 0 or 1. Every task rounds a bounded chunk of one source and hands on the
 one document left between 0 and 1; these meet in chunks of the next level, a reduction tree,
-until one document per source is left and is rounded by itself. So each source misses its
-target by less than one document, and a third of all rows in one source are many chunks.
+until one document per source is left and goes to the nearer side. So each source misses its
+target by half a document at most, and a third of all rows in one source are many chunks.
 
 All draws come from hashes of ids and the seed, so reruns agree. Null and empty texts have no
 words: they are taken floor(r) times, which adds nothing. A null id is an id like any other.
@@ -122,8 +122,7 @@ def _tree(units: DataFrame, chunk: int) -> DataFrame:
         if last == 1:
             break
         level += 1
-    draw = F.pmod(F.xxhash64("unit", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    return done.unionByName(rest.withColumn("p", (draw < F.col("p")).cast("double")))
+    return done.unionByName(rest.withColumn("p", (F.col("p") >= 0.5).cast("double")))
 
 
 def mix_copies(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple = WEIGHTS, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
