@@ -56,10 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back, so a lost executor re-reads rows
     instead of recomputing them, and later reads prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
