@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, minmax_dedup, pivotal_mix, quality_rules, ring_shards
+from docketry.llm import chat_format, minmax_dedup, pivotal_mix, quality_rules, ring_shards, token_files
+from docketry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +160,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lost.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Write `docs` as token files in the shared folder and read their index back."""
+    path = f"{shared_dir(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
+    token_files.write_files(docs, path, tokenizer)
+    return token_files.token_index(docs.sparkSession, path)
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"))
