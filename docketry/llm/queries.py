@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, minmax_dedup, pivotal_mix, quality_rules, ring_shards, token_files
+from docketry.llm import chat_format, decontaminate, minmax_dedup, pivotal_mix, quality_rules, ring_shards, token_files
 from docketry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,8 @@ def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 @query("op7_token_files")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
