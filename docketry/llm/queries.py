@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, decontaminate, minmax_dedup, pivotal_mix, quality_rules, ring_shards, token_files
+from docketry.llm import chat_format, decontaminate, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, token_files
 from docketry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
