@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, decontaminate, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, token_files
+from docketry.llm import chat_format, decontaminate, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
 from docketry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM w),
+g AS (
+  SELECT doc_id, i, n, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM s
+),
+least AS (SELECT g, min(doc_id) AS m FROM g WHERE i + 13 <= n GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM g JOIN least USING (g) WHERE i + 13 <= n AND m < doc_id),
+kept AS (
+  SELECT s.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY s.i) FILTER (gone.i IS NULL) AS kept
+  FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i GROUP BY s.doc_id
+)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
