@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, decontaminate, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
+from docketry.llm import chat_format, decontaminate, line_dedup, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
 from docketry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,39 @@ FROM w LEFT JOIN kept USING (doc_id)
 @query("op2_substring_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM raw),
+inked AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+first AS (SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS id FROM inked GROUP BY line),
+half AS (
+  SELECT line, n, id, m, m // 2 AS k FROM (SELECT *, unnest([n, n - 1]) AS m FROM first WHERE n >= 20)
+),
+meet AS (
+  SELECT a.line AS x, b.line AS y, a.id AS xid, b.id AS yid FROM half a JOIN half b
+    ON a.m = b.m AND left(a.line, a.k) = left(b.line, b.k) WHERE a.line <> b.line
+  UNION
+  SELECT a.line, b.line, a.id, b.id FROM half a JOIN half b
+    ON a.m = b.m AND right(a.line, a.m - a.k) = right(b.line, b.m - b.k) WHERE a.line <> b.line
+),
+near AS (
+  SELECT x, y, xid, yid FROM meet WHERE yid < xid AND CASE
+    WHEN length(x) = length(y) THEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) = 1
+    WHEN length(x) = length(y) + 1 THEN list_contains(list_transform(range(1, length(x) + 1), lambda i: substr(x, 1, i - 1) || substr(x, i + 1)), y)
+    WHEN length(y) = length(x) + 1 THEN list_contains(list_transform(range(1, length(y) + 1), lambda i: substr(y, 1, i - 1) || substr(y, i + 1)), x)
+    ELSE false END
+),
+mate AS (SELECT xid AS id, min(yid) AS mate FROM near GROUP BY xid),
+fate AS (
+  SELECT inked.doc_id, inked.line_no, CASE WHEN first.id = {'d': inked.doc_id, 'l': inked.line_no} THEN mate.mate ELSE first.id END AS kept
+  FROM inked JOIN first USING (line) LEFT JOIN mate ON mate.id = first.id
+)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kept.d AS kept_doc_id, CAST(kept.l AS INTEGER) AS kept_line_no FROM fate WHERE kept IS NOT NULL
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
