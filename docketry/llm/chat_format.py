@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.frames import col
+
 END = "</turn>\n"
 LOSS_ROLE = "assistant"
 PART = "struct<kind:string,text:string,ref:string,amount:double>"
@@ -85,7 +87,7 @@ def flatten_parts(messages: DataFrame, parts: str = "parts") -> DataFrame:
         return F.struct((acc["at"] + F.length(v["piece"])).alias("at"), found.alias("found"))
 
     return seen.select(
-        *[F.col(f"`{c}`") for c in messages.columns],
+        *[col(c) for c in messages.columns],
         F.array_join(F.transform("_visited", lambda v: v["piece"]), "").alias("content"),
         F.aggregate("_visited", F.lit(0).cast("long"), lambda a, v: a + v["tokens"]).alias("n_tokens"),
         F.aggregate("_visited", zero, step, lambda a: a["found"]).alias("attachments"),
@@ -95,7 +97,7 @@ def flatten_parts(messages: DataFrame, parts: str = "parts") -> DataFrame:
 def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """Per conversation: its id, formatted, loss (array of (from, to), one per turn), n_tokens,
     attachments (turn number from 0, then as in `flatten_parts`, start counted in the turn)."""
-    plain = messages.select(F.col(f"`{conv}`").alias(conv), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{parts}`").alias("parts"))
+    plain = messages.select(col(conv), col(turn).alias("turn"), col(role).alias("role"), col(parts).alias("parts"))
     flat = flatten_parts(plain)
     head = F.concat(F.lit("<turn:"), escape(F.col("role")), F.lit(">"))
     begin, size = F.length("head"), F.length("content")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.frames import col
+
 RATE = 0.1
 MIN_CHARS = 32
 BLOCK_CHARS = 1 << 20  # of items that one pass looks for
@@ -138,7 +140,7 @@ class Matcher:
 
 def item_blocks(items: DataFrame, item_id: str, text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The distinct items in blocks, in the order of their ids."""
-    rows = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL").distinct()
+    rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where("id IS NOT NULL").distinct()
     block: list[tuple[int, str]] = []
     size = 0
     for row in rows.orderBy("id", "text").toLocalIterator():
@@ -159,7 +161,7 @@ def contaminated(
     rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """doc_id, item_id, distance, match_end (characters of the normal text) of all hits."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     schema = "doc_id long, item_id long, distance long, match_end long"
     out = None
     for block in item_blocks(items, item_id, item_text, min_chars, block_chars):

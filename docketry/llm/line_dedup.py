@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.frames import col, packed
 from docketry.session import cut_lineage
 
 MIN_CHARS = 20
@@ -28,7 +29,7 @@ PARTS = 16
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("l", "line"))
+    rows = docs.select(col(doc_id).cast("long").alias("d"), F.posexplode(F.split(col(text), "\n", -1)).alias("l", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -76,7 +77,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     going = _shared(keys, "f").select("h1").distinct()
     found = distinct.where(F.col("n") >= min_chars).select("h1", "id", "n").join(going, "h1")
     by_doc = found.groupBy(F.col("id.d").alias("d")).agg(F.collect_set("id.l").alias("ls"))
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), F.col(f"`{text}`").alias("text"))
+    plain = docs.select(col(doc_id).cast("long").alias("_d"), col(text).alias("text"))
     picked = plain.join(by_doc, F.col("_d").eqNullSafe(F.col("d")))
     texts = picked.select("d", F.posexplode(F.split("text", "\n", -1)).alias("l", "line"), "ls").where(F.array_contains("ls", F.col("l")))
     texts = texts.select(F.struct("d", "l").alias("id"), "line", F.length("line").alias("n")).distinct()
@@ -109,8 +110,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with the removed lines taken out of their texts."""
     gone = removed_lines(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("_gone"))
-    marked = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_d")), "left")
-    numbered = F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    marked = packed(docs, d=col(doc_id).cast("long"), text=text).join(gone, F.col("d").eqNullSafe(F.col("_d")), "left")
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     left = F.filter(numbered, lambda p: ~F.array_contains("_gone", p["i"]))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda p: p["x"]), "\n"))
-    return marked.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    cleaned = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda p: p["x"]), "\n"))
+    return marked.select(*[(cleaned if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

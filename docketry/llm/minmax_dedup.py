@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import words as W
 from docketry.llm.components import components
+from docketry.llm.frames import col, packed
 from docketry.session import cut_lineage
 
 SHINGLE = 5
@@ -100,7 +101,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int
                 ids = batch.column(0).slice(block.rows.start, len(n))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), lists], ["id", "n", "k1", "k2", "bands"])
 
-    rows_in = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows_in = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     return rows_in.mapInArrow(sign, "id long, n long, k1 long, k2 long, bands array<long>")
 
 
@@ -193,7 +194,7 @@ def near_duplicates(
     buckets = cut_lineage(banded.join(shared, "b").distinct())
     # A class with many bucket mates is near the middle of its group and leads its buckets.
     weights = buckets.groupBy("rep").agg(F.sum("size").alias("w"))
-    wanted = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    wanted = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     texts = cut_lineage(wanted.join(weights.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]))
     buckets = cut_lineage(buckets.drop("size").join(weights, "rep"))
 
@@ -234,10 +235,11 @@ def near_duplicates(
             F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
         )
     )
-    return out.withColumn("kept", F.coalesce(F.col(f"`{doc_id}`") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(col(doc_id) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` without the rows whose text is near that of a document with a smaller id."""
-    out = near_duplicates(docs, doc_id, text, **options).where("NOT kept").select(F.col(f"`{doc_id}`").alias("_gone")).distinct()
-    return docs.join(out, docs[f"`{doc_id}`"] == out["_gone"], "left_anti")
+    plain = docs.select(col(doc_id).alias("id"), col(text).alias("text"))
+    gone = near_duplicates(plain, "id", "text", **options).where("NOT kept").select("id").distinct()
+    return packed(docs, id=col(doc_id).cast("long")).join(gone, "id", "left_anti").select("row.*")

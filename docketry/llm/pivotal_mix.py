@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm import words as W
+from docketry.llm.frames import col, packed
 from docketry.session import cut_lineage
 
 WEIGHTS = (1, 2, 3)
@@ -39,7 +40,7 @@ SEED = 11
 def with_size(docs: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
     """`docs` with the number of words of `text`; the text itself is left out."""
     names = [c for c in docs.columns if c not in (text, size)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(size, "long")
+    schema = docs.select(*[col(c) for c in names]).schema.add(size, "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +48,7 @@ def with_size(docs: DataFrame, text: str = "text", size: str = "size") -> DataFr
             sizes = pa.array(np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], [*names, size])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`")).mapInArrow(count, schema)
+    return docs.select(*[col(c) for c in names], col(text)).mapInArrow(count, schema)
 
 
 def source_targets(sized: DataFrame, source: str = "source", size: str = "size", weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -57,7 +58,7 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
     among those not yet full gives a level per place; it rises until they can take it all and
     falls after, so the highest is the level sought. The windows see one row per source.
     """
-    name = F.col(f"`{source}`")
+    name = col(source)
     sums = sized.groupBy(name.alias("source")).agg(F.sum(size).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights)).cast("int"))
@@ -127,7 +128,7 @@ def _tree(units: DataFrame, chunk: int) -> DataFrame:
 
 def mix_copies(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple = WEIGHTS, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
     """Per id and source: doc_id, source, source_size, target, copies (of each such row)."""
-    names = [F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").alias("size")]
+    names = [col(doc_id).alias("doc_id"), col(source).alias("source"), col(size).alias("size")]
     sized = sized.select(*names)
     targets = cut_lineage(source_targets(sized, "source", "size", weights, most))
     units = sized.groupBy("doc_id", "source").agg(F.sum("size").alias("mass"))
@@ -140,7 +141,7 @@ def mix_copies(sized: DataFrame, doc_id: str = "doc_id", source: str = "source",
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Per row of `docs`: doc_id, source, size, source_size, target, copies, taken."""
-    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    plain = docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), col(text).alias("text"))
     sized = cut_lineage(with_size(plain))
     copies = mix_copies(sized, **options)
     same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("s.source").eqNullSafe(F.col("c.source"))
@@ -150,9 +151,8 @@ def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixture itself: each row of `docs` as often as it is taken, with its columns."""
-    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    plain = docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), col(text).alias("text"))
     copies = mix_copies(cut_lineage(with_size(plain)), **options).where("copies > 0")
-    plan = copies.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("copies").alias("_n"))
-    same = docs[f"`{doc_id}`"].eqNullSafe(F.col("_i")) & docs[f"`{source}`"].eqNullSafe(F.col("_s"))
-    joined = docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return joined.drop("_i", "_s", "_n", "_copy")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
+    joined = packed(docs, doc_id=doc_id, source=source).alias("d").join(copies.alias("c"), same)
+    return joined.select("d.row", F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int")))).select("row.*")

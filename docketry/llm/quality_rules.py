@@ -20,10 +20,10 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from docketry.llm import words as W
+from docketry.llm.frames import col, fresh
 
 SAMPLE_ROWS = 500  # texts on which costs and rejections are estimated; steers the order only
 WINDOW = 8
@@ -196,7 +196,7 @@ def plan_cascade(docs: DataFrame, text: str = "text", rules: list[Rule] | None =
     """Order the rules by rejections per second over `sample_rows` texts (the first that Spark
     hands over; their choice steers only the order)."""
     rules = RULES if rules is None else rules
-    sample = pa.array([r[0] for r in docs.select(F.col(f"`{text}`")).limit(sample_rows).collect()], pa.string())
+    sample = pa.array([r[0] for r in docs.select(col(text)).limit(sample_rows).collect()], pa.string())
     seconds, hits = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0)
     for block in W.blocks(sample):
         for rule in rules:
@@ -219,7 +219,7 @@ def apply_cascade(docs: DataFrame, cascade: Cascade, text: str = "text", kept: s
     names = [c for c in docs.columns if c not in added]
     flags = [StructField(c, BooleanType()) for c in added if c in ("base_failed", kept)]
     numbers = [StructField(c, LongType()) for c in measures]
-    source = docs.select(*[F.col(f"`{c}`") for c in names])
+    source = docs.select(*[col(c) for c in names])
     schema = StructType([source.schema[c] for c in names] + numbers + flags)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,5 +246,5 @@ def apply_cascade(docs: DataFrame, cascade: Cascade, text: str = "text", kept: s
 
 def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """The rows of `docs` that pass every rule, with their columns."""
-    verdict = apply_cascade(docs, plan_cascade(docs, text, rules), text, kept="_kept")
-    return verdict.where("_kept").drop("_kept")
+    mark = fresh(docs, "kept")
+    return apply_cascade(docs, plan_cascade(docs, text, rules), text, kept=mark).where(col(mark)).drop(mark)

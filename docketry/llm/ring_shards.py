@@ -24,6 +24,7 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm.frames import col, packed
 from docketry.operators.ordering import dense_index
 
 CELLS = 1 << 16
@@ -86,9 +87,8 @@ def shard_rows(df: DataFrame, key: str, shards: int, virtual: int = VIRTUAL, ord
     `order` names columns that break ties between rows of one key.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
-    names = df.columns
-    place = F.pmod(F.xxhash64(F.lit("key"), F.col(f"`{key}`")), F.lit(CELLS)).cast("int")
+    kept = df.drop("shard", "slot")
+    place = F.pmod(F.xxhash64(F.lit("key"), col(key)), F.lit(CELLS)).cast("int")
     nodes = ring(spark, shards, virtual)
     # Every cell's arc: a table of CELLS rows at most, whatever the data.
     held = sorted((r.arc, r.owner) for r in nodes.collect())
@@ -97,14 +97,14 @@ def shard_rows(df: DataFrame, key: str, shards: int, virtual: int = VIRTUAL, ord
     if arcs[-1] < CELLS - 1:  # past the last node the ring goes on at the first
         spans.append((arcs[-1] + 1, CELLS - 1, arcs[0]))
     cells = _rows(spark, spans, "low int, high int, _arc int").select(F.explode(F.sequence("low", "high")).alias("_cell"), "_arc")
-    marked = df.withColumn("_cell", place).join(F.broadcast(cells), "_cell")
-    ties = [F.col(f"`{c}`").asc_nulls_first() for c in [key, *(order or [])]]
+    marked = packed(kept, _cell=place).join(F.broadcast(cells), "_cell")
+    ties = [F.col("row").getField(c).asc_nulls_first() for c in [key, *(order or [])]]
     indexed = dense_index(marked, [F.col("_arc"), F.col("_cell"), *ties], "_at", start=0)
     sums = {r["_arc"]: (r["first"], r["n"]) for r in indexed.groupBy("_arc").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()}
     counts = [(arc, owner, sums.get(arc, (0, 0))[1]) for arc, owner in held]
     ranges = [(arc, sums[arc][0] + low, sums[arc][0] + high, shard, slot) for arc, low, high, shard, slot in walk(counts, shards)]
     if not ranges:
-        return df.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
+        return kept.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
     plan = _rows(spark, ranges, "_arc int, _low long, _high long, shard int, _slot long")
     found = indexed.join(F.broadcast(plan), "_arc").where("_at >= _low AND _at < _high")
-    return found.select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("_at") - F.col("_low") + F.col("_slot")).alias("slot"))
+    return found.select("row.*", "shard", (F.col("_at") - F.col("_low") + F.col("_slot")).alias("slot"))

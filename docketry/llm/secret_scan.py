@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.frames import col
 from docketry.session import cut_lineage
 
 KINDS = ["assign", "access", "hex", "format"]
@@ -187,7 +188,7 @@ def scan_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 runs.append([dict(zip(("start", "end", "run"), r, strict=True)) for r in other])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_type), pa.array(runs, run_type)], ["doc_id", "base", "runs"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     return rows.mapInArrow(
         run, "doc_id long, base array<struct<kind:string,start:long,end:long,secret:string>>, runs array<struct<start:long,end:long,run:string>>"
     )

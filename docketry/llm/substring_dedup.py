@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import words as W
+from docketry.llm.frames import col
 from docketry.session import cut_lineage
 
 WINDOW = 13
@@ -321,7 +322,7 @@ def _drop_words(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     known = rows.where("id IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(64, size // shard_bytes)
