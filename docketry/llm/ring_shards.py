@@ -38,10 +38,9 @@ def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> DataFrame:
     """
     if shards * virtual > CELLS // 4:
         raise ValueError("too many virtual nodes for the ring's cells")
-    nodes = spark.range(shards * virtual, numPartitions=1).select(
-        (F.col("id") % shards).cast("int").alias("owner"),
-        F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(CELLS)).cast("int").alias("arc"),
-    )
+    owner, copy = (F.col("id") % shards).cast("int"), F.floor(F.col("id") / shards)
+    place = F.pmod(F.xxhash64(F.lit("node"), owner, copy), F.lit(CELLS)).cast("int")  # the same whatever `shards`
+    nodes = spark.range(shards * virtual, numPartitions=1).select(owner.alias("owner"), place.alias("arc"))
     return nodes.groupBy("arc").agg(F.min("owner").alias("owner"))
 
 
