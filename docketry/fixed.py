@@ -156,6 +156,8 @@ CATEGORIES = {
 INITIAL_PARTS = ("new_employment", "new_concurrent")
 CONTINUING_PARTS = ("continuation", "change_same_employer", "change_of_employer", "amended")
 OUTCOMES = ("approvals", "denials")
+# What does not count in a registry header: all but letters and digits, and a plural outcome's s.
+HEADER_NOISE = ("[^a-z0-9]", "(?<=approval)s$", "(?<=denial)s$")
 REGISTRY_ID_HEADERS = {
     "fiscal_year": ["fiscalyear"],
     "employer_name": ["employer", "employername", "employerpetitionername", "petitionername"],

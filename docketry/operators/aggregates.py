@@ -1,6 +1,6 @@
 """Published aggregate tables over resolved cases.
 
-Status groups: certified; withdrawn (two statuses); denied; filed is all. Pay percentiles use
+Status groups: certified; withdrawn (two statuses); denied; submitted is all. Pay percentiles use
 certified full-time rows with a plausible yearly pay. Missing stays missing: a sum of no
 stated values is NULL, while a count of no rows is 0.
 """
@@ -85,7 +85,7 @@ def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
         "level_none": fixed.NO_LEVEL,
     }
     counts = cases.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("int").alias("filed"),
+        F.count(F.lit(1)).cast("int").alias("submitted"),
         count_where(certified()).alias("certified"),
         count_where(F.col("case_status").isin(*fixed.WITHDRAWN_GROUP)).alias("withdrawn"),
         count_where(F.col("case_status") == fixed.DENIED).alias("denied"),
@@ -102,7 +102,7 @@ def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
         .withColumn("wage_rows", F.coalesce("wage_rows", F.lit(0)))
         .join(year_sources(cases), "fiscal_year")
         .select(
-            key, "fiscal_year", "source_file", "quarter", "filed", "certified", "withdrawn",
+            key, "fiscal_year", "source_file", "quarter", "submitted", "certified", "withdrawn",
             "denied", "certified_workers", "wage_rows", *QUARTILES, *levels, "h1b_dependent",
             "willful_violator",
         )
@@ -338,7 +338,7 @@ def pay_exclusions(cases: DataFrame, by: Column, name: str) -> DataFrame:
 
 
 def pay_exclusion_totals(cases: DataFrame) -> DataFrame:
-    """One row over all cases, incl. the excluded salaries filed under another unit."""
+    """One row over all cases, incl. the excluded salaries submitted under another unit."""
     pay = F.col("wage_annual")
     wrong_unit = ~F.col("wage_valid") & (F.col("wage_unit") != "Year") & (F.col("wage_from") >= fixed.PAY_MIN)
     return cases.agg(
@@ -361,7 +361,7 @@ def date_coverage(rows: DataFrame, file: str = "source_file", date: str = "decis
 def site_totals(year: DataFrame, key: str = "employer_id") -> DataFrame:
     """Totals over everything, and how recent the latest year is."""
     totals = year.agg(
-        F.sum("filed").alias("filed"),
+        F.sum("submitted").alias("submitted"),
         F.sum("certified").alias("certified"),
         F.count_distinct("fiscal_year").cast("int").alias("years"),
         F.count_distinct(key).alias("employers"),

@@ -63,7 +63,7 @@ def registry_entities(summary: DataFrame) -> DataFrame:
 
 
 def entity_places(keyed: DataFrame, entity: DataFrame) -> DataFrame:
-    """Distinct (entity, norm, state, tax id) under which an entity ever filed."""
+    """Distinct (entity, norm, state, tax id) under which an entity ever submitted."""
     return (
         keyed.where(F.col("employer_name").isNotNull())  # the keyed summary of filings
         .select("employer_key", "norm", F.col("employer_state").alias("state"))

@@ -10,7 +10,7 @@ from docketry.functions.clean import lookup
 from docketry.functions.names import normalize_name
 from docketry.operators.ordering import best_per_key
 
-MEASURES = ["filed", "certified", "withdrawn", "denied"]
+MEASURES = ["submitted", "certified", "withdrawn", "denied"]
 
 
 class GateError(AssertionError):
@@ -76,7 +76,7 @@ def recount(raw: DataFrame, number: str, status: str, quarter: str) -> DataFrame
     return (
         last.groupBy("fiscal_year")
         .agg(
-            F.count(F.lit(1)).alias("filed"),
+            F.count(F.lit(1)).alias("submitted"),
             F.count_if(F.col("_code") == 1).alias("certified"),
             F.count_if(F.col("_code").isin(2, 4)).alias("withdrawn"),
             F.count_if(F.col("_code") == 3).alias("denied"),
@@ -148,7 +148,7 @@ def pair_scores(pairs: DataFrame, predicted: Column, actual: Column) -> DataFram
 
 
 def majority_entity(rows: DataFrame, name: str, entity: str) -> DataFrame:
-    """The entity that filed most rows under each spelling; ties to the lowest id."""
+    """The entity that submitted most rows under each spelling; ties to the lowest id."""
     counted = rows.groupBy(name, entity).agg(F.count(F.lit(1)).alias("_n"))
     return best_per_key(counted, [name], [F.desc("_n"), F.asc(entity)]).select(name, entity)
 

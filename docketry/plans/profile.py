@@ -81,23 +81,12 @@ def group_page(groups: DataFrame, employers: DataFrame, asked: DataFrame) -> Dat
     )
 
 
-def group_years(
-    members: DataFrame, year: DataFrame, years: list[int], by: str = "group_slug",
-    measure: str = "certified",
-) -> DataFrame:
-    """Member x year table with a total row (employer_id NULL) per group."""
-    wide = (
-        members.select(by, "employer_id")
-        .join(year.select("employer_id", "fiscal_year", measure), "employer_id")
-        .groupBy(by, "employer_id")
-        .pivot("fiscal_year", years)
-        .agg(F.sum(measure).cast("bigint"))
-    )
-    cells = [str(y) for y in years]
-    total = wide.groupBy(by).agg(*[F.sum(f"`{c}`").cast("bigint").alias(c) for c in cells])
-    return wide.unionByName(
-        total.select(by, F.lit(None).cast("bigint").alias("employer_id"), *[f"`{c}`" for c in cells])
-    )
+def group_years(members: DataFrame, year: DataFrame, by: str = "group_slug", measure: str = "certified") -> DataFrame:
+    """Measure per group, member and year, with a total over the group (employer_id NULL) for
+    every year any member has. Years come from the data; a page lays them out as columns."""
+    cells = members.select(by, "employer_id").join(year.select("employer_id", "fiscal_year", measure), "employer_id")
+    sums = cells.rollup("fiscal_year", by, "employer_id").agg(F.sum(measure).cast("bigint").alias(measure), F.grouping_id().alias("_g"))
+    return sums.where("_g < 3").where(F.col("_g") != 2).select(by, "employer_id", "fiscal_year", measure)
 
 
 def own_last_years(year: DataFrame, key: str = "employer_id", n: int = 2) -> DataFrame:

@@ -38,11 +38,11 @@ def line_cases(spark, d):
 
 @query(
     "reconcile_measures",
-    f"""WITH {LINE_CASES}, w AS (SELECT fiscal_year, count(*) AS filed, count(*) FILTER (WHERE status = 'Certified') AS certified,
+    f"""WITH {LINE_CASES}, w AS (SELECT fiscal_year, count(*) AS submitted, count(*) FILTER (WHERE status = 'Certified') AS certified,
         count(*) FILTER (WHERE status IN ('Withdrawn', 'Certified - Withdrawn')) AS withdrawn,
         count(*) FILTER (WHERE status = 'Denied') AS denied FROM kept GROUP BY 1)
     SELECT fiscal_year, measure, n AS raw_n, n AS published_n, CAST(0 AS BIGINT) AS diff
-    FROM (UNPIVOT w ON filed, certified, withdrawn, denied INTO NAME measure VALUE n)""",
+    FROM (UNPIVOT w ON submitted, certified, withdrawn, denied INTO NAME measure VALUE n)""",
 )
 def reconcile_measures(spark, d):
     """The published path and the recount, compared; the SQL computes one and expects equality."""
@@ -50,7 +50,7 @@ def reconcile_measures(spark, d):
     kept = latest_wins(raw, ["fiscal_year", "case_number"], [F.desc("quarter"), F.desc("status")])
     status = F.col("status")
     published = kept.groupBy("fiscal_year").agg(
-        F.count(F.lit(1)).alias("filed"),
+        F.count(F.lit(1)).alias("submitted"),
         F.count_if(status == "Certified").alias("certified"),
         F.count_if(status.isin("Withdrawn", "Certified - Withdrawn")).alias("withdrawn"),
         F.count_if(status == "Denied").alias("denied"),

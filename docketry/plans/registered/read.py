@@ -12,16 +12,16 @@ from docketry.plans.case_flow import meta_years
 from docketry.plans.registered.aggregated import CUBE, YEAR_STATS
 from docketry.plans.registered.base import CASES, EMPLOYERS, aliases, cases, employers, query, table
 
-FOUND = """found AS (SELECT slug, display_name, e.state, uscis_initial_total, h1b_dependent_latest, cap_exempt_rule,
-    CAST(sum(c.certified) AS INTEGER) AS certified, CAST(sum(c.wage_rows) AS INTEGER) AS wage_rows,
-    round(CAST(sum(CAST(c.wage_sum AS DECIMAL(28,4))) AS DOUBLE) / nullif(sum(c.wage_rows), 0)) AS avg_wage
-  FROM cube c JOIN employers e USING (employer_id) WHERE {where} GROUP BY ALL HAVING sum(c.certified) >= {minimum})"""
+FOUND = """summed AS (SELECT employer_id, CAST(sum(certified) AS INTEGER) AS certified, CAST(sum(wage_rows) AS INTEGER) AS wage_rows,
+    CAST(sum(CAST(wage_sum AS DECIMAL(28,4))) AS DOUBLE) AS pay FROM cube WHERE {cells} GROUP BY employer_id),
+  found AS (SELECT slug, display_name, state, uscis_initial_total, h1b_dependent_latest, cap_exempt_rule, certified, wage_rows,
+    round(pay / nullif(wage_rows, 0)) AS avg_wage FROM employers JOIN summed USING (employer_id) WHERE certified >= {minimum} AND {who})"""
 
 REQUEST = dict(levels=("I", "II"), minimum=1, hide_dependent=True, hide_exempt=True, sort="wage")
 FILTERED = FOUND.format(
-    where="wage_level IN ('I', 'II') AND h1b_dependent_latest IS NOT TRUE AND cap_exempt_rule IS NULL", minimum=1
+    cells="list_contains(['I', 'II'], wage_level)", who="NOT coalesce(h1b_dependent_latest, false) AND cap_exempt_rule IS NULL", minimum=1
 )
-EVERYTHING = FOUND.format(where="true", minimum=0)
+EVERYTHING = FOUND.format(cells="true", who="true", minimum=0)
 
 
 @query(
@@ -87,17 +87,19 @@ ALIASES = """aliases AS (SELECT CAST(p_size * 100 + length(p_type) AS BIGINT) AS
     FOR w IN string_split(norm, ' ')])) AS g FROM (SELECT DISTINCT norm FROM named)),
   asked AS (SELECT q, norm AS q_norm, list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)]
     FOR w IN string_split(norm, ' ')])) AS qg FROM ({queries})),
-  scored AS (SELECT q, q_norm, norm, len(list_intersect(g, qg)) AS s, len(g) AS a, len(qg) AS b FROM grams, asked),
-  hits AS (SELECT q, employer_id, name, "rows", s / (a + b - s) AS sim,
-    CASE WHEN n.norm = q_norm THEN 0 WHEN starts_with(n.norm, q_norm) THEN 1 WHEN contains(n.norm, q_norm) THEN 2
-      WHEN s / (a + b - s) >= 0.3 THEN 3 END AS tier FROM scored s JOIN named n USING (norm)),
-  best AS (SELECT q, employer_id, name AS matched_alias, tier, sim FROM hits WHERE tier IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY q, employer_id ORDER BY tier, sim DESC, "rows" DESC, name) = 1),
-  ranked AS (SELECT q, employer_id, matched_alias, tier, slug, display_name, certified_total, uscis_initial_total,
-    row_number() OVER (PARTITION BY q ORDER BY tier, CASE WHEN tier = 3 THEN sim END DESC NULLS LAST, certified_total DESC NULLS LAST,
-      uscis_initial_total DESC NULLS LAST, display_name, slug) AS place FROM best JOIN people USING (employer_id))"""
+  scored AS (SELECT q, q_norm, norm, len(list_intersect(g, qg)) / len(list_distinct(g || qg)) AS sim FROM grams, asked),
+  tests AS (SELECT *, list_position([norm = q_norm, starts_with(norm, q_norm), contains(norm, q_norm), sim >= 0.3], true) - 1 AS tier FROM scored),
+  best AS (SELECT q, employer_id, min({{'tier': tier, 'far': -sim, 'few': -"rows", 'name': name}}) AS hit FROM tests JOIN named USING (norm)
+    WHERE tier >= 0 GROUP BY q, employer_id),
+  lined AS (SELECT q, list_sort(list({{'tier': hit.tier, 'far': if(hit.tier = 3, hit.far, 0.0), 'c': -coalesce(certified_total, -1e9),
+      'u': -coalesce(uscis_initial_total, -1e9), 'display_name': display_name, 'slug': slug, 'employer_id': employer_id,
+      'matched_alias': hit.name, 'certified_total': certified_total, 'uscis_initial_total': uscis_initial_total}})) AS hits
+    FROM best JOIN people USING (employer_id) GROUP BY q),
+  ranked AS (SELECT q, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS place FROM lined)"""
 
-RANKED = "SELECT q, employer_id, matched_alias, tier, slug, display_name, certified_total, uscis_initial_total, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= {n}"
+RANKED = """SELECT q, h.employer_id AS employer_id, h.matched_alias AS matched_alias, CAST(h.tier AS INTEGER) AS tier, h.slug AS slug,
+  h.display_name AS display_name, h.certified_total AS certified_total, h.uscis_initial_total AS uscis_initial_total,
+  CAST(place AS INTEGER) AS place FROM ranked WHERE place <= {n}"""
 
 
 def people(alias):
@@ -157,22 +159,18 @@ def linked_partners(spark, d):
     return partners_of(link_members(rows, ident="id", entity="id"), rows, entity="id")
 
 
-YEARS = list(range(1995, 2003))
-CELLS = ", ".join(f'CAST(sum(certified) FILTER (WHERE fiscal_year = {y}) AS BIGINT) AS "{y}"' for y in YEARS)
-
-
 @query(
     "group_pivot_totals",
-    f"""WITH {CASES}, {YEAR_STATS}, m AS (SELECT s.employer_id, 'g-' || (employer_id // 4) AS group_slug, fiscal_year, certified FROM stats s)
-    SELECT group_slug, employer_id, {CELLS} FROM m GROUP BY 1, 2
-    UNION ALL SELECT group_slug, NULL, {CELLS} FROM m GROUP BY 1""",
+    f"""WITH {CASES}, m AS (SELECT employer_id, 'g-' || (employer_id // 4) AS group_slug, fiscal_year, case_status = 'Certified' AS c FROM cases)
+    SELECT group_slug, employer_id, fiscal_year, count_if(c)::BIGINT AS certified FROM m GROUP BY ALL
+    UNION ALL SELECT group_slug, NULL, fiscal_year, count_if(c)::BIGINT FROM m GROUP BY ALL""",
 )
 def group_pivot_totals(spark, d):
     rows = cases(spark, d)
     year = rows.groupBy("employer_id", "fiscal_year").agg(F.count_if(F.col("case_status") == "Certified").alias("certified"))
     slug = F.concat(F.lit("g-"), F.floor(F.col("c_custkey") / 4).cast("string"))
     members = table(spark, d, "customer").select(slug.alias("group_slug"), F.col("c_custkey").alias("employer_id"))
-    return profile.group_years(members, year, YEARS)
+    return profile.group_years(members, year)
 
 
 @query(
@@ -209,11 +207,11 @@ def mix_shares(spark, d):
 
 @query(
     "own_last_years",
-    f"""WITH {CASES}, y AS (SELECT employer_id, fiscal_year, count(*) AS filed FROM cases GROUP BY ALL)
-    SELECT employer_id, fiscal_year, filed FROM y QUALIFY row_number() OVER (PARTITION BY employer_id ORDER BY fiscal_year DESC) <= 2""",
+    f"""WITH {CASES}, y AS (SELECT employer_id, fiscal_year, count(*) AS submitted FROM cases GROUP BY ALL)
+    SELECT employer_id, fiscal_year, submitted FROM y QUALIFY row_number() OVER (PARTITION BY employer_id ORDER BY fiscal_year DESC) <= 2""",
 )
 def own_last_years(spark, d):
-    year = cases(spark, d).groupBy("employer_id", "fiscal_year").agg(F.count(F.lit(1)).alias("filed"))
+    year = cases(spark, d).groupBy("employer_id", "fiscal_year").agg(F.count(F.lit(1)).alias("submitted"))
     return profile.own_last_years(year)
 
 

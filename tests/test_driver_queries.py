@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from docketry.plans.registered.everything import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -35,7 +36,7 @@ def table(columns, records):
     return [columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in records)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF_DIR)
     got = table(df.columns, df.collect())
@@ -52,7 +53,8 @@ def test_entry(spark):
 
 
 def test_only_file_inventories_have_no_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"file_inventory", "change_detection"}
+    assert set(QUERIES) - set(driver.oracle_sql()) == {"file_inventory", "change_detection"}
+    assert set(QUERIES) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", ["dedup_latest", "top5_per_entity_latest_year", "similar_entities", "first_aliases"])

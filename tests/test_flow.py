@@ -66,9 +66,7 @@ def test_entities_and_links(spark):
     alias = resolve.aliases(k, entity)
     assert (1, "Acme Inc", "ACME", 2) in rows(alias)
     members = links.link_members(alias.join(entity.select("employer_id", "fein"), "employer_id")).cache()
-    pair = [("ACME", "11-1111111", "22-2222222", 1, 2)]
-    assert rows(links.link_pairs(members, 50)) == pair
-    assert rows(links.link_pairs(members, 1)) == []
+    assert rows(members.select("norm", "employer_id", "group_size", "group_pairs")) == [("ACME", 1, 2, 1), ("ACME", 2, 2, 1)]
     asked = spark.createDataFrame([(2,)], "employer_id int")
     assert rows(links.partners_of(members, asked)) == [(2, 1, "ACME")]
     stats = resolve.resolution_stats(entity, alias, members).first()
@@ -152,7 +150,7 @@ def dims(spark, *given):
 def test_status_counts_and_quartiles(spark):
     status = ["Certified", "Certified - Withdrawn", "Withdrawn", "Denied", "Certified"]
     r = aggregates.entity_year(dims(spark, *[case(i, case_status=s) for i, s in enumerate(status)])).first()
-    assert (r.filed, r.certified, r.withdrawn, r.denied) == (5, 2, 2, 1)
+    assert (r.submitted, r.certified, r.withdrawn, r.denied) == (5, 2, 2, 1)
     good = [case(i, wage_from=float(100_000 + 10_000 * i)) for i in range(5)]
     noise = [case(10, full_time=False), case(11, case_status="Denied"), case(12, case_status="Withdrawn"),
              case(13, wage_from=45.0), case(14, wage_from=95000.0, wage_unit="Hour"), case(15, wage_from=None)]
@@ -231,7 +229,7 @@ def test_build_tables(spark):
     assert t["agg_groups"].count() == 2
     assert t["agg_links"].count() == 2
     assert t["agg_aliases"].where("source = 'uscis'").count() == 2
-    assert t["agg_lca_year"].agg(F.sum("filed")).first()[0] == 5
+    assert t["agg_lca_year"].agg(F.sum("submitted")).first()[0] == 5
     meta = meta_table(spark, t, "2026-01-01T00:00:00", 2, etl_fingerprint="abc")
     got = {r.key: r.value for r in meta.collect()}
     assert (got["lca_years"], got["uscis_years"], got["entry_years"]) == ("[2023,2025]", "[2023]", "2023-2025")
