@@ -23,6 +23,9 @@ def text(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
 
 
+LAST_SERIAL = 2_958_466  # the day after 9999-12-31; larger numbers are no dates
+
+
 def number(c: Column) -> Column:
     # The guard matters: a bare cast would take '5d' for 5.0.
     return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
@@ -40,7 +43,8 @@ def whole(c: Column) -> Column:
 def serial_date(c: Column) -> Column:
     """Date from a spreadsheet serial number or from ISO text."""
     t = F.trim(c)
-    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(t.try_cast("double")).cast("int"))
+    days = F.floor(t.try_cast("double"))
+    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.when(days < LAST_SERIAL, days.try_cast("int")))
     iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.left(t, F.lit(10)).try_cast("date"))
     return F.when(t.rlike(r"^\d+(\.\d+)?$"), serial).otherwise(iso)
 
@@ -109,7 +113,7 @@ def known_parts_sum(*parts: Column) -> Column:
 
 def separated_int(c: Column) -> Column:
     """Integer from text with thousands separators; a fraction is cut off."""
-    return number(F.replace(F.trim(c), F.lit(","), F.lit(""))).cast("int")
+    return number(F.replace(F.trim(c), F.lit(","), F.lit(""))).try_cast("int")
 
 
 def tail4(c: Column) -> Column:

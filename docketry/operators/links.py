@@ -2,8 +2,7 @@
 
 All pairs inside a name are quadratic in the name's ids. The record kept here is linear: one
 row per member with its group's size, from which the pair count and the partners of any
-given entity follow exactly. Pairs themselves are listed only for the groups whose size is
-within a stated bound; larger groups stay whole as member rows.
+given entity follow exactly. Pairs themselves are never listed.
 """
 
 from __future__ import annotations
@@ -32,28 +31,6 @@ def link_members(
     return members.join(sizes, group)
 
 
-def link_pairs(
-    members: DataFrame,
-    bound: int,
-    group: str = "norm",
-    ident: str = "fein",
-    entity: str = "employer_id",
-) -> DataFrame:
-    """Unordered pairs of the groups of at most `bound` ids; see `members` for the rest."""
-    small = members.where(F.col("group_size") <= bound)
-    a, b = small.alias("a"), small.alias("b")
-    return a.join(
-        b,
-        (F.col("a." + group) == F.col("b." + group)) & (F.col("a." + ident) < F.col("b." + ident)),
-    ).select(
-        F.col("a." + group).alias("norm_name"),
-        F.col("a." + ident).alias("fein_a"),
-        F.col("b." + ident).alias("fein_b"),
-        F.col("a." + entity).alias("employer_a"),
-        F.col("b." + entity).alias("employer_b"),
-    )
-
-
 def partners_of(
     members: DataFrame, asked: DataFrame, group: str = "norm", entity: str = "employer_id"
 ) -> DataFrame:

@@ -13,14 +13,12 @@ entities before it cannot get a number below 2 + p.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docketry.operators.ordering import position_in_key, running_max
 from docketry.session import cut_lineage
 
-SMALL = 1_000_000
-
 
 def assign_slugs(
     df: DataFrame,
@@ -29,7 +27,6 @@ def assign_slugs(
     stem: Column,
     used: DataFrame | None = None,
     out: str = "slug",
-    small: int = SMALL,
 ) -> DataFrame:
     """Add the slug column. `choices` are the named choices in order (NULL: no such choice);
     after them come `stem-2`, `stem-3`, ... `used` has one column of slugs taken before."""
@@ -71,13 +68,12 @@ def assign_slugs(
             return df.join(
                 judged.select(F.col("_rank").alias(rank), F.col("_slug").alias(out)), rank
             )
-        state = _advance(judged, numbered, small)
+        state = _advance(judged, numbered)
 
 
-def _advance(judged: DataFrame, n_numbered: int, small: int) -> DataFrame:
-    """Losers move to their next choice; numbered entities move up together. A stem can hold
-    no more rows than there are numbered entities, so up to `small` of them a plain window
-    numbers a stem, and beyond that the split numbering does."""
+def _advance(judged: DataFrame, n_numbered: int) -> DataFrame:
+    """Losers move to their next choice; numbered entities move up together, numbered by a sort
+    that splits a hot stem over many tasks."""
     cols = ["_rank", "_choices", "_stem", "_k", "_num"]
     named = F.col("_k") < F.size("_choices")
     moved = judged.withColumn("_was_numbered", ~named).withColumn(
@@ -91,13 +87,7 @@ def _advance(judged: DataFrame, n_numbered: int, small: int) -> DataFrame:
     line = moved.where(numbered).select(*cols, bump.alias("_bump"))
     # Numbers rise strictly along the ranks of a stem, so a bump lifts everyone after it.
     lifted = F.col("_num") + F.col("_bump") - F.col("_pos")
-    if n_numbered <= small:
-        by_rank = Window.partitionBy("_stem").orderBy("_rank")
-        line = line.withColumn("_pos", F.row_number().over(by_rank) - 1)
-        upto = by_rank.rowsBetween(Window.unboundedPreceding, 0)
-        line = line.withColumn("_top", F.max(lifted).over(upto))
-    else:
-        line = position_in_key(line, ["_stem"], [F.col("_rank")], "_pos")
-        line = running_max(line.withColumn("_floor", lifted), ["_stem"], "_pos", "_floor", "_top")
+    line = position_in_key(line, ["_stem"], [F.col("_rank")], "_pos")
+    line = running_max(line.withColumn("_floor", lifted), ["_stem"], "_pos", "_floor", "_top")
     line = line.withColumn("_num", F.col("_top") + F.col("_pos"))
     return rest.unionByName(line.select(*cols))

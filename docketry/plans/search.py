@@ -12,13 +12,13 @@ from docketry.operators.ordering import best_per_key
 from docketry.session import cut_lineage
 
 EXACT, PREFIX, WITHIN, FUZZY = 0, 1, 2, 3
-QUERY_CHARS, QUERY_MIN, LIMIT_MAX = 100, 2, 50
+QUERY_MIN = 2
+REQUEST_CHARS, REQUEST_HITS = 100, 8  # bounds of one typeahead request, not of the search
 
 
 def prepare_queries(queries: DataFrame, text: str = "q") -> DataFrame:
     """Queries in matching form; too short ones find nothing."""
-    cut = F.substring(F.trim(F.col(text)), 1, QUERY_CHARS)
-    return queries.withColumn("q_norm", normalize_name(cut)).where(F.length("q_norm") >= QUERY_MIN)
+    return queries.withColumn("q_norm", normalize_name(F.trim(F.col(text)))).where(F.length("q_norm") >= QUERY_MIN)
 
 
 def _candidates(forms: DataFrame, asked: DataFrame) -> DataFrame:
@@ -128,9 +128,10 @@ def _ranked(hits: DataFrame, employers: DataFrame, by: list[str], limit: int) ->
         F.asc("slug"),
     ]
     return best_per_key(
-        best.join(employers, "employer_id"), by, order, min(max(limit, 1), LIMIT_MAX), "place"
+        best.join(employers, "employer_id"), by, order, max(limit, 1), "place"
     ).drop("sim")
 
 
 def typeahead(text: str, aliases: DataFrame, employers: DataFrame) -> DataFrame:
-    return search(text, aliases, employers, limit=8)
+    """Hits while a request is typed; only its first REQUEST_CHARS characters are read."""
+    return search(text.strip()[:REQUEST_CHARS], aliases, employers, limit=REQUEST_HITS)

@@ -8,8 +8,32 @@ from pyspark.sql import functions as F
 from docketry import fixed
 
 
+def fold_dots(path: Column) -> Column:
+    """An absolute path without its `.` and `..` segments."""
+    parts = F.slice(F.split(path, "/", -1), F.lit(2), F.size(F.split(path, "/", -1)))
+    last = F.element_at(parts, -1)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts,
+        start,
+        lambda done, p: F.when(p == ".", done)
+        .when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.array_append(done, p)),
+    )
+    # A path that ends in a dot segment names a folder.
+    tail = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
+
+
+def _with_folded_path(url: Column) -> Column:
+    place = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)(/[^?#]*)?(.*)$"
+    path = F.regexp_extract(url, place, 2)
+    folded = F.concat(F.regexp_extract(url, place, 1), fold_dots(path), F.regexp_extract(url, place, 3))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(url)
+
+
 def resolve_link(link: Column, base: Column) -> Column:
-    """Absolute form of a link on the page `base`."""
+    """Absolute form of a link on the page `base`, dot segments folded."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
@@ -18,10 +42,10 @@ def resolve_link(link: Column, base: Column) -> Column:
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("/"), _with_folded_path(F.concat(origin, link)))
         .when(link.startswith("#"), F.concat(page, link))
         .when(link.startswith("?"), F.concat(F.regexp_replace(page, r"\?.*$", ""), link))
-        .otherwise(F.concat(origin, folder, link))
+        .otherwise(_with_folded_path(F.concat(origin, folder, link)))
     )
 
 

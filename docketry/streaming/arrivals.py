@@ -2,13 +2,15 @@
 they touch are rebuilt.
 
 Arrived rows are kept in an append-only log with one folder per micro-batch; a repeated
-batch overwrites its own folder. A touched year is rebuilt from the log by the latest-wins
-rule into a new folder, and then a pointer row names the new folder. No step overwrites what
-it reads, so a job can be lost anywhere and run again.
+batch overwrites its own folder. Latest-wins is associative, so a touched year is its snapshot
+before the batch merged with the batch, written to a new folder; then a pointer row names that
+folder. No step overwrites what it reads, so a job can be lost anywhere and run again. A row
+without a year stops the batch before anything is written.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,18 @@ def take_batch(
     spark = batch.sparkSession
     batch = cut_lineage(batch)
     touched = batch.select(year).distinct()
-    years = sorted(r[0] for r in touched.collect() if r[0] is not None)  # fiscal years: few
+    years = [r[0] for r in touched.collect()]  # fiscal years: few
+    if None in years:
+        raise ValueError(f"batch {batch_id} has rows without {year}")
     if not years:
         return
     batch.write.mode("overwrite").partitionBy(year).parquet(f"{root}/log/batch={batch_id}")
-    log = spark.read.option("basePath", f"{root}/log").parquet(f"{root}/log").where(
-        (F.col("batch") <= batch_id) & F.col(year).isin(*years)
-    )
-    latest = latest_wins(log.drop("batch"), keys, order)
+    rows = batch
+    before = _pointers(spark, root, batch_id)
+    if before is not None:
+        old = _snapshot(spark, root, before, year).where(F.col(year).isin(*years))
+        rows = batch.unionByName(old.select(*batch.columns))
+    latest = latest_wins(rows, keys, order)
     latest.write.mode("overwrite").partitionBy(year).parquet(f"{root}/snapshot/batch={batch_id}")
     # Only now do readers look at the new folder.
     touched.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
@@ -56,15 +62,30 @@ def run_arrivals(
     query.awaitTermination()
 
 
-def current_rows(spark: SparkSession, root: str, year: str = "fiscal_year") -> DataFrame:
-    """The latest complete snapshot of every year."""
+def _pointers(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
+    """(year, batch) rows of all batches, or of those before `below`; None if there are none."""
+    try:
+        rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/pointers")
+    except AnalysisException:  # nothing has arrived yet
+        return None
+    return rows if below is None else rows.where(F.col("batch") < below)
+
+
+def _snapshot(spark: SparkSession, root: str, pointers: DataFrame, year: str) -> DataFrame:
     rows = spark.read.option("basePath", f"{root}/snapshot").parquet(f"{root}/snapshot")
-    pointers = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/pointers")
     newest = pointers.groupBy(year).agg(F.max("batch").alias("batch"))
     # One row per fiscal year; year and batch are folders, so others are not read.
     return rows.join(F.broadcast(newest), [year, "batch"], "left_semi").drop("batch")
 
 
+def current_rows(spark: SparkSession, root: str, year: str = "fiscal_year") -> DataFrame:
+    """The latest complete snapshot of every year."""
+    pointers = _pointers(spark, root)
+    if pointers is None:
+        raise ValueError(f"nothing has arrived at {root}")
+    return _snapshot(spark, root, pointers, year)
+
+
 def year_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """Stream of staged canonical files."""
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)

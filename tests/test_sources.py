@@ -251,3 +251,35 @@ def test_links_resolve_like_urljoin(spark):
     df = spark.createDataFrame(data, "b string, h string")
     got = df.select("b", "h", links.resolve_link(F.col("h"), F.col("b")).alias("u")).collect()
     assert {(r.b, r.h): r.u for r in got} == {(b, h): urljoin(b, h) for b, h in data}
+
+
+def test_dot_segments_are_folded(spark):
+    from docketry.sources.links import resolve_link
+
+    base = "https://h.example/b/c/d.html?q#f"
+    want = {
+        "../x": "https://h.example/b/x", "./x": "https://h.example/b/c/x", "../../x/./y": "https://h.example/x/y",
+        "../../../../x": "https://h.example/x", "..": "https://h.example/b/", ".": "https://h.example/b/c/",
+        "/a/../z?p=../q": "https://h.example/z?p=../q", "x/../y#../z": "https://h.example/b/c/y#../z", "a..b": "https://h.example/b/c/a..b",
+        "https://o.example/a/../b": "https://o.example/a/../b", "/": "https://h.example/", "../": "https://h.example/b/",
+    }
+    df = spark.createDataFrame([(k, base) for k in want], "link string, base string")
+    assert {r.link: r.url for r in df.select("link", resolve_link(F.col("link"), F.col("base")).alias("url")).collect()} == want
+
+
+def test_a_quoted_line_feed_stays_in_its_cell(spark, tmp_path):
+    from docketry.sources import registry
+
+    path = tmp_path / "r.csv"
+    path.write_text('Fiscal Year,Employer (Petitioner) Name,Note\n2024,"ACME\nLLC","say ""hi"""\n2024,Plain,x\n')
+    got = registry.read_registry_text(spark, str(path)).collect()
+    assert [r[1] for r in got] == ["ACME\nLLC", "Plain"]
+
+
+def test_numbers_too_large_are_null(spark):
+    from helpers import evaluate
+
+    from docketry.functions import clean
+
+    assert evaluate(spark, clean.separated_int, ["3,000,000,000", "12,5", "7.9"]) == [None, 125, 7]
+    assert [str(x) for x in evaluate(spark, clean.serial_date, ["3000000000", "99999999999999", "2958465", "45000"])] == ["None", "None", "9999-12-31", "2023-03-15"]
