@@ -89,6 +89,8 @@ class Texts:
     @cached_property
     def _lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Lines with a word, and distinct ones, of each text."""
+        if not len(self.data):
+            return np.zeros(len(self.at) - 1, np.int64), np.zeros(len(self.at) - 1, np.int64)
         breaks = np.flatnonzero(self.data == 10)
         starts = np.unique(np.concatenate([self.at[:-1], breaks + 1]))
         starts = starts[starts < len(self.data)]

@@ -30,7 +30,7 @@ from docketry.session import cut_lineage
 KINDS = ["assign", "access", "hex", "format"]
 SAMPLE = 500  # labelled credentials per kind, and background runs, that automata are fitted on
 ALPHA = 0.05  # of the Hoeffding tests
-ODDS = 10.0  # natural log of the odds that a candidate needs against the background
+ODDS = 2.0  # natural log of the odds a candidate needs; unlabelled credentials are in the background too
 LOWEST = 0.01  # share of labelled credentials that may score below the threshold
 MIN_RUN = 16
 
