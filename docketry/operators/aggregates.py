@@ -15,6 +15,7 @@ from docketry.functions.clean import annualize, plausible
 from docketry.functions.rules import role_group
 from docketry.operators.ordering import best_per_key
 from docketry.operators.percentiles import exact_percentiles
+from docketry.session import cut_lineage
 
 PAY_BAND = 1000.0  # histogram band: plausible pay spans fewer than a thousand bands
 QUARTILES = {"wage_p25": 0.25, "wage_median": 0.5, "wage_p75": 0.75}
@@ -58,7 +59,10 @@ def with_dimensions(cases: DataFrame) -> DataFrame:
     )
 
 
-def year_sources(cases: DataFrame, stem: str = "LCA_Disclosure_Data_FY") -> DataFrame:
+SOURCE_STEM = "LCA_Disclosure_Data_FY"
+
+
+def year_sources(cases: DataFrame, stem: str = SOURCE_STEM) -> DataFrame:
     """Per fiscal year: the one file behind it or a label over its quarters; last quarter."""
     # Files first: all later text handling is on one row per file.
     files = cases.groupBy("fiscal_year", "source_file").agg(F.max("source_quarter").alias("_q"))
@@ -74,7 +78,7 @@ def last_years(cases: DataFrame, n: int = 2) -> DataFrame:
     return cases.select("fiscal_year").distinct().orderBy(F.desc("fiscal_year")).limit(n)
 
 
-def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
+def entity_year(cases: DataFrame, key: str = "employer_id", stem: str = SOURCE_STEM) -> DataFrame:
     """Counts, stated workers, pay quartiles, level mix and flags per entity and year."""
     keys = [key, "fiscal_year"]
     workers = F.when(F.count_if(certified()) == 0, F.lit(0)).otherwise(
@@ -100,7 +104,7 @@ def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
     return (
         counts.join(pay, keys, "left")
         .withColumn("wage_rows", F.coalesce("wage_rows", F.lit(0)))
-        .join(year_sources(cases), "fiscal_year")
+        .join(year_sources(cases, stem), "fiscal_year")
         .select(
             key, "fiscal_year", "source_file", "quarter", "submitted", "certified", "withdrawn",
             "denied", "certified_workers", "wage_rows", *QUARTILES, *levels, "h1b_dependent",
@@ -112,13 +116,15 @@ def entity_year(cases: DataFrame, key: str = "employer_id") -> DataFrame:
 def entity_year_role(cases: DataFrame, key: str = "employer_id") -> DataFrame:
     """Certified stats per entity, year and role, from the year before the latest on."""
     keys = [key, "fiscal_year", "role_group"]
-    latest = cases.agg(F.max("fiscal_year").alias("_latest"))
-    recent = (
+    years = cases.select("fiscal_year").distinct()
+    latest = years.agg(F.max("fiscal_year").alias("last")).select(F.explode(F.array("last", F.col("last") - 1)).alias("fiscal_year"))
+    pay = pay_counts()
+    # Two years of certified cases and the columns used, written once for the three passes below.
+    recent = cut_lineage(
         cases.where(certified())
-        .join(F.broadcast(latest), F.col("fiscal_year") >= F.col("_latest") - 1)  # one row
-        .drop("_latest")
+        .join(F.broadcast(latest), "fiscal_year", "left_semi")  # two rows
+        .select(*keys, "level", "wage_annual", "pw_annual", "pw_valid", "full_time", "wage_valid", "case_status")
     )
-    pay = pay_counts()
     counts = recent.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("certified"),
         count_where(F.col("level") == "I").alias("level_i"),

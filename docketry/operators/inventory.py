@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*", hashed: bool = True) -> DataFrame:
-    """(file, bytes, modified, sha256) of the files under `path`; content is read only to hash."""
+    """(file, bytes, modified, sha256) of the files under `path`; content is read only to hash.
+
+    `file` is the path below `path`, so files of one name in two folders stay apart. A file is
+    one row while it is hashed, which Spark's reader bounds at 2 GB.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
     )
+    root = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"
+    below = F.instr("path", root)
     digest = F.sha2("content", 256) if hashed else F.lit(None).cast("string")
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.when(below > 0, F.substring("path", below + len(root), F.length("path"))).otherwise(F.col("path")).alias("file"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified"),
         digest.alias("sha256"),
     )
 
 
+def row_inventory(rows: DataFrame, name: str, content: str) -> DataFrame:
+    """(file, bytes, sha256) of named contents held in rows, as `file_inventory` gives for files."""
+    data = F.coalesce(content, F.lit("")).cast("binary")
+    return rows.select(F.col(name).alias("file"), F.octet_length(data).cast("bigint").alias("bytes"), F.sha2(data, 256).alias("sha256"))
+
+
 def changes(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """(file, state) over two inventories: unchanged, changed, new or missing."""
     return (

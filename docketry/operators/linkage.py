@@ -117,24 +117,30 @@ def link_registry(registry_entity: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def registry_only(linked: DataFrame, entity: DataFrame) -> DataFrame:
-    """New ids, after the entities' own, and free slugs for unmatched registry entities."""
-    fresh = linked.where(F.col("employer_id").isNull()).withColumn(
-        "_base", slugify(F.coalesce("name", "norm"))
-    )
+def registry_ids(linked: DataFrame, entity: DataFrame) -> DataFrame:
+    """New ids, after the entities' own, for unmatched registry entities."""
+    fresh = linked.where(F.col("employer_id").isNull()).drop("employer_id")
     order = [F.desc_nulls_last("approvals"), F.asc("norm"), F.asc_nulls_last("state"), F.asc_nulls_last("tax4")]
     top = entity.agg(F.coalesce(F.max("employer_id"), F.lit(0)).alias("_top"))
-    placed = (
+    return (
         dense_index(fresh, order, "_place")
         .crossJoin(F.broadcast(top))  # one row
         .withColumn("new_id", F.col("_place") + F.col("_top"))
-        .drop("_place", "_top", "employer_id")
+        .drop("_place", "_top")
     )
+
+
+def registry_slugs(numbered: DataFrame, entity: DataFrame) -> DataFrame:
+    """Free slugs, none of which an entity holds, for the rows of `registry_ids`."""
+    placed = numbered.withColumn("_base", slugify(F.coalesce("name", "norm")))
     base = F.col("_base")
     stem = F.concat_ws("-", base, F.lower(F.coalesce("state", F.lit("xx"))))
-    return assign_slugs(
-        placed, "new_id", [base, stem], stem, entity.select("slug"), out="new_slug"
-    ).select(*KEY, "new_id", "new_slug")
+    return assign_slugs(placed, "new_id", [base, stem], stem, entity.select("slug"), out="new_slug").drop("_base")
+
+
+def registry_only(linked: DataFrame, entity: DataFrame) -> DataFrame:
+    """New ids and slugs of unmatched registry entities."""
+    return registry_slugs(registry_ids(linked, entity), entity).select(*KEY, "new_id", "new_slug")
 
 
 def finalize_links(linked: DataFrame, only: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def finalize_links(linked: DataFrame, only: DataFrame) -> DataFrame:
             "m.*",
             F.coalesce("m.employer_id", "o.new_id").alias("final_id"),
             F.col("m.employer_id").isNotNull().alias("matched"),
-            "new_slug",
+            *[c for c in only.columns if c == "new_slug"],
         )
     )
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.session import cut_lineage
+
 
 def exact_percentiles(
     df: DataFrame,
@@ -27,7 +29,8 @@ def exact_percentiles(
     value range over `band` bounds the histogram rows of a key, and the distinct values
     inside one band bound what a task ranks.
     """
-    counted = (
+    # Written once: the histogram and the ranked values both read the counts, never the rows.
+    counted = cut_lineage(
         df.select(*keys, value.alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")

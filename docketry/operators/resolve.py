@@ -158,9 +158,9 @@ def main_places(keyed: DataFrame) -> DataFrame:
     )
 
 
-def entities(keyed: DataFrame) -> DataFrame:
-    """One row per entity of the keyed summary: id by volume, unique slug, display name, tax
-    id, place, filings."""
+def numbered_entities(keyed: DataFrame) -> DataFrame:
+    """One row per entity of the keyed summary: id by volume, display name, tax id, place,
+    filings. Linkage and lookups need no more; slugs take rounds of their own."""
     totals = keyed.groupBy("employer_key").agg(F.sum("n").alias("lca_rows"))
     base = (
         totals.join(display_names(spelling_counts(keyed)), "employer_key", "left")
@@ -173,9 +173,13 @@ def entities(keyed: DataFrame) -> DataFrame:
             "state",
             "lca_rows",
         )
-        .withColumn("_stem", slugify(F.col("display_name")))
     )
-    ranked = dense_index(base, [F.desc("lca_rows"), F.asc("employer_key")], "employer_id")
+    return dense_index(base, [F.desc("lca_rows"), F.asc("employer_key")], "employer_id")
+
+
+def with_slugs(numbered: DataFrame) -> DataFrame:
+    """Entities with their unique slugs."""
+    ranked = numbered.withColumn("_stem", slugify(F.col("display_name")))
     stem = F.col("_stem")
     area = F.lower(F.coalesce("state", F.lit("xx")))
     choices = [
@@ -189,6 +193,11 @@ def entities(keyed: DataFrame) -> DataFrame:
     )
 
 
+def entities(keyed: DataFrame) -> DataFrame:
+    """One row per entity of the keyed summary, with id and slug."""
+    return with_slugs(numbered_entities(keyed))
+
+
 def aliases(keyed: DataFrame, entity: DataFrame) -> DataFrame:
     """Spellings of every entity with their matching form and filing counts."""
     return (

@@ -6,6 +6,8 @@ rounds in which every entity asks for its next choice, each slug keeps the best-
 asker, and the others move on. Each round is a grouped minimum and a join; no entity list
 is pulled together anywhere.
 
+Rows whose first choice nobody else can ever ask for are settled before the first round.
+
 Numbered slugs (`stem-2`, `stem-3`, ...) would need as many rounds as entities share a stem,
 so entities of one stem are spread over the numbers at once: the one with p better-ranked
 entities before it cannot get a number below 2 + p.
@@ -37,6 +39,7 @@ def assign_slugs(
         F.lit(0).alias("_k"),
         F.lit(2).cast("bigint").alias("_num"),
     )
+    state, settled = _uncontested(state, used)
     fixed_holders = None
     if used is not None:
         fixed_holders = used.select(
@@ -65,12 +68,36 @@ def assign_slugs(
         )
         lost, numbered = seen.get["lost"], seen.get["numbered"]
         if lost == 0:
-            return df.join(
-                judged.select(F.col("_rank").alias(rank), F.col("_slug").alias(out)), rank
-            )
+            done = judged.select("_rank", "_slug").unionByName(settled)
+            return df.join(done.select(F.col("_rank").alias(rank), F.col("_slug").alias(out)), rank)
         state = _advance(judged, numbered)
 
 
+def _uncontested(state: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows that need rounds, settled rows with their slug). A row is settled on its first
+    choice if no other row can ever ask for that slug: nobody has it as a first or later
+    choice, it is no numbered form of a stem, and it is not taken before."""
+    first = F.get("_choices", F.lit(0))
+    state = state.withColumn("_first", first)
+    sole = state.groupBy("_first").agg((F.count(F.lit(1)) == 1).alias("_sole"))
+    asked = state.select(F.explode(F.slice("_choices", F.lit(2), F.size("_choices"))).alias("_first"))
+    if used is not None:
+        asked = asked.unionByName(used.select(F.col(used.columns[0]).alias("_first")))
+    asked = asked.distinct().withColumn("_asked", F.lit(True))
+    stems = state.select(F.col("_stem").alias("_part")).distinct().withColumn("_numbered", F.lit(True))
+    part = F.regexp_extract("_first", "^(.*)-[0-9]+$", 1)
+    marked = (
+        state.withColumn("_part", part)
+        .join(sole, "_first", "left")
+        .join(asked, "_first", "left")
+        .join(stems, "_part", "left")
+        .withColumn("_safe", F.coalesce(F.col("_sole") & F.col("_asked").isNull() & F.col("_numbered").isNull(), F.lit(False)))
+    )
+    marked = cut_lineage(marked.select(*state.columns, "_safe"))
+    rest = marked.where(~F.col("_safe")).drop("_safe", "_first")
+    return rest, marked.where("_safe").select("_rank", F.col("_first").alias("_slug"))
+
+
 def _advance(judged: DataFrame, n_numbered: int) -> DataFrame:
     """Losers move to their next choice; numbered entities move up together, numbered by a sort
     that splits a hot stem over many tasks."""

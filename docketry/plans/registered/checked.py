@@ -208,6 +208,30 @@ def change_detection(spark, d):
     return inventory.changes(record, now)
 
 
+PAGE_FILES = """now AS (SELECT url AS file, CAST(strlen(ifnull(html, '')) AS BIGINT) AS bytes, sha256(ifnull(html, '')) AS sha256 FROM pages)"""
+
+
+@query("page_inventory", f"WITH {PAGE_FILES} SELECT * FROM now")
+def page_inventory(spark, d):
+    return inventory.row_inventory(table(spark, d, "pages"), "url", "html")
+
+
+@query(
+    "page_changes",
+    """SELECT if(page_id % 11 = 3, url || '#gone', url) AS file, CASE WHEN page_id % 11 = 3 THEN 'missing' WHEN page_id % 7 = 2 THEN 'changed'
+      ELSE 'unchanged' END AS state FROM pages WHERE page_id % 5 <> 1
+    UNION ALL SELECT url, 'new' FROM pages WHERE page_id % 5 = 1 OR page_id % 11 = 3""",
+)
+def page_changes(spark, d):
+    """The pages against a record that lacks some, holds older ones, and names some that are gone."""
+    pages, key = table(spark, d, "pages"), F.col("page_id")
+    old = pages.where(key % 5 != 1).select(
+        F.when(key % 11 == 3, F.concat("url", F.lit("#gone"))).otherwise(F.col("url")).alias("url"),
+        F.when(key % 7 == 2, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("html"),
+    )
+    return inventory.changes(inventory.row_inventory(old, "url", "html"), inventory.row_inventory(pages, "url", "html"))
+
+
 @query(
     "stream_upsert_latest",
     """WITH e AS (SELECT user_id, event_type, CAST(2020 + user_id % 3 AS INTEGER) AS fiscal_year, ts, event_id, value FROM events)

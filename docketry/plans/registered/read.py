@@ -122,6 +122,15 @@ def search_tiers(spark, d):
     return search.search("The hot gear, Inc.", alias, people(alias), 50)
 
 
+@query(
+    "typeahead_hits",
+    "WITH " + ALIASES.format(queries="SELECT 'hot g' AS q, 'HOT G' AS norm") + RANKED.format(n=8),
+)
+def typeahead_hits(spark, d):
+    alias = aliases(spark, d)
+    return search.typeahead("hot g", alias, people(alias))
+
+
 @query(
     "search_batch_trigram",
     "WITH " + ALIASES.format(queries="SELECT p_name AS q, upper(p_name) AS norm FROM part GROUP BY ALL") + RANKED.format(n=25),
@@ -147,16 +156,18 @@ def similar_entities(spark, d):
 @query(
     "linked_partners",
     """WITH m AS (SELECT c_mktsegment || ' GROUP ' || (c_custkey // 10) AS norm, c_custkey AS id FROM customer)
-    SELECT a.id AS asked_id, b.id AS partner_id, a.norm FROM m a JOIN m b ON a.norm = b.norm AND a.id <> b.id""",
+    SELECT a.id AS asked_id, b.id AS partner_id, a.norm FROM supplier JOIN m a ON a.id = s_suppkey JOIN m b ON a.norm = b.norm AND a.id <> b.id""",
 )
 def linked_partners(spark, d):
-    """Partners of every customer that shares its group's name, from linear member rows."""
+    """Partners of the customers that a page asks for (here those that are suppliers), from
+    linear member rows."""
     from docketry.functions.names import normalize_name
 
     key = F.col("c_custkey")
     name = F.concat("c_mktsegment", F.lit(" Group "), F.floor(key / 10).cast("string"), F.lit(", Inc."))
     rows = table(spark, d, "customer").select(normalize_name(name).alias("norm"), key.alias("id"))
-    return partners_of(link_members(rows, ident="id", entity="id"), rows, entity="id")
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    return partners_of(link_members(rows, ident="id", entity="id"), asked, entity="id")
 
 
 @query(

@@ -90,7 +90,7 @@ def resolve_entities(spark, d):
 def attach_entities(spark, d):
     routed = keyed(spark, d)
     rows = cases(spark, d).drop("employer_id")
-    resolved = resolve.attach_entities(rows, routed, resolve.entities(routed))
+    resolved = resolve.attach_entities(rows, routed, resolve.numbered_entities(routed))
     return resolved.select("case_number", "employer_id", "match_method")
 
 
@@ -110,7 +110,7 @@ def aliases_of_both(spark, d):
     theirs = counted.select(
         F.col("l_suppkey").alias("final_id"), name.alias("employer_name"), normalize_name(name).alias("norm"), "rows"
     )
-    return alias_table(resolve.aliases(rows, resolve.entities(rows)), theirs)
+    return alias_table(resolve.aliases(rows, resolve.numbered_entities(rows)), theirs)
 
 
 @query(
@@ -139,7 +139,7 @@ def id_pairs_same_name(spark, d):
 )
 def resolved_link_counts(spark, d):
     rows = keyed(spark, d)
-    entity = cut_lineage(resolve.entities(rows))
+    entity = cut_lineage(resolve.numbered_entities(rows))
     alias = resolve.aliases(rows, entity)
     members = links.link_members(alias.join(entity.select("employer_id", "fein"), "employer_id"))
     return resolve.resolution_stats(entity, alias, members)
