@@ -169,7 +169,7 @@ def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write `docs` as token files in the shared folder and read their index back."""
     path = f"{shared_dir(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
     token_files.write_files(docs, path, tokenizer)
-    return token_files.token_index(docs.sparkSession, path)
+    return token_files.read_files(docs.sparkSession, path, digest=True)
 
 
 @query("op7_token_files")

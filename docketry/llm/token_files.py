@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm import words as W
+from docketry.llm.frames import col
 from docketry.session import cut_lineage
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
+BLOCK_BYTES = 8 << 20  # text that a worker encodes at a time
 CACHE_PIECES = 400_000  # pieces a worker remembers; others are encoded again
 CACHE_CHARS = 64
 
@@ -100,52 +102,72 @@ class Encoder:
         return out, np.diff(per_text)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of ranks."""
+def _slots(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes of each document, and the two-bit slot of each of its ranks."""
+    size = -(-n // 4)
+    first = np.cumsum(n) - n
+    return size, np.repeat((np.cumsum(size) - size) * 4 - first, n) + np.arange(int(n.sum()))
+
+
+def pack(ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, data bytes and how many of each every document has (all n are over 0)."""
     r = ranks.astype("<u4")
-    length = 1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    codes[: len(r)] = length - 1
+    length = (1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)).astype(np.uint8)
+    size, slot = _slots(n)
+    codes = np.zeros(int(size.sum()) * 4, np.uint8)
+    codes[slot] = length - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    wide = r.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), wide[np.arange(4) < length[:, None]].tobytes()
+    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < length[:, None]]
+    return control, data, size, np.add.reduceat(length, np.cumsum(n) - n, dtype=np.int64)
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    length = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    raw = np.zeros(len(data) + 3, np.uint8)
-    raw[: len(data)] = np.frombuffer(data, np.uint8)
+def unpack(control: bytes, data: bytes, n: np.ndarray) -> np.ndarray:
+    """Ranks of documents of `n` ranks each, one after the other."""
+    length = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[_slots(n)[1]]
+    raw = np.frombuffer(data, np.uint8)
     at = np.cumsum(length, dtype=np.int64) - length
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        byte = raw[at + k].astype(np.uint32) << np.uint32(8 * k)
-        out |= np.where(length > k, byte, np.uint32(0))
+    out = raw[at].astype(np.uint32)
+    for k in range(1, int(length.max(initial=1))):
+        longer = np.flatnonzero(length > k)
+        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def _cells(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Consecutive parts of `data` as binary values."""
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    cells = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+    return cells.cast(pa.binary())
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """id, tie (text hash), n, ids (little-endian 32 bits, or 16 where every id fits)."""
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    plain = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         kind = np.dtype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for block in W.blocks(batch.column(1)):
+            for block in W.blocks(batch.column(1), BLOCK_BYTES):
                 ids, n = encoder.encode(block)
                 full = np.insert(ids, np.cumsum(n), end_id).astype(kind)
                 n = n + 1
-                size = kind.itemsize
-                at = np.concatenate([[0], np.cumsum(n) * size]).astype(np.int32)
-                cells = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(full)])
+                width = pa.array(np.full(len(n), kind.itemsize, np.int32))
                 rows = batch.slice(block.rows.start, len(n))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), pa.array(np.full(len(n), size, np.int32)), cells], ["id", "tie", "n", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), width, _cells(full, n * kind.itemsize)], ["id", "tie", "n", "width", "ids"])
 
     return plain.withColumn("tie", F.xxhash64("text")).mapInArrow(run, "id long, tie long, n long, width int, ids binary")
 
 
-def _ids(cell: pa.Scalar, width: int) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), "<u2" if width == 2 else "<u4")
+def _ids(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of a batch and all their ids, in parts of bounded size."""
+    width, n = batch.column("width").to_numpy(), batch.column("n").to_numpy()
+    low = 0
+    while low < len(n):
+        high = max(low + 1, low + int(np.searchsorted(np.cumsum(n[low:]), BLOCK_TOKENS, "right")))
+        raw = b"".join(batch.column("ids").slice(low, high - low).to_pylist())
+        yield slice(low, high), np.frombuffer(raw, "<u2" if width[low] == 2 else "<u4")
+        low = high
 
 
 def rank_ids(encoded: DataFrame) -> np.ndarray:
@@ -154,15 +176,15 @@ def rank_ids(encoded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, cell in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-                got = np.bincount(_ids(cell, width))
+            for _, ids in _ids(batch):
+                got = np.bincount(ids)
                 if len(got) > len(total):
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
-    counts = encoded.select("width", "ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = encoded.select("width", "n", "ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sorted((-r["n"], r["token"]) for r in counts.collect())
     return np.array([t for _, t in rows], np.uint32)
 
@@ -179,9 +201,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [pack(rank_of[_ids(c, w)]) for w, c in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True)]
-            columns = [pa.array([c[k] for c in coded], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), batch.column("n"), *columns], ["id", "tie", "n", "control", "data"])
+            for rows, ids in _ids(batch):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                control, data, n_control, n_data = pack(rank_of[ids], part.column("n").to_numpy())
+                cells = [_cells(control, n_control), _cells(data, n_data)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), part.column("n"), *cells], ["id", "tie", "n", "control", "data"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -193,8 +217,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
         def close() -> pa.RecordBatch:
             ids, n, control, data = zip(*held, strict=True)
             return pa.RecordBatch.from_pydict(
-                {"part": [part], "block": [block], "start": [start], "ids": [list(ids)], "n": [list(n)], "control": [b"".join(control)], "data": [b"".join(data)], "data_bytes": [[len(d) for d in data]]},
-                schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary()), ("data_bytes", pa.list_(pa.int64()))]),
+                {"part": [part], "block": [block], "start": [start], "ids": [list(ids)], "n": [list(n)], "control": [b"".join(control)], "data": [b"".join(data)]},
+                schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]),
             )
 
         for batch in batches:
@@ -209,43 +233,33 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
 
     coded = encoded.mapInArrow(code, "id long, tie long, n long, control binary, data binary")
     ordered = coded.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "n", "control", "data")
-    schema = "part int, block long, start long, ids array<long>, n array<long>, control binary, data binary, data_bytes array<long>"
+    schema = "part int, block long, start long, ids array<long>, n array<long>, control binary, data binary"
     ordered.mapInArrow(gather, schema).write.parquet(f"{path}/blocks")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids (little-endian 32 bits)."""
-    by_rank = np.array([r["token"] for r in sorted(spark.read.parquet(f"{path}/ranks").collect())], np.uint32)
+def read_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens and ids (little-endian 32 bits), or
+    their checksum ids_crc32 if `digest`."""
+    by_rank = np.array([r["token"] for r in sorted(spark.read.parquet(f"{path}/ranks").collect())], "<u4")
     blocks = spark.read.parquet(f"{path}/blocks")
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("size"))
     # One row per written partition.
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = blocks.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("before")).alias("start"), "ids", "n", "control", "data", "data_bytes")
+    placed = blocks.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("before")).alias("start"), "ids", "n", "control", "data")
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                start, docs, n, control, data, sizes = (batch.column(c)[row] for c in range(6))
-                n, sizes = np.array(n.as_py(), np.int64), np.array(sizes.as_py(), np.int64)
-                c_end, d_end = np.cumsum(-(-n // 4)), np.cumsum(sizes)
-                control, data = control.as_py(), data.as_py()
-                cells = []
-                for d in range(len(n)):
-                    low_c, low_d = c_end[d] - (-(-n[d] // 4)), d_end[d] - sizes[d]
-                    cells.append(by_rank[unpack(control[low_c : c_end[d]], data[low_d : d_end[d]], int(n[d]))].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [docs.values, pa.array(start.as_py() + np.cumsum(n) - n), pa.array(n), pa.array(cells, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
-                )
-
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    read = read_files(spark, path)
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32_of(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+                start, docs, n, control, data = (batch.column(c)[row] for c in range(5))
+                n = n.values.to_numpy()
+                ids = by_rank[unpack(control.as_py(), data.as_py(), n)]
+                at = np.concatenate([[0], np.cumsum(n)])
+                if digest:
+                    told = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+                else:
+                    told = _cells(ids.view(np.uint8), n * 4)
+                yield pa.RecordBatch.from_arrays([docs.values, pa.array(start.as_py() + at[:-1]), pa.array(n), told], ["doc_id", "start", "n_tokens", last])
+
+    return placed.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last} {kind}")
