@@ -10,7 +10,7 @@ from docketry.functions.display import fiscal_quarter, fiscal_year
 from docketry.operators import aggregates, inventory, quality
 from docketry.operators.ordering import latest_wins
 from docketry.plans.registered.base import CASES, cases, query, table
-from docketry.session import shared_dir
+from docketry.session import run_dir
 from docketry.sources import links
 from docketry.streaming import arrivals
 
@@ -241,7 +241,7 @@ def page_changes(spark, d):
 def stream_upsert_latest(spark, d):
     """The events arrive in two releases; the state after both is the latest per key."""
     events = table(spark, d, "events").withColumn("fiscal_year", (F.col("user_id") % 3 + 2020).cast("int"))
-    root = f"{shared_dir(spark)}/arrivals/{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/arrivals/{uuid.uuid4().hex}"
     middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("_middle"))
     staged = events.crossJoin(F.broadcast(middle))  # one row
     order = [F.desc("ts"), F.desc("event_id")]
@@ -263,7 +263,7 @@ def published_counts(spark, d):
     from docketry.sources.cases import union_releases
 
     rows = cases(spark, d).select("case_number", "fiscal_year", "wage_annual", "wage_valid")
-    root = f"{shared_dir(spark)}/published/{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/published/{uuid.uuid4().hex}"
     tables = {"cases": rows, "pay": rows.where("wage_valid")}
     publish(tables, root, "1", partition_by={"cases": ["fiscal_year"]})
     return union_releases(
@@ -300,7 +300,7 @@ def entity_rows_ordered(spark, d):
     counted = cases(spark, d).groupBy("employer_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("decision_date").alias("first_day")
     )
-    root = f"{shared_dir(spark)}/published/{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/published/{uuid.uuid4().hex}"
     publish({"entity_rows": counted}, root, "1", sort_by={"entity_rows": ["employer_id"]})
     return read_published(spark, root, "entity_rows")
 

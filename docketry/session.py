@@ -56,10 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; everything written on the way goes there."""
+    return f"{shared_dir(spark)}/docketry-{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete this application's folder. Call it once nothing reads its tables any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back, so a lost executor re-reads rows
     instead of recomputing them, and later reads prune columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
