@@ -16,7 +16,7 @@ from docketry.llm.minmax_dedup import drop_near_duplicates
 from docketry.llm.pivotal_mix import mix_documents
 from docketry.llm.quality_rules import keep_good
 from docketry.llm.queries import token_rows
-from docketry.session import shared_dir
+from docketry.session import run_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ ORACLE_SQL = None  # byte-pair encoding and dependent rounding have no SQL; test
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{root}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import chat_format, decontaminate, line_dedup, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
-from docketry.session import shared_dir
+from docketry.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,7 +167,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write `docs` as token files in the shared folder and read their index back."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
+    path = f"{run_dir(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
     token_files.write_files(docs, path, tokenizer)
     return token_files.read_files(docs.sparkSession, path, digest=True)
 
