@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from docketry.plans.registered.everything import QUERIES
-from docketry.session import local_session
+from docketry.session import clear_run, local_session
 
 HEADLINE = [
     "dedup_latest",
@@ -35,7 +36,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cores, partitions=int(cores) if cores.isdigit() else 8)
+    scratch = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="docketry-bench-")}  # one machine
+    spark = local_session(cores, partitions=int(cores) if cores.isdigit() else 8, **scratch)
 
     def timed(name: str) -> float:
         start = time.perf_counter()
@@ -59,6 +61,7 @@ def main() -> None:
             }
         )
     )
+    clear_run(spark)
     spark.stop()
 
 
