@@ -77,7 +77,10 @@ class Encoder:
         space = space[(space > 1) & (space < len(data) - 1)]
         before, after = data[space - 1], data[space + 1]
         space = space[(_GRAPHIC[before] | _TWO[data[space - 2]]) & (_GRAPHIC[after] | _TWO[after])]
-        starts = np.unique(np.concatenate([at[:-1][at[:-1] < at[1:]], space]))
+        mark = np.zeros(len(data), bool)
+        mark[at[:-1][at[:-1] < at[1:]]] = True
+        mark[space] = True
+        starts = np.flatnonzero(mark)
         bounds = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
