@@ -16,8 +16,10 @@ so a shard of anchors holds everything its windows can match:
    strings. The segments are then streamed through it for matching statistics.
 3. Each document joins its matches into maximal spans and drops their words.
 
-Documents of one block that share a segment announce it once. Words and segments are compared by
-64-bit hashes.
+Documents of one block that share a segment announce it once. An anchor that a large share of the
+documents hold in different surroundings (the words of a common line) would be one shard's work;
+such anchors are found first, and their windows are routed each by its own words. Words and
+segments are compared by 64-bit hashes.
 
 Null and empty texts have no words. A null id is neither smaller nor larger than any: such a row
 is kept whole and removes nothing. Rows with one id count as one document. Extra columns are not
@@ -42,6 +44,8 @@ from docketry.session import cut_lineage
 WINDOW = 13
 GRAM = 6
 SHARD_BYTES = 24 << 20  # text per shard of anchors; bounds what one task holds
+HOT_SHARE = 0.005  # of the documents; at most (segments per document) / HOT_SHARE anchors are hot
+HOT_LEAST = 500
 
 
 class SuffixAutomaton:
@@ -108,7 +112,7 @@ class SuffixAutomaton:
 class Segments:
     """Segments of a block of texts: text, first and last window (word index), anchor word, key."""
 
-    def __init__(self, block: W.Block, window: int):
+    def __init__(self, block: W.Block, window: int, hot: np.ndarray | None = None):
         self.words = W.find_words(block.data, block.at)
         self.hashes = W.word_hashes(block.data, self.words)
         places, count = W.gram_places(self.words, window)
@@ -131,6 +135,11 @@ class Segments:
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(places)) - 1
+        if hot is not None and len(hot):  # windows of hot anchors stand alone
+            alone = np.isin(grams[anchor], hot)
+            heads = np.flatnonzero(new | alone)
+            after = np.append(heads[1:], len(places))
+            tails = np.where(alone[heads], heads, after - 1)
         self.text, self.low, self.high, self.anchor = text[heads], places[heads], places[tails], anchor[heads]
         n = len(self.hashes)
         power = np.full(n + 1, W._M1, np.uint64)
@@ -144,6 +153,8 @@ class Segments:
         shape = ((self.high - self.low) << 8 | (self.anchor - self.low)).astype(np.uint64)
         self.key = W.mix(whole ^ W.mix(shape + W._M2))
         self.shard = grams[self.anchor]
+        if hot is not None and len(hot):
+            self.shard = np.where(alone[heads], self.key, self.shard)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[W.Block, np.ndarray]]:
@@ -152,11 +163,28 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[W.Block, np.ndarray]]:
         yield block, ids[block.rows]
 
 
+def hot_anchors(docs: DataFrame, window: int, share: float = HOT_SHARE, least: int = HOT_LEAST) -> np.ndarray:
+    """Anchors in different segments of at least `share` of the documents of some block, and
+    `least` in all blocks that report them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ids in _blocks(batch):
+                seg = Segments(block, window)
+                _, once = np.unique(seg.key, return_index=True)
+                anchors, n = np.unique(seg.shard[once], return_counts=True)
+                many = n >= max(2, share * len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[many].view(np.int64)), pa.array(n[many])], ["anchor", "n"])
+
+    found = docs.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["anchor"] for r in found.collect()], np.int64).view(np.uint64))
+
+
 _ANNOUNCE = "shard int, whole boolean, base long, anchors binary, keys binary, docs binary"
 _ANSWER = "id long, key long, open boolean"
 
 
-def _announce(docs: DataFrame, window: int, shards: int) -> DataFrame:
+def _announce(docs: DataFrame, window: int, shards: int, hot: np.ndarray) -> DataFrame:
     """Per block and shard: anchors (32 bits), segment keys, documents (offsets from `base`)."""
     names = ["shard", "whole", "base", "anchors", "keys", "docs"]
 
@@ -180,7 +208,7 @@ def _announce(docs: DataFrame, window: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids in _blocks(batch):
-                seg = Segments(block, window)
+                seg = Segments(block, window, hot)
                 doc = ids[seg.text]
                 order = np.lexsort((doc, seg.key))
                 key, doc, shard = seg.key[order], doc[order], seg.shard[order]
@@ -234,14 +262,14 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "key": keys.view(np.int64), "open": flags})
 
 
-def _called_in(docs: DataFrame, window: int, shards: int) -> DataFrame:
+def _called_in(docs: DataFrame, window: int, shards: int, hot: np.ndarray) -> DataFrame:
     """The called-in segments of documents (id, text, wanted keys) with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("wanted")
             for block, ids in _blocks(batch):
-                seg = Segments(block, window)
+                seg = Segments(block, window, hot)
                 ask = wanted.slice(block.rows.start, len(ids))
                 asked = np.concatenate([[0], np.cumsum(np.array([len(x.as_py()) for x in ask]))])
                 keys = ask.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -275,13 +303,13 @@ def _stream(group: pa.Table, window: int) -> pa.Table:
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("id", "key", "from", "to"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
 
-def _drop_words(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
+def _drop_words(docs: DataFrame, window: int, with_text: bool, hot: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of documents with their matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids in _blocks(batch):
-                seg = Segments(block, window)
+                seg = Segments(block, window, hot)
                 words = seg.words
                 given = batch.column("found").slice(block.rows.start, len(block.at) - 1)
                 cover = np.zeros(len(words.starts) + 1, np.int64)
@@ -320,17 +348,21 @@ def _drop_words(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_text: bool = False,
+    hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST,
+) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
     rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     known = rows.where("id IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(64, size // shard_bytes)
-    answers = cut_lineage(_announce(known, window, shards).groupBy("shard").applyInArrow(_answer, _ANSWER))
+    hot = hot_anchors(known, window, hot_share, hot_least)
+    answers = cut_lineage(_announce(known, window, shards, hot).groupBy("shard").applyInArrow(_answer, _ANSWER))
     wanted = answers.where("open").groupBy("id").agg(F.collect_list("key").alias("wanted"))
-    called = _called_in(known.join(wanted, "id"), window, shards)
+    called = _called_in(known.join(wanted, "id"), window, shards, hot)
     partial = called.groupBy("shard").applyInArrow(lambda g: _stream(g, window), "id long, key long, from int, to int")
     whole = answers.where("NOT open").select("id", "key", F.lit(0).alias("from"), F.lit(-1).alias("to"))
     matches = whole.unionByName(cut_lineage(partial))
     found = matches.groupBy("id").agg(F.collect_list(F.struct("key", "from", "to")).alias("found"))
-    return _drop_words(rows.join(found, "id", "left").select("id", "text", "found"), window, with_text)
+    return _drop_words(rows.join(found, "id", "left").select("id", "text", "found"), window, with_text, hot)

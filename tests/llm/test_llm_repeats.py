@@ -65,6 +65,18 @@ def test_removal_equals_plain_python(spark):
     assert any(r.n_removed for r in got)
 
 
+def test_hot_anchors_change_the_routes_and_not_the_result(spark):
+    rng = random.Random(12)
+    line = prose(rng, 12, 5000)  # shorter than a window: every match needs its surroundings
+    given = [(i, f"{prose(rng, 9, 6)} {line} {prose(rng, 9, 6)}") for i in range(60)] + [(100 + k, t) for k, t in rows()[:15] if k is not None]
+    docs = documents(spark, given)
+    hot = s.hot_anchors(docs.selectExpr("doc_id AS id", "text"), 13, least=20)
+    assert 0 < len(hot) < 100
+    for least in (20, 10**9):
+        got = s.remove_repeats(docs, hot_least=least).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(given)
+
+
 def test_other_windows_and_an_empty_table(spark):
     given = rows()[:20]
     got = s.remove_repeats(documents(spark, given), window=5).collect()
