@@ -4,6 +4,7 @@ from docketry.plans.registered import (  # noqa: F401
     aggregated,
     checked,
     cleaned,
+    files,
     linked,
     read,
     resolved,
