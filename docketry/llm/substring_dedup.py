@@ -135,11 +135,15 @@ class Segments:
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(places)) - 1
+        alone = np.zeros(len(heads), bool)
         if hot is not None and len(hot):  # windows of hot anchors stand alone
-            alone = np.isin(grams[anchor], hot)
-            heads = np.flatnonzero(new | alone)
-            after = np.append(heads[1:], len(places))
-            tails = np.where(alone[heads], heads, after - 1)
+            own = grams[anchor[heads]]
+            alone = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+            n = np.where(alone, tails - heads + 1, 1)
+            first, alone = np.cumsum(n) - n, np.repeat(alone, n)
+            step = np.arange(len(alone)) - np.repeat(first, n)
+            heads, tails = np.repeat(heads, n) + step, np.repeat(tails, n)
+            tails = np.where(alone, heads, tails)
         self.text, self.low, self.high, self.anchor = text[heads], places[heads], places[tails], anchor[heads]
         n = len(self.hashes)
         power = np.full(n + 1, W._M1, np.uint64)
@@ -153,8 +157,7 @@ class Segments:
         shape = ((self.high - self.low) << 8 | (self.anchor - self.low)).astype(np.uint64)
         self.key = W.mix(whole ^ W.mix(shape + W._M2))
         self.shard = grams[self.anchor]
-        if hot is not None and len(hot):
-            self.shard = np.where(alone[heads], self.key, self.shard)
+        self.shard = np.where(alone, self.key, self.shard)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[W.Block, np.ndarray]]:
