@@ -5,6 +5,7 @@ from docketry.plans.registered import (  # noqa: F401
     checked,
     cleaned,
     files,
+    flow,
     linked,
     read,
     resolved,
