@@ -4,9 +4,12 @@ Fixed patterns find labelled credentials. From a bounded sample of them, per kin
 over character classes is built and its statistically compatible states are merged (Hoeffding
 test on stopping and on each symbol, folding subtrees), which gives a probabilistic automaton.
 A background automaton is inferred in the same way from other runs of credential characters.
-Every such run of the corpus that no fixed pattern covers is then scored: it is added as kind
-`format` if its likelihood per character under one kind's automaton is no lower than nearly
-all labelled credentials have, and its odds against the background are high enough.
+Every such run of the corpus of at least the fixed patterns' own minimum is then scored, and
+where fixed patterns cover some of it, each part left over: it is added as kind `format` if its
+likelihood per character under one kind's automaton is no lower than nearly all labelled
+credentials have, and its odds against the background are high enough.
+
+Runs are not kept between the two passes; the texts are scanned once to learn and once to judge.
 
 Null and empty texts have no spans. Repeated rows are scanned each by itself. Without labelled
 credentials nothing is added. Extra columns are not read. Positions are code points.
@@ -17,58 +20,79 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.frames import col
-from docketry.session import cut_lineage
 
 KINDS = ["assign", "access", "hex", "format"]
 SAMPLE = 500  # labelled credentials per kind, and background runs, that automata are fitted on
 ALPHA = 0.05  # of the Hoeffding tests
 ODDS = 2.0  # natural log of the odds a candidate needs; unlabelled credentials are in the background too
 LOWEST = 0.01  # share of labelled credentials that may score below the threshold
-MIN_RUN = 16
+MIN_RUN = 8  # of `assign` too: what is learned from must be looked for
+JOINERS = "+/_.=-"  # between a run's alphanumeric parts
+CACHE_RUNS = 200_000  # judged runs that a task remembers
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_RUN},}}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans (kind, start, end, secret), other runs (start, end, run)) of a text."""
+    """(base spans (kind, start, end, secret), candidates (start, end, run)) of a text. Where one
+    candidate lies in another, the longer is first."""
     base = []
     low = text.lower()
     if any(w in low for w in WORDS):
-        base += [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        base += [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_RUN]
     runs = [(m.start(), m.end(), m[0]) for m in RUN.finditer(text)]
     for start, _, run in runs:  # keys and hex strings are made of the characters of a run
+        if len(run) < 16:
+            continue
         base += [("access", start + m.start(), start + m.end(), m[0]) for m in ACCESS.finditer(run) if len(m[0]) >= 16]
         base += [("hex", start + m.start(), start + m.end(), m[0]) for m in HEX.finditer(run)]
     base.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-    taken = [(s, e) for _, s, e, _ in base]
-    return base, [r for r in runs if not any(s < r[1] and r[0] < e for s, e in taken)]
+    return base, _left_over(runs, [(s, e) for _, s, e, _ in base]) if base else runs
+
+
+def _left_over(runs: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """The parts of `runs` beside `spans` (in order of their starts), also without the joiners
+    that hold them to a span."""
+    taken: list[list[int]] = []
+    for s, e in spans:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
+    out = []
+    for start, end, run in runs:
+        at, i = start, bisect_right(ends, start)
+        while at < end:
+            s, e = (max(taken[i][0], at), taken[i][1]) if i < len(taken) and taken[i][0] < end else (end, end)
+            part = run[at - start : s - start]
+            bare = part.lstrip(JOINERS) if at > start else part
+            low = at + len(part) - len(bare)
+            bare = bare.rstrip(JOINERS) if s < end else bare
+            out += [p for p in dict.fromkeys([(at, s, part), (low, low + len(bare), bare)]) if len(p[2]) >= MIN_RUN]
+            at, i = e, i + 1
+    return out
+
+
+CLASSES = str.maketrans({c: "0" if c.isdigit() else "aA"[c.isupper()] if c.lower() <= "f" else "gG"[c.isupper()] for c in map(chr, range(128)) if c.isalnum()})
 
 
 def symbols(text: str) -> str:
     """Character classes: digit, a-f, g-z, A-F, G-Z; other characters are themselves."""
-    out = []
-    for c in text:
-        if c.isdigit():
-            out.append("0")
-        elif c.islower():
-            out.append("a" if c <= "f" else "g")
-        elif c.isupper():
-            out.append("A" if c <= "F" else "G")
-        else:
-            out.append(c)
-    return "".join(out)
+    return text.translate(CLASSES)
 
 
 class Automaton:
@@ -143,14 +167,36 @@ class Automaton:
             fringe = sorted((q, c) for q in kept for c, to in self.next[q].items() if to not in inside)
         self.kept = kept
 
+    def table(self) -> Table:
+        return Table(self)
+
     def score(self, text: str) -> float:
-        """Log likelihood of `text`, with a little mass for what was never seen."""
-        at, total, width = 0, 0.0, len(self.letters) + 2
+        return self.table().score(text)
+
+
+class Table:
+    """The log probabilities of an automaton's states, with a little mass for what was never seen."""
+
+    def __init__(self, machine: Automaton):
+        width, number = len(machine.letters) + 2, {q: i for i, q in enumerate(machine.kept)}
+        self.steps, self.unseen, self.stops = [], [], []
+        for q in machine.kept:
+            whole = machine._total(q) + 0.1 * width
+            self.steps.append({c: (math.log((n + 0.1) / whole), number[machine.next[q][c]]) for c, n in machine.many[q].items()})
+            self.unseen.append(math.log(0.1 / whole))
+            self.stops.append(math.log((machine.stops[q] + 0.1) / whole))
+
+    def score(self, text: str) -> float:
+        """Log likelihood of `text`."""
+        at, total = 0, 0.0
         for c in symbols(text):
-            n = self._total(at)
-            total += math.log((self.many[at].get(c, 0) + 0.1) / (n + 0.1 * width))
-            at = self.next[at].get(c, at)
-        return total + math.log((self.stops[at] + 0.1) / (self._total(at) + 0.1 * width))
+            step = self.steps[at].get(c)
+            if step is None:
+                total += self.unseen[at]
+            else:
+                total += step[0]
+                at = step[1]
+        return total + self.stops[at]
 
 
 class Formats:
@@ -160,63 +206,66 @@ class Formats:
         self.odds = odds
         self.kinds = []
         for kind in sorted(labelled):
-            machine = Automaton(sorted(labelled[kind]), alpha)
+            machine = Automaton(sorted(labelled[kind]), alpha).table()
             scores = sorted(machine.score(s) / (len(s) + 1) for s in labelled[kind])
             self.kinds.append((machine, scores[int(lowest * len(scores))]))
-        self.background = Automaton(sorted(other), alpha) if other else None
+        self.background = Automaton(sorted(other), alpha).table() if other else None
 
     def accepts(self, run: str) -> bool:
+        scores = [machine.score(run) for machine, _ in self.kinds]
+        likely = [score for score, (_, least) in zip(scores, self.kinds, strict=True) if score / (len(run) + 1) >= least]
+        if not likely:
+            return False
         plain = self.background.score(run) if self.background else -len(run) * math.log(64)
-        for machine, least in self.kinds:
-            score = machine.score(run)
-            if score / (len(run) + 1) >= least and score - plain >= self.odds:
-                return True
-        return False
+        return max(likely) - plain >= self.odds
 
 
-def scan_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (kind, start, end, secret), runs (start, end, run)."""
+def scan_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The distinct (kind, s) of base secrets and, as kind `other`, of candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())]))
-        run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("run", pa.string())]))
         for batch in batches:
-            base, runs = [], []
-            for value in batch.column(1):
-                found, other = scan(value.as_py() or "")
-                base.append([dict(zip(("kind", "start", "end", "secret"), s, strict=True)) for s in found])
-                runs.append([dict(zip(("start", "end", "run"), r, strict=True)) for r in other])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_type), pa.array(runs, run_type)], ["doc_id", "base", "runs"])
+            found = set()
+            for value in batch.column(0):
+                base, other = scan(value.as_py() or "")
+                found.update((kind, s) for kind, _, _, s in base)
+                found.update(("other", s) for _, _, s in other)
+            columns = zip(*found, strict=True) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["kind", "s"])
 
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    return rows.mapInArrow(
-        run, "doc_id long, base array<struct<kind:string,start:long,end:long,secret:string>>, runs array<struct<start:long,end:long,run:string>>"
-    )
+    return docs.select(col(text).alias("text")).mapInArrow(run, "kind string, s string").distinct()
 
 
-def learn_formats(scanned: DataFrame, sample: int = SAMPLE) -> Formats:
+def learn_formats(strings: DataFrame, sample: int = SAMPLE) -> Formats:
     """Automata from `sample` distinct credentials per kind and as many other runs, chosen by hash."""
-
-    def pick(strings: DataFrame) -> list[str]:
-        return [r[0] for r in strings.distinct().orderBy(F.xxhash64("s"), "s").limit(sample).collect()]
-
-    found = scanned.select(F.explode("base").alias("b"))
-    labelled = {k: pick(found.where(F.col("b.kind") == k).select(F.left("b.secret", F.lit(256)).alias("s"))) for k in KINDS[:3]}
-    other = pick(scanned.select(F.explode("runs").alias("r")).select(F.left("r.run", F.lit(256)).alias("s")))
-    return Formats({k: v for k, v in labelled.items() if v}, other)
+    strings = strings.withColumn("s", F.left("s", F.lit(256))).distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("s"), "s"))
+    picked: dict[str, list[str]] = defaultdict(list)
+    for r in strings.withColumn("place", place).where(F.col("place") <= sample).select("kind", "s").collect():
+        picked[r["kind"]].append(r["s"])
+    other = picked.pop("other", [])
+    return Formats(dict(picked), other)
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per row of `docs`: doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans."""
-    scanned = cut_lineage(scan_texts(docs, doc_id, text))
-    formats = learn_formats(scanned, sample)
+    formats = learn_formats(scan_texts(docs, text), sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
             out = defaultdict(list)
-            for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                spans = [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in base]
-                added = [(r["start"], 3, r["end"]) for r in runs if formats.accepts(r["run"])]
+            for value in batch.column("text"):
+                base, runs = scan(value.as_py() or "")
+                spans = [(start, KINDS.index(kind), end) for kind, start, end, _ in base]
+                added: list[tuple[int, int, int]] = []
+                for start, end, run in runs:
+                    if run not in known:
+                        if len(known) >= CACHE_RUNS:
+                            known.clear()
+                        known[run] = formats.accepts(run)
+                    if known[run] and not (added and start < added[-1][2]):
+                        added.append((start, 3, end))
                 for k, kind in enumerate(KINDS):
                     out[f"n_{kind}"].append(sum(s[1] == k for s in spans + added))
                 told = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found)) for found in (spans, spans + added)]
@@ -227,4 +276,4 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, *texts], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string"
-    return scanned.mapInArrow(judge, schema)
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(judge, schema)

@@ -75,3 +75,25 @@ def test_a_learned_format_adds_spans(spark):
     assert sum(out[i].n_format for i in range(280, 290)) >= 9
     assert all(out[i].n_format == 0 for i in range(280))
     assert out[280].spans.startswith("format:4:")
+
+
+def test_short_formats_are_applied_and_long_words_left(spark):
+    rng = random.Random(11)
+    mint = lambda: rand(rng, "ABCDEFGHJKLMNPQR23456789", 12)
+    long = lambda: " ".join(rand(rng, "aeionrstlm", rng.randrange(8, 14)) for _ in range(6))
+    given = [f"password={mint()} {long()}" for _ in range(80)] + [long() for _ in range(200)]
+    out = {r.doc_id: r for r in s.find_secrets(documents(spark, given + [f"see {mint()} here" for _ in range(10)])).collect()}
+    assert sum(out[i].spans == "format:4:16" for i in range(280, 290)) >= 9
+    assert all(out[i].n_format == 0 for i in range(280))
+
+
+def test_what_is_left_of_a_run_beside_base_spans_is_scored(spark):
+    rng = random.Random(12)
+    mint = lambda: rand(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40)
+    key = f"AKIA{rand(rng, 'ABCDEFGH0123', 16)}"
+    assert s.scan(f"{key}/{'k' * 9}.")[1] == [(20, 31, f"/{'k' * 9}."), (21, 31, f"{'k' * 9}.")]
+    assert s.scan(f"xy.{key}__{'k' * 6}-{key}")[1] == [(23, 32, f"__{'k' * 6}-")]
+    assert s.scan(f"token = {'k' * 20} {'k' * 7}")[1] == []
+    given = [f"secret={mint()}" for _ in range(80)] + [rand(rng, "aeionrstlm", 20) for _ in range(200)] + [f"{key}/{mint()}" for _ in range(10)]
+    out = {r.doc_id: r for r in s.find_secrets(documents(spark, given)).collect()}
+    assert sum(out[i].spans == "access:0:20,format:21:61" for i in range(280, 290)) >= 9
