@@ -10,13 +10,18 @@ ends it.
 The items are the query set: they go to the tasks in blocks of a bounded number of characters,
 and each block is one pass over the documents, which are never shuffled.
 
-Null and empty texts match nothing. Null items and items under `min_chars` characters are no
-test passages and are skipped. Items that share an id count as one, with the smaller distance.
+Items under `min_chars` characters are searched with the same budget, but an occurrence must also
+begin and end where no word goes on, so that `rain` is not found in `training`. Scripts that do
+not space their words have such a border at every character.
+
+Null and empty texts match nothing, and neither do items without a text. Items that share an id
+(or have none) count as one, with the smaller distance; `drop_contaminated` reads no ids.
 Repeated rows are judged each by itself. Extra columns pass through `drop_contaminated`.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,9 +32,12 @@ from pyspark.sql import functions as F
 from docketry.llm.frames import col
 
 RATE = 0.1
-MIN_CHARS = 32
+MIN_CHARS = 32  # shorter items must stand on word borders
 BLOCK_CHARS = 1 << 20  # of items that one pass looks for
 
+# Thai to Burmese, Khmer, kana, bopomofo and Chinese characters: written without spaces.
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -72,6 +80,28 @@ def best_match(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int
     return best, end
 
 
+def border(text: str, at: int) -> bool:
+    """No word of `text` goes on across position `at`."""
+    return not (0 < at < len(text) and all(c.isalnum() and not UNSPACED.match(c) for c in text[at - 1 : at + 1]))
+
+
+def bordered_match(item: str, text: str, start: int, most: int) -> tuple[int, int] | None:
+    """(distance, end) of the best occurrence on word borders that begins within `most` of `start`."""
+    best = None
+    for low in range(max(0, start - most), start + most + 1):
+        if not border(text, low):
+            continue
+        row = list(range(len(item) + 1))
+        for end, c in enumerate(text[low : low + len(item) + most], low + 1):
+            new = [row[0] + 1]
+            for i, x in enumerate(item):
+                new.append(min(row[i] + (c != x), row[i + 1] + 1, new[i] + 1))
+            row = new
+            if row[-1] <= most and border(text, end) and (best is None or (row[-1], end) < best):
+                best = (row[-1], end)
+    return best
+
+
 def _paths(item: str, k: int) -> list[tuple[int, int, list[tuple[int, int, int, dict[str, int]]]]]:
     """Per piece (low, high, path): the parts of `item` around it, smallest first, as (low, high,
     budget, masks).
@@ -101,26 +131,26 @@ def _paths(item: str, k: int) -> list[tuple[int, int, list[tuple[int, int, int,
 class Matcher:
     """A block of items ready to be searched."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(i, len(t), int(rate * len(t))) for i, t in items]
+        self.items = [(i, int(rate * len(t)), t if len(t) < min_chars else None) for i, t in items]
         found: dict[str, list] = defaultdict(list)
         for n, (_, t) in enumerate(items):
-            for low, high, path in _paths(t, self.items[n][2]):
+            for low, high, path in _paths(t, self.items[n][1]):
                 found[t[low:high]].append((n, low, path))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def search(self, text: str) -> dict[int, tuple[int, int]]:
+    def search(self, text: str) -> dict[int | None, tuple[int, int]]:
         """item id -> (distance, end) of the items that occur in the normal text."""
-        out: dict[int, tuple[int, int]] = {}
+        out: dict[int | None, tuple[int, int]] = {}
         known: dict[int, list[int]] = defaultdict(list)  # where an item was found, by its start
         for last, (size, places) in self.automaton.iter(text):
             for n, offset, path in places:
-                key, length, k = self.items[n]
+                key, k, short = self.items[n]
                 start = last + 1 - size - offset
                 if any(abs(start - s) <= k for s in known.get(n, ())):
                     continue
@@ -132,20 +162,26 @@ class Matcher:
                         break
                     end += begin
                 else:
+                    if short is not None:
+                        found = bordered_match(short, text, start, k)
+                        if found is None:
+                            continue
+                        distance, end = found
                     known[n].append(start)
                     if key not in out or distance < out[key][0]:
                         out[key] = (distance, end)
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks, in the order of their ids."""
-    rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where("id IS NOT NULL").distinct()
-    block: list[tuple[int, str]] = []
+def item_blocks(items: DataFrame, item_id: str | None, text: str, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct items in blocks, in the order of their ids; with no `item_id`, all without one."""
+    key = F.lit(None) if item_id is None else col(item_id)
+    rows = items.select(key.cast("long").alias("id"), col(text).alias("text")).distinct()
+    block: list[tuple[int | None, str]] = []
     size = 0
     for row in rows.orderBy("id", "text").toLocalIterator():
         passage = normal(row["text"])
-        if len(passage) < min_chars:
+        if not passage:
             continue
         if block and size + len(passage) > block_chars:
             yield block
@@ -164,10 +200,10 @@ def contaminated(
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     schema = "doc_id long, item_id long, distance long, match_end long"
     out = None
-    for block in item_blocks(items, item_id, item_text, min_chars, block_chars):
+    for block in item_blocks(items, item_id, item_text, block_chars):
 
         def find(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, min_chars)
             for batch in batches:
                 hits = [
                     (key, item, *hit)
@@ -190,12 +226,12 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """The rows of `docs` whose text holds no item; nothing is shuffled."""
+    """The rows of `docs` whose text holds no item; nothing is shuffled. `item_id` is not read."""
     out, place = docs, docs.columns.index(text)
-    for block in item_blocks(items, item_id, item_text, min_chars, block_chars):
+    for block in item_blocks(items, None, item_text, block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, min_chars)
             for batch in batches:
                 clean = [not matcher.search(normal(v.as_py())) for v in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -53,3 +53,40 @@ def test_leaks_are_found_and_clean_documents_left(spark):
         assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6]
     assert d.contaminated(docs.limit(0), bench).count() == 0 and d.contaminated(docs, bench.limit(0)).count() == 0
     assert d.drop_contaminated(docs, bench.limit(0)).count() == len(given)
+
+
+def test_short_items_equal_all_occurrences_on_word_borders():
+    rng = random.Random(6)
+    found = 0
+    for _ in range(400):
+        item = d.normal("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 32)))) or "a"
+        text = d.normal("".join(rng.choice("abc ") for _ in range(rng.randrange(12))) + item[: len(item) // 2] + rng.choice(["", "b", " "]) + item[len(item) // 2 :] + rng.choice(["", "c", " a"]))
+        cuts = [i for i in range(len(text) + 1) if not text[max(0, i - 1) : i + 1].isalnum() or i in (0, len(text))]
+        k = int(0.1 * len(item))
+        want = [max(whole(item, text[i:j]), 0) for i in cuts for j in cuts if i < j and abs(j - i - len(item)) <= k]
+        got = d.Matcher([(1, item)], 0.1).search(text)
+        assert (min(want, default=99) <= k) == (1 in got), (item, text)
+        assert not got or got[1][0] == min(want)
+        found += bool(got)
+    assert 50 < found < 350
+
+
+def whole(p, t):
+    row = list(range(len(p) + 1))
+    for j, c in enumerate(t, 1):
+        new = [j]
+        for i, x in enumerate(p):
+            new.append(min(row[i] + (c != x), row[i + 1] + 1, new[i] + 1))
+        row = new
+    return row[-1]
+
+
+def test_short_items_and_items_without_an_id_are_searched(spark):
+    given = ["He said: What is 2 + 2? Four.", "问:中国的首都是哪里?答", "it was raining in training", "a Rain came", "what is 2 + 20?", "an unnamed question of more than thirty-two characters, asked", None, ""]
+    bench = spark.createDataFrame([(1, "what is 2 + 2?"), (2, "中国的首都是哪里"), (3, "rain"), (4, " "), (None, "unnamed question of more than thirty-two characters")], "item_id long, text string")
+    docs = documents(spark, given)
+    got = {(r.doc_id, r.item_id, r.distance) for r in d.contaminated(docs, bench).collect()}
+    assert got == {(0, 1, 0), (1, 2, 0), (3, 3, 0), (4, 1, 1), (5, None, 0)}
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [2, 6, 7]
+    named = bench.selectExpr("concat('q', item_id) AS item_id", "text")
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, named).collect()) == [2, 6, 7]
