@@ -168,7 +168,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write `docs` as token files in the shared folder and read their index back."""
     path = f"{run_dir(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
-    token_files.write_files(docs, path, tokenizer)
+    token_files.write_files(docs, path, tokenizer, added_tokens=True)
     return token_files.read_files(docs.sparkSession, path, digest=True)
 
 

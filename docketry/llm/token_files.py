@@ -11,6 +11,8 @@ Spark's writer commits it, so a lost task leaves nothing behind and any store wi
 
 Texts are encoded once. Byte-level BPE never merges across the start of ` word`, so a text is cut
 there and each distinct piece is encoded once per worker; the result is that of the whole text.
+With `added_tokens` the strings of the tokenizer's added tokens stand for their ids, as in its
+plain call; otherwise they are ordinary text.
 
 Null and empty texts have only the end id. Documents are ordered by id, nulls first, then text
 hash; repeated rows are repeated documents. Extra columns are not read. An empty table gives
@@ -45,21 +47,21 @@ _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(2
 class Encoder:
     """A tokenizer file with remembered pieces; one per worker."""
 
-    _held: dict[str, Encoder] = {}
+    _held: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.place: dict[str, int] = {}
         self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+    def of(cls, path: str, added_tokens: bool = False) -> Encoder:
+        if (path, added_tokens) not in cls._held:
+            cls._held[path, added_tokens] = cls(path, added_tokens)
+        return cls._held[path, added_tokens]
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has."""
@@ -143,12 +145,12 @@ def _cells(data: np.ndarray, size: np.ndarray) -> pa.Array:
     return cells.cast(pa.binary())
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """id, tie (text hash), n, ids (little-endian 32 bits, or 16 where every id fits)."""
     plain = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, added_tokens)
         kind = np.dtype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
             for block in W.blocks(batch.column(1), BLOCK_BYTES):
@@ -192,10 +194,10 @@ def rank_ids(encoded: DataFrame) -> np.ndarray:
     return np.array([t for _, t in rows], np.uint32)
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, added_tokens: bool = False) -> None:
     """Encode `docs` and write `path`/blocks and `path`/ranks."""
     spark = docs.sparkSession
-    encoded = cut_lineage(encode_texts(docs, tokenizer, doc_id, text, end_id), compression="zstd")
+    encoded = cut_lineage(encode_texts(docs, tokenizer, doc_id, text, end_id, added_tokens), compression="zstd")
     by_rank = rank_ids(encoded)
     ranks = pa.table({"rank": pa.array(np.arange(len(by_rank), dtype=np.int64)), "token": pa.array(by_rank.astype(np.int64))})
     spark.createDataFrame(ranks, "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")

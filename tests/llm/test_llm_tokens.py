@@ -10,7 +10,7 @@ import pytest
 from plain import documents, prose
 
 from docketry.llm import token_files as t
-from docketry.llm.queries import TOKENIZER
+from docketry.llm.queries import TOKENIZER, token_rows
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,14 @@ def test_empty_table(spark, shared_folder):
     path = f"{shared_folder}/token-files-empty"
     t.write_files(documents(spark, [(1, "x")]).limit(0), path, TOKENIZER)
     assert t.read_files(spark, path).count() == 0 and t.read_files(spark, path, digest=True).count() == 0
+
+
+def test_query_gives_the_ids_of_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y z <|endoftext|>", *nasty()]
+    ids = [[*plain.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert 50256 in ids[0]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_rows(documents(spark, texts)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
