@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, decontaminate, line_dedup, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
+from docketry.llm import chat_format, decontaminate, importance, line_dedup, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
 from docketry.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,48 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kept.d AS kept_doc_id, CAST(
 @query("op5_line_dedup", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH said AS (
+  SELECT side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark)
+),
+crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b)
+  )
+),
+words AS (SELECT word, hex(encode(word)) AS x FROM said GROUP BY word),
+bucketed AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM words, crc
+),
+counts AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM said JOIN bucketed USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM counts),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g FROM counts, sums
+),
+summed AS (
+  SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS total FROM said JOIN bucketed USING (word) JOIN gain USING (bucket) WHERE side = 's' GROUP BY doc_id
+),
+weighed AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+    ('0x' || left(sha256('2024:' || d.doc_id), 8))::BIGINT AS h
+  FROM documents d LEFT JOIN summed USING (doc_id)
+),
+scored AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM weighed
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS many FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op11_importance_resample", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

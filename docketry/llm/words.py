@@ -21,6 +21,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# As in `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`: lower-case letters, digits and all beyond ASCII make words.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[48:58] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S31, _S29, _S32 = (np.uint64(x) for x in (31, 29, 32))
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -79,10 +82,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def find_words(data: np.ndarray, at: np.ndarray) -> Words:
+def find_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """Words of the texts; `space` says of each byte value whether it separates words."""
     if not len(data):
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64))
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     edge = np.unique(at[:-1][at[:-1] < at[1:]])
     begins = ink.copy()
     begins[1:] &= ~ink[:-1]
@@ -95,6 +99,28 @@ def find_words(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, at))
 
 
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the ranges one after another, and where each starts and the last ends."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(starts - at[:-1], size) + np.arange(at[-1])], at
+
+
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct byte strings of the ranges, side by side with their offsets, and the number
+    of the string that each range holds."""
+    body, at = gather(data, starts, ends)
+    strings = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(body)])
+    coded = strings.dictionary_encode()
+    held = coded.dictionary
+    if not len(held):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    _, where, chars = held.buffers()
+    offsets = np.frombuffer(where, np.int64)[held.offset : held.offset + len(held) + 1]
+    letters = np.frombuffer(chars, np.uint8) if chars is not None else np.zeros(0, np.uint8)
+    return letters, offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range, eight bytes a step."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
