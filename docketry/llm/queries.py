@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat_format, decontaminate, hard_negatives, importance, line_dedup, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files
+from docketry.llm import chat_format, decontaminate, hard_negatives, importance, line_dedup, minmax_dedup, pivotal_mix, quality_rules, ring_shards, secret_scan, substring_dedup, token_files, toxic_crf
 from docketry.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +318,9 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op13_toxic_crf")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_crf.score_documents(docs, toxic_crf.fit(docs, table(spark, sf_dir, "labels")))

@@ -43,7 +43,7 @@ SAMPLE = 12_000  # labelled documents that all fitting uses
 ROUNDS = 20  # gradient steps
 WIDTH = 18  # log2 of the number of feature weights
 HEADS, TAILS = (3, 4, 5, 6, 7, 8), (3, 4, 5)  # bytes of a word's first and last parts
-SURE = 0.6  # share of toxic documents that a marking feature has at least, with certainty Z
+SURE = 0.45  # share of toxic documents that a marking feature has at least, with certainty Z
 Z = 2.0
 ROW = 512  # tokens of a row of the folded chain
 SPAN = 0.5  # marginal from which a token belongs to a span
