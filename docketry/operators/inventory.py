@@ -7,27 +7,32 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.operators.digests import file_digests, one_slash
+
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*", hashed: bool = True) -> DataFrame:
     """(file, bytes, modified, sha256) of the files under `path`; content is read only to hash.
 
-    `file` is the path below `path`, so files of one name in two folders stay apart. A file is
-    one row while it is hashed, which Spark's reader bounds at 2 GB.
+    `file` is the path below `path`, so files of one name in two folders stay apart. Files are
+    hashed by byte ranges, in splits (`file_digests`): `sha256` is the plain hash of a file of one
+    range, and the root of its ranges' hashes for a larger one. No row holds a file.
     """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
+        .select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     )
     root = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"
     below = F.instr("path", root)
-    digest = F.sha2("content", 256) if hashed else F.lit(None).cast("string")
+    if hashed:
+        digests = file_digests(spark, path, glob).select(F.col("path").alias("_path"), F.col("digest").alias("sha256"))
+        files = files.join(digests, one_slash(F.col("path")) == F.col("_path"), "left").drop("_path")
+    else:
+        files = files.withColumn("sha256", F.lit(None).cast("string"))
     return files.select(
-        F.when(below > 0, F.substring("path", below + len(root), F.length("path"))).otherwise(F.col("path")).alias("file"),
-        F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("modified"),
-        digest.alias("sha256"),
+        F.when(below > 0, F.substring("path", below + len(root), F.length("path"))).otherwise(F.col("path")).alias("file"), "bytes", "modified", "sha256"
     )
 
 

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry import fixed
 from docketry.functions.display import fiscal_year
+from docketry.operators import inventory
 from docketry.plans.registered.base import REGISTRY, query, registry, table
 from docketry.session import run_dir
 from docketry.sources import cases as case_files
@@ -25,9 +27,15 @@ def written(df: DataFrame, **options) -> str:
     return path
 
 
+def parsed(spark, path: str, *columns: str) -> DataFrame:
+    """Rows of a registry file, with the layout it was found to have."""
+    layout, rows = registry_files.parse_registry(registry_files.read_registry_text(spark, path))
+    return rows.withColumn("layout", F.lit(layout)).select(*columns)
+
+
 @query(
     "registry_text_legacy",
-    f"WITH {REGISTRY} SELECT fiscal_year, employer_name, state, city, tax4, {', '.join(COUNTS)} FROM registry",
+    f"WITH {REGISTRY} SELECT 'legacy' AS layout, fiscal_year, employer_name, state, city, tax4, {', '.join(COUNTS)} FROM registry",
 )
 def registry_text_legacy(spark, d):
     """The four-count layout, with quotes in the names' header and tabs between cells."""
@@ -36,16 +44,67 @@ def registry_text_legacy(spark, d):
              "Industry (NAICS) Code": "naics", "Tax ID": "tax4", "Initial Approval": COUNTS[0], "Initial Denial": COUNTS[1],
              "Continuing Approval": COUNTS[2], "Continuing Denial": COUNTS[3]}
     path = written(rows.select(*[F.col(c).cast("string").alias(h) for h, c in named.items()]), sep="\t")
-    layout, parsed = registry_files.parse_registry(registry_files.read_registry_text(spark, path))
-    assert layout == "legacy"
-    return parsed.select("fiscal_year", "employer_name", "state", "city", "tax4", *COUNTS)
+    return parsed(spark, path, "layout", "fiscal_year", "employer_name", "state", "city", "tax4", *COUNTS)
+
+
+PARTS = [f"{c}_{o}" for c in ("new_employment", "new_concurrent", "continuation", "change_same_employer", "change_of_employer", "amended") for o in ("approvals", "denials")]
+SIX_ROWS = """WITH six AS (SELECT fiscal_year, employer_name || chr(10) || 'c/o "' || coalesce(state, 'none') || '", ' || tax4 AS employer_name,
+    upper(city || chr(10) || chr(2638) || chr(256)) AS city, coalesce(initial_approvals, 0) AS a, coalesce(initial_denials, 0) AS d FROM registry WHERE employer_name IS NOT NULL AND tax4 IS NOT NULL)
+  SELECT 'six_category' AS layout, fiscal_year, employer_name, city,
+    {cells}, 2 * a + 1 AS initial_approvals, 2 * d + 1 AS initial_denials, 4 * a + 14 AS continuing_approvals, 4 * d + 14 AS continuing_denials FROM six"""
+
+
+def six_cells(a: str, d: str) -> list[str]:
+    """The twelve counts of a row, by its two counts: k + the count, for the category at place k."""
+    return [f"{source} + {k}" for k in range(6) for source in (a, d)]
+
+
+SIX_SQL = f"WITH {REGISTRY}, " + SIX_ROWS.removeprefix("WITH ").format(cells=", ".join(f"{cell} AS {name}" for cell, name in zip(six_cells("a", "d"), PARTS, strict=True)))
+
+
+def six_category(spark, d, **options):
+    """Twelve counts, with line feeds, quotes, separators and characters beyond ASCII inside cells."""
+    rows = registry(spark, d).where("employer_name IS NOT NULL AND tax4 IS NOT NULL")
+    name = F.concat("employer_name", F.lit('\nc/o "'), F.coalesce("state", F.lit("none")), F.lit('", '), "tax4")
+    counts = {"a": F.coalesce("initial_approvals", F.lit(0)), "d": F.coalesce("initial_denials", F.lit(0))}
+    heads = [f"{c} {o}" for c in fixed.CATEGORIES.values() for o in ("Approval", "Denials")]
+    cells = [(counts["a" if i % 2 == 0 else "d"] + i // 2).cast("string").alias(h) for i, h in enumerate(heads)]
+    # The last two letters hold a line feed's bytes in UTF-16, across them.
+    city = F.concat("city", F.lit("\n\u0a4e\u0100"))
+    path = written(rows.select(F.col("fiscal_year").alias("Fiscal Year"), name.alias("Employer (Petitioner) Name"), city.alias("Petitioner City"), *cells), escape='"', quoteAll=True, **options)
+    return parsed(spark, path, "layout", "fiscal_year", "employer_name", "city", *PARTS, *COUNTS)
+
+
+@query("registry_text_quoted", SIX_SQL)
+def registry_text_quoted(spark, d):
+    """UTF-8, line feeds inside cells: read in splits by quote states."""
+    return six_category(spark, d)
+
+
+@query("registry_text_utf16", SIX_SQL)
+def registry_text_utf16(spark, d):
+    """UTF-16 with tabs: read in splits, pieces cut inside a character put together again."""
+    return six_category(spark, d, sep="\t", encoding="UTF-16LE")
+
+
+@query("registry_record_counts", f"""WITH {REGISTRY} SELECT 'legacy' AS file, count(*) AS counted, count(*) AS read FROM registry WHERE employer_name IS NOT NULL
+    UNION ALL SELECT 'quoted', count(*), count(*) FROM registry WHERE employer_name IS NOT NULL""")
+def registry_record_counts(spark, d):
+    """Records counted beside the reader, and rows it gives: plain cells, and cells with line feeds."""
+    rows = registry(spark, d).where("employer_name IS NOT NULL")
+    out = []
+    for name, cell in (("legacy", F.col("employer_name")), ("quoted", F.concat(F.lit("\n"), F.col("employer_name"), F.lit('"\n')))):
+        path = written(rows.select(F.col("fiscal_year").cast("string").alias("Fiscal Year"), cell.alias("Employer")), escape='"')
+        read = registry_files.read_registry_text(spark, path).agg(F.count(F.lit(1)).alias("read"))
+        out.append(registry_files.raw_records(spark, path).select(F.lit(name).alias("file"), F.col("rows").alias("counted")).crossJoin(read))  # one row each
+    return out[0].unionByName(out[1])
 
 
 @query(
     "registry_text_long",
     """WITH s AS (SELECT l_suppkey, CAST(year(l_shipdate + INTERVAL 3 MONTH) AS INTEGER) AS fiscal_year,
         sum(l_linenumber) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL)
-    SELECT fiscal_year, 'Supplier, No ' || l_suppkey AS employer_name, CAST(a AS INTEGER) AS initial_approvals, CAST(NULL AS INTEGER) AS initial_denials,
+    SELECT 'long' AS layout, fiscal_year, 'Supplier, No ' || l_suppkey AS employer_name, CAST(a AS INTEGER) AS initial_approvals, CAST(NULL AS INTEGER) AS initial_denials,
       CAST(NULL AS INTEGER) AS continuing_approvals, CAST(r AS INTEGER) AS continuing_denials FROM s""",
 )
 def registry_text_long(spark, d):
@@ -61,9 +120,7 @@ def registry_text_long(spark, d):
     name = F.concat(F.lit("Supplier, No "), F.col("l_suppkey").cast("string")).alias("Employer")
     long = sums.select(F.col("fy").alias("Fiscal Year"), name, F.explode(measures).alias("x"))
     path = written(long.select("Fiscal Year", "Employer", F.col("x.m").alias("Measure Names"), F.col("x.v").alias("Measure Values")))
-    layout, parsed = registry_files.parse_registry(registry_files.read_registry_text(spark, path))
-    assert layout == "long"
-    return parsed.select("fiscal_year", "employer_name", *COUNTS)
+    return parsed(spark, path, "layout", "fiscal_year", "employer_name", *COUNTS)
 
 
 @query(
@@ -97,3 +154,19 @@ def case_text_releases(spark, d):
         raw[release] = case_files.read_text_csv(spark, written(text))
     latest = case_files.latest_cases(case_files.all_cases(raw))
     return latest.select("case_number", "fiscal_year", "source_quarter", "case_status", "decision_date", "employer_fein", "wage_from", "full_time")
+
+
+@query(
+    "file_digests_written",
+    """SELECT 'k=' || c_nationkey AS folder, sum(strlen(c_name) + strlen(CAST(c_custkey AS VARCHAR)) + 2)::BIGINT AS bytes,
+      sha256(string_agg(c_custkey || chr(9) || c_name || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY c_nationkey""",
+)
+def file_digests_written(spark, d):
+    """A file per nation, written in order, then listed and hashed in splits."""
+    rows = table(spark, d, "customer")
+    line = F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name").alias("value")
+    path = f"{run_dir(spark)}/digests/{uuid.uuid4().hex}"
+    lines = rows.select(F.col("c_nationkey").alias("k"), "c_custkey", line).repartition("k").sortWithinPartitions("k", "c_custkey")
+    lines.drop("c_custkey").write.partitionBy("k").text(path)
+    files = inventory.file_inventory(spark, path, "*.txt")
+    return files.select(F.regexp_extract("file", "(k=[^/]*)/", 1).alias("folder"), "bytes", "sha256")

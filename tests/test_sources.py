@@ -273,7 +273,7 @@ def test_a_quoted_line_feed_stays_in_its_cell(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text('Fiscal Year,Employer (Petitioner) Name,Note\n2024,"ACME\nLLC","say ""hi"""\n2024,Plain,x\n')
     got = registry.read_registry_text(spark, str(path)).collect()
-    assert [r[1] for r in got] == ["ACME\nLLC", "Plain"]
+    assert sorted(r[1] for r in got) == ["ACME\nLLC", "Plain"]
 
 
 def test_numbers_too_large_are_null(spark):
@@ -283,3 +283,64 @@ def test_numbers_too_large_are_null(spark):
 
     assert evaluate(spark, clean.separated_int, ["3,000,000,000", "12,5", "7.9"]) == [None, 125, 7]
     assert [str(x) for x in evaluate(spark, clean.serial_date, ["3000000000", "99999999999999", "2958465", "45000"])] == ["None", "None", "9999-12-31", "2023-03-15"]
+
+
+QUOTED = [
+    'Name,Note,N\n"Acme\nInc","say ""hi""\n\nthere",1\nplain,5" pipe,2\n"a,b","x",3\n\n"last\nline",,"4"\n',
+    'Name,Note,N\n' + "".join(f'"{"x" * k}\n{"y" * (k % 7)}""",{"z" if k % 3 else """ "q""" },{k}\n' for k in range(12)) + '"' + "long\n" * 40 + '",b,c\nd,e,f\n',
+    'Name,"No\nte",N\n1,2,3',
+]
+
+
+def cells(df):
+    return sorted((tuple(None if c is None else c.replace("\r\n", "\n") for c in r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("text", QUOTED)
+def test_split_reading_equals_reading_in_one_piece(spark, tmp_path, text):
+    from docketry.sources import split_text
+
+    for name, value in (("maxPartitionBytes", "40"), ("openCostInBytes", "1")):
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        path = write(tmp_path / "q.csv", text)
+        want = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        got = split_text.read_delimited(spark, path, ",")
+        assert got.columns == want.columns
+        assert cells(registry.not_blank(got)) == cells(want)
+        for charset, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"")):
+            # Letters whose bytes, side by side, hold those of a line feed.
+            wide = text.replace("x", "\u0a41\u0100").replace(",", "\t")
+            path = tmp_path / f"w{charset}{len(mark)}.txt"
+            path.write_bytes(mark + wide.encode(charset))
+            encoding, sep = registry.sniff(spark, str(path))
+            assert (encoding, sep) == (charset.upper().replace("-", "").replace("F16", "F-16"), "\t")
+            plain = write(tmp_path / f"w{charset}{len(mark)}.csv", wide)
+            want = spark.read.csv(plain, header=True, multiLine=True, escape='"', sep="\t")
+            assert cells(registry.not_blank(split_text.read_delimited(spark, str(path), sep, encoding))) == cells(want)
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_a_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    from docketry.sources import split_text
+
+    path = write(tmp_path / "m.csv", "Name,Note\n" + '"a\nb",c\n' * 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert split_text._lines(spark, path).rdd.getNumPartitions() > 8
+        assert registry.read_registry_text(spark, path).count() == 5000
+        assert registry.raw_records(spark, path).first()["rows"] == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_gate_of_the_registry(spark, tmp_path, monkeypatch):
+    write(tmp_path / "uscis_hub_FY2026.csv", SIX + "\n2026,ACME,1111,54,X,VA,1" + ",0" * 12 + "\n")
+    files = releases.present_files(spark, [f for f in releases.declared_registry_files() if f.fiscal_year == 2026], str(tmp_path))
+    assert registry.load_registry(spark, files, str(tmp_path))[0].count() == 1
+    real = registry.read_registry_text
+    monkeypatch.setattr(registry, "read_registry_text", lambda *a: real(*a).limit(0))
+    with pytest.raises(GateError, match="records"):
+        registry.load_registry(spark, files, str(tmp_path))
