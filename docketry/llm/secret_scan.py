@@ -1,13 +1,17 @@
 """Secret scan with inferred formats.
 
 Fixed patterns find labelled credentials. From a bounded sample of them, per kind, a prefix tree
-over character classes is built and its statistically compatible states are merged (Hoeffding
-test on stopping and on each symbol, folding subtrees), which gives a probabilistic automaton.
+is built and its statistically compatible states are merged (Hoeffding test on stopping and on
+each symbol, folding subtrees), which gives a probabilistic automaton. Symbols are a literal
+beginning that half of the kind shares, the class and length of each alphanumeric part (the
+smallest class that covers it), and all other characters; so lengths are part of a format, and a
+string of any length, which is never cut, has few symbols. A kind with too few credentials has no
+automaton.
 A background automaton is inferred in the same way from other runs of credential characters.
 Every such run of the corpus of at least the fixed patterns' own minimum is then scored, and
 where fixed patterns cover some of it, each part left over: it is added as kind `format` if its
-likelihood per character under one kind's automaton is no lower than nearly all labelled
-credentials have, and its odds against the background are high enough.
+likelihood under one kind's automaton is between those of nearly all labelled
+credentials, and its odds against the background are high enough.
 
 Runs are not kept between the two passes; the texts are scanned once to learn and once to judge.
 
@@ -21,20 +25,22 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.frames import col
+from docketry.operators.ordering import best_per_key
 
 KINDS = ["assign", "access", "hex", "format"]
 SAMPLE = 500  # labelled credentials per kind, and background runs, that automata are fitted on
 ALPHA = 0.05  # of the Hoeffding tests
 ODDS = 2.0  # natural log of the odds a candidate needs; unlabelled credentials are in the background too
 LOWEST = 0.01  # share of labelled credentials that may score below the threshold
+FEWEST = 30  # labelled credentials that a kind needs for an automaton
 MIN_RUN = 8  # of `assign` too: what is learned from must be looked for
 JOINERS = "+/_.=-"  # between a run's alphanumeric parts
 CACHE_RUNS = 200_000  # judged runs that a task remembers
@@ -87,24 +93,48 @@ def _left_over(runs: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -
     return out
 
 
-CLASSES = str.maketrans({c: "0" if c.isdigit() else "aA"[c.isupper()] if c.lower() <= "f" else "gG"[c.isupper()] for c in map(chr, range(128)) if c.isalnum()})
+PARTS = re.compile("[A-Za-z0-9]+|[^A-Za-z0-9]")
+# The smallest class that covers a part names it. Fixed order: the first that matches.
+CLASSES = [
+    ("digits", re.compile("[0-9]+")), ("word", re.compile("[a-z]+")), ("Word", re.compile("[A-Z][a-z]+")), ("WORD", re.compile("[A-Z]+")),
+    ("hex", re.compile("[0-9a-f]+")), ("HEX", re.compile("[0-9A-F]+")), ("lower", re.compile("[0-9a-z]+")), ("UPPER", re.compile("[0-9A-Z]+")),
+    ("Letters", re.compile("[A-Za-z]+")), ("Mixed", re.compile("[0-9A-Za-z]+")),
+]
 
 
-def symbols(text: str) -> str:
-    """Character classes: digit, a-f, g-z, A-F, G-Z; other characters are themselves."""
-    return text.translate(CLASSES)
+def symbols(text: str, prefix: str = "") -> list[str]:
+    """A string as symbols: its kind's literal prefix, the class and length of every alphanumeric
+    part, and all other characters as they are."""
+    out = []
+    if prefix and text.startswith(prefix):
+        out, text = [prefix], text[len(prefix) :]
+    for part in PARTS.findall(text):
+        out.append(next(f"{name}{len(part)}" for name, form in CLASSES if form.fullmatch(part)) if part.isalnum() else part)
+    return out
+
+
+def common_prefix(strings: list[str]) -> str:
+    """The longest beginning, of three characters or more, that half of the strings have."""
+    low, group = "", strings
+    while True:
+        many = Counter(s[: len(low) + 1] for s in group if len(s) > len(low) + 1)
+        best = min(many, key=lambda x: (-many[x], x), default=None)
+        if best is None or 2 * many[best] < len(strings):
+            return low if len(low) >= 3 else ""
+        low, group = best, [s for s in group if s.startswith(best)]
 
 
 class Automaton:
-    """A probabilistic automaton inferred from strings."""
+    """A probabilistic automaton inferred from strings, over their symbols."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float = ALPHA, prefix: str = ""):
+        self.prefix = prefix
         self.next: list[dict[str, int]] = [{}]
         self.many: list[dict[str, int]] = [{}]
         self.stops = [0]
         for s in strings:
             at = 0
-            for c in symbols(s):
+            for c in symbols(s, prefix):
                 self.many[at][c] = self.many[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
@@ -120,20 +150,24 @@ class Automaton:
         return self.stops[q] + sum(self.many[q].values())
 
     def _alike(self, a: int, b: int, bound: float) -> bool:
-        """No symbol's frequency differs by more than chance allows, here and below."""
-        todo = [(a, b)]
+        """There is evidence enough to tell the states apart, and no symbol's frequency differs by
+        more than chance allows, here and below (b is a tree, so this ends in loops of a too)."""
+        todo, top = [(a, b)], True
         while todo:
             a, b = todo.pop()
             n, m = self._total(a), self._total(b)
             if not n or not m:
                 continue
             slack = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if top and slack >= 1:
+                return False
+            top = False
             if abs(self.stops[a] / n - self.stops[b] / m) > slack:
                 return False
             for c in self.many[a].keys() | self.many[b].keys():
                 if abs(self.many[a].get(c, 0) / n - self.many[b].get(c, 0) / m) > slack:
                     return False
-                if c in self.next[a] and c in self.next[b] and self.next[a][c] != a:
+                if c in self.next[a] and c in self.next[b]:
                     todo.append((self.next[a][c], self.next[b][c]))
         return True
 
@@ -178,6 +212,7 @@ class Table:
     """The log probabilities of an automaton's states, with a little mass for what was never seen."""
 
     def __init__(self, machine: Automaton):
+        self.prefix = machine.prefix
         width, number = len(machine.letters) + 2, {q: i for i, q in enumerate(machine.kept)}
         self.steps, self.unseen, self.stops = [], [], []
         for q in machine.kept:
@@ -189,7 +224,7 @@ class Table:
     def score(self, text: str) -> float:
         """Log likelihood of `text`."""
         at, total = 0, 0.0
-        for c in symbols(text):
+        for c in symbols(text, self.prefix):
             step = self.steps[at].get(c)
             if step is None:
                 total += self.unseen[at]
@@ -200,23 +235,28 @@ class Table:
 
 
 class Formats:
-    """An automaton per kind with its threshold, and the background."""
+    """An automaton per kind with the likelihoods that its credentials have, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], other: list[str], alpha: float = ALPHA, lowest: float = LOWEST, odds: float = ODDS):
+    def __init__(self, labelled: dict[str, list[str]], other: list[str], alpha: float = ALPHA, lowest: float = LOWEST, odds: float = ODDS, fewest: int = FEWEST):
         self.odds = odds
         self.kinds = []
         for kind in sorted(labelled):
-            machine = Automaton(sorted(labelled[kind]), alpha).table()
-            scores = sorted(machine.score(s) / (len(s) + 1) for s in labelled[kind])
-            self.kinds.append((machine, scores[int(lowest * len(scores))]))
+            strings = sorted(labelled[kind])
+            if len(strings) < fewest:
+                continue
+            machine = Automaton(strings, alpha, common_prefix(strings)).table()
+            scores = sorted(machine.score(s) for s in strings)
+            self.kinds.append((machine, scores[int(lowest * len(scores))], scores[-1]))
         self.background = Automaton(sorted(other), alpha).table() if other else None
 
     def accepts(self, run: str) -> bool:
-        scores = [machine.score(run) for machine, _ in self.kinds]
-        likely = [score for score, (_, least) in zip(scores, self.kinds, strict=True) if score / (len(run) + 1) >= least]
+        """The likelihood of some kind lies between those of nearly all its credentials, and the
+        odds against the background are high enough."""
+        scores = [(machine.score(run), least, most) for machine, least, most in self.kinds]
+        likely = [score for score, least, most in scores if least <= score <= most]
         if not likely:
             return False
-        plain = self.background.score(run) if self.background else -len(run) * math.log(64)
+        plain = self.background.score(run) if self.background else math.log(0.1 / SAMPLE)
         return max(likely) - plain >= self.odds
 
 
@@ -238,10 +278,11 @@ def scan_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def learn_formats(strings: DataFrame, sample: int = SAMPLE) -> Formats:
     """Automata from `sample` distinct credentials per kind and as many other runs, chosen by hash."""
-    strings = strings.withColumn("s", F.left("s", F.lit(256))).distinct()
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("s"), "s"))
+    order = [F.xxhash64("s"), F.col("s")]
+    # The first of every part of a kind, then of the kind: a kind is many tasks' work.
+    parts = best_per_key(strings.withColumn("part", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(64))), ["kind", "part"], order, sample)
     picked: dict[str, list[str]] = defaultdict(list)
-    for r in strings.withColumn("place", place).where(F.col("place") <= sample).select("kind", "s").collect():
+    for r in best_per_key(parts.drop("part"), ["kind"], order, sample).select("kind", "s").collect():
         picked[r["kind"]].append(r["s"])
     other = picked.pop("other", [])
     return Formats(dict(picked), other)

@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, state merging, and what learned formats accept."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -49,13 +50,70 @@ def test_base_spans_equal_their_patterns(spark):
 
 def test_states_merge_into_a_loop_and_probabilities_add_up():
     rng = random.Random(1)
-    machine = s.Automaton([rand(rng, "0a", rng.randrange(1, 30)) for _ in range(400)])
-    assert len(machine.kept) < 20 < len(machine.next)
+    strings = ["-".join(rand(rng, "0123456789", 3) for _ in range(1 + min(rng.randrange(40), rng.randrange(40)))) for _ in range(500)]
+    machine = s.Automaton(strings)
+    assert len(machine.kept) < len(machine.next) / 2
     for q in machine.kept:
         assert machine._total(q) == machine.stops[q] + sum(machine.many[q].values())
         assert all(to in machine.kept for to in machine.next[q].values())
 
 
+def test_a_score_is_the_product_of_its_states_shares():
+    strings = ["ab-12"] * 60 + ["ab-345"] * 30 + ["zz"] * 30
+    machine = s.Automaton(strings)
+    share = lambda n, of, width: math.log((n + 0.1) / (of + 0.1 * width))
+    width = len(machine.letters) + 2  # word2, -, digits2, digits3; unseen and stop
+    assert machine.letters == {"word2", "-", "digits2", "digits3"}
+    want = share(120, 120, width) + share(90, 120, width) + share(60, 90, width) + share(90, 90, width)
+    assert abs(machine.score("qq-99") - want) < 1e-9
+
+
+def test_fixed_lengths_are_kept_apart():
+    rng = random.Random(2)
+    for n in (120, 500):
+        strings = [rand(rng, HEX, 40) for _ in range(n)]
+        machine = s.Automaton(strings)
+        assert len(machine.kept) > 1
+        other = [rand(rng, HEX, rng.choice([8, 9, 10, 11, 12, 16, 20])) for _ in range(300)]
+        formats = s.Formats({"assign": strings}, other)
+        assert sum(formats.accepts(rand(rng, HEX, 40)) for _ in range(200)) >= 180
+        assert not any(formats.accepts(rand(rng, "0123456789", 10)) for _ in range(200))
+
+
+def test_long_credentials_are_learned_whole():
+    rng = random.Random(9)
+    token = lambda n: f"eyJ{rand(rng, 'abcXYZ019', n)}.{rand(rng, 'abcXYZ019', 300)}"
+    formats = s.Formats({"assign": [token(200) for _ in range(100)]}, [rand(rng, "abcdefgh", 12) for _ in range(100)])
+    assert formats.kinds[0][0].prefix == "eyJ"
+    assert formats.accepts(token(200)) and not formats.accepts(token(200)[:260]) and not formats.accepts(token(250))
+
+
+def test_a_kind_with_few_credentials_has_no_automaton():
+    rng = random.Random(2)
+    assert s.Formats({"assign": [rand(rng, HEX, 40) for _ in range(29)]}, []).kinds == []
+
+
+def test_held_out_recall_and_false_alarms(spark):
+    """Three labelled formats among prose; standing alone they are found, and little else is."""
+    rng = random.Random(21)
+    up, alnum, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"
+    mints = [lambda: f"ghp_{rand(rng, alnum, 36)}", lambda: rand(rng, up, 20), lambda: f"sk-live-{rand(rng, alnum, 24)}"]
+    plain = [
+        lambda: rand(rng, digits, 16), lambda: f"+{rand(rng, digits, 11)}", lambda: f"{rand(rng, digits, 3)}-{rand(rng, digits, 3)}-{rand(rng, digits, 4)}",
+        lambda: f"20{rand(rng, digits, 2)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}", lambda: rand(rng, "aeionrstlm", rng.randrange(8, 16)),
+        lambda: rand(rng, "aeionrstlm", rng.randrange(8, 16)).capitalize(), lambda: f"{rand(rng, 'aeionrst', 9)}-{rand(rng, 'aeionrst', 7)}", lambda: f"/{rand(rng, 'aeionrst', 5)}/{rand(rng, 'aeionrst', 8)}",
+    ]
+    given = [f"{rng.choice(['token', 'secret', 'password'])}={m()} {rng.choice(plain)()}" for m in mints for _ in range(90)]
+    given += [" ".join(rng.choice(plain)() for _ in range(8)) for _ in range(300)]
+    alone = [f"see {m()} here" for m in mints for _ in range(30)]
+    clean = [f"see {p()} here" for p in plain for _ in range(60)]
+    out = {r.doc_id: r for r in s.find_secrets(documents(spark, given + alone + clean)).collect()}
+    first, last = len(given), len(given) + len(alone)
+    assert sum(out[i].n_format == 1 for i in range(first, last)) >= 0.9 * len(alone)
+    alarms = [i for i in range(last, last + len(clean)) if out[i].n_format]
+    assert len(alarms) < 0.01 * len(clean), alarms
+
+
 def test_learned_format_accepts_held_out_credentials_and_no_prose():
     rng = random.Random(3)
     token = lambda: f"ghk_{rand(rng, 'ABCDEFGHIJ0123456789', 24)}"
