@@ -10,9 +10,10 @@ ends it.
 The items are the query set: they go to the tasks in blocks of a bounded number of characters,
 and each block is one pass over the documents, which are never shuffled.
 
-Items under `min_chars` characters are searched with the same budget, but an occurrence must also
-begin and end where no word goes on, so that `rain` is not found in `training`. Scripts that do
-not space their words have such a border at every character.
+An occurrence of an item of any length must begin and end where no word goes on, so that `rain` is
+not found in `training`. Scripts that do not space their words have such a border at every
+character. The distance is the least over such occurrences: Myers' bit vectors run forward for
+the ends, and backward from each end on a border for the starts.
 
 Null and empty texts match nothing, and neither do items without a text. Items that share an id
 (or have none) count as one, with the smaller distance; `drop_contaminated` reads no ids.
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from docketry.llm.frames import col
 
 RATE = 0.1
-MIN_CHARS = 32  # shorter items must stand on word borders
 BLOCK_CHARS = 1 << 20  # of items that one pass looks for
 
 # Thai to Burmese, Khmer, kana, bopomofo and Chinese characters: written without spaces.
@@ -85,20 +85,39 @@ def border(text: str, at: int) -> bool:
     return not (0 < at < len(text) and all(c.isalnum() and not UNSPACED.match(c) for c in text[at - 1 : at + 1]))
 
 
-def bordered_match(item: str, text: str, start: int, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the best occurrence on word borders that begins within `most` of `start`."""
+def _ends(masks: dict[str, int], m: int, text: str, anchored: bool) -> Iterator[int]:
+    """Myers' distance after each character: of the best part that ends there, or, if `anchored`, of
+    all the text up to there."""
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for c in text:
+        same = masks.get(c, 0)
+        diag = (((same & up) + up) ^ up) | same | down
+        more = down | (full & ~(diag | up))
+        less = diag & up
+        if more & high:
+            score += 1
+        elif less & high:
+            score -= 1
+        more = (more << 1) | anchored
+        up = ((less << 1) | (full & ~(diag | more))) & full
+        down = more & diag & full
+        yield score
+
+
+def bordered_match(ahead: dict[str, int], back: dict[str, int], m: int, text: str, start: int, most: int) -> tuple[int, int] | None:
+    """(distance, end) of the best occurrence on word borders that begins within `most` of `start`.
+    `ahead` and `back` are the masks of the item and of its reverse."""
+    low, high = max(0, start - most), min(len(text), start + m + 2 * most)
+    ends = [(score, end) for end, score in enumerate(_ends(ahead, m, text[low:high], False), low + 1) if score <= most and border(text, end)]
     best = None
-    for low in range(max(0, start - most), start + most + 1):
-        if not border(text, low):
-            continue
-        row = list(range(len(item) + 1))
-        for end, c in enumerate(text[low : low + len(item) + most], low + 1):
-            new = [row[0] + 1]
-            for i, x in enumerate(item):
-                new.append(min(row[i] + (c != x), row[i + 1] + 1, new[i] + 1))
-            row = new
-            if row[-1] <= most and border(text, end) and (best is None or (row[-1], end) < best):
-                best = (row[-1], end)
+    for score, end in sorted(ends):
+        if best and score >= best[0]:
+            break
+        before = text[max(low, end - m - most) : end][::-1]
+        for size, distance in enumerate(_ends(back, m, before, True), 1):
+            if distance <= most and (best is None or (distance, end) < best) and end - size <= start + most and border(text, end - size):
+                best = (distance, end)
     return best
 
 
@@ -131,10 +150,10 @@ def _paths(item: str, k: int) -> list[tuple[int, int, list[tuple[int, int, int,
 class Matcher:
     """A block of items ready to be searched."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, int(rate * len(t)), t if len(t) < min_chars else None) for i, t in items]
+        self.items = [(i, int(rate * len(t)), len(t), letter_masks(t), letter_masks(t[::-1])) for i, t in items]
         found: dict[str, list] = defaultdict(list)
         for n, (_, t) in enumerate(items):
             for low, high, path in _paths(t, self.items[n][1]):
@@ -150,26 +169,20 @@ class Matcher:
         known: dict[int, list[int]] = defaultdict(list)  # where an item was found, by its start
         for last, (size, places) in self.automaton.iter(text):
             for n, offset, path in places:
-                key, k, short = self.items[n]
+                key, k, m, ahead, back = self.items[n]
                 start = last + 1 - size - offset
                 if any(abs(start - s) <= k for s in known.get(n, ())):
                     continue
-                distance, end = 0, last + 1
                 for low, high, most, masks in path:
-                    begin = max(0, start + low - most)
-                    distance, end = best_match(masks, high - low, text[begin : start + high + most], most)
-                    if distance > most:
+                    if best_match(masks, high - low, text[max(0, start + low - most) : start + high + most], most)[0] > most:
                         break
-                    end += begin
                 else:
-                    if short is not None:
-                        found = bordered_match(short, text, start, k)
-                        if found is None:
-                            continue
-                        distance, end = found
+                    found = bordered_match(ahead, back, m, text, start, k)
+                    if found is None:
+                        continue
                     known[n].append(start)
-                    if key not in out or distance < out[key][0]:
-                        out[key] = (distance, end)
+                    if key not in out or found[0] < out[key][0]:
+                        out[key] = found
         return out
 
 
@@ -194,7 +207,7 @@ def item_blocks(items: DataFrame, item_id: str | None, text: str, block_chars: i
 
 def contaminated(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    rate: float = RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """doc_id, item_id, distance, match_end (characters of the normal text) of all hits."""
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
@@ -203,7 +216,7 @@ def contaminated(
     for block in item_blocks(items, item_id, item_text, block_chars):
 
         def find(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, min_chars)
+            matcher = Matcher(block, rate)
             for batch in batches:
                 hits = [
                     (key, item, *hit)
@@ -224,14 +237,14 @@ def contaminated(
 
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    rate: float = RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """The rows of `docs` whose text holds no item; nothing is shuffled. `item_id` is not read."""
     out, place = docs, docs.columns.index(text)
     for block in item_blocks(items, None, item_text, block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, min_chars)
+            matcher = Matcher(block, rate)
             for batch in batches:
                 clean = [not matcher.search(normal(v.as_py())) for v in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
