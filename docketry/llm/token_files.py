@@ -35,8 +35,8 @@ from docketry.session import cut_lineage
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-BLOCK_BYTES = 8 << 20  # text that a worker encodes at a time
-CACHE_PIECES = 400_000  # pieces a worker remembers; others are encoded again
+BLOCK_BYTES = 16 << 20  # text that a worker encodes at a time
+CACHE_PIECES = 400_000  # pieces a worker remembers at most; then it starts over
 CACHE_CHARS = 64
 
 _GRAPHIC = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
@@ -70,6 +70,22 @@ class Encoder:
         got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
 
+    def _remember(self, names: list[str], ids: np.ndarray, size: np.ndarray, first: np.ndarray) -> None:
+        """Keep the short pieces among the new ones; when there are too many, start over."""
+        short = np.array([i for i, name in enumerate(names) if len(name) <= CACHE_CHARS], np.int64)
+        if len(self.place) + len(short) > CACHE_PIECES:
+            self.place.clear()
+            self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        short = short[:CACHE_PIECES]
+        n = size[short]
+        at = np.cumsum(n) - n
+        held = ids[np.repeat(first[short] - at, n) + np.arange(int(n.sum()))]
+        base, total = len(self.size), len(self.ids)
+        self.place.update(zip([names[i] for i in short], range(base, base + len(short)), strict=True))
+        self.ids = np.concatenate([self.ids, held])
+        self.size = np.concatenate([self.size, n])
+        self.at = np.concatenate([self.at, total + at])
+
     def encode(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's texts in a row, and how many each text has."""
         data, at = block.data, block.at
@@ -92,12 +108,12 @@ class Encoder:
         ids, size = self._encode([names[i] for i in new])
         base, total = len(self.size), len(self.ids)
         where[new] = base + np.arange(len(new))
+        # This block's own arrays; only short pieces, which have a name, are kept beyond it.
         all_ids = np.concatenate([self.ids, ids])
         all_size = np.concatenate([self.size, size])
-        all_at = np.concatenate([self.at, total + np.cumsum(size) - size])
-        if len(self.place) < CACHE_PIECES:
-            self.ids, self.size, self.at = all_ids, all_size, all_at
-            self.place.update((names[i], int(where[i])) for i in new if len(names[i]) <= CACHE_CHARS)
+        first = np.cumsum(size) - size
+        all_at = np.concatenate([self.at, total + first])
+        self._remember([names[i] for i in new], ids, size, first)
         piece = where[which]
         n = all_size[piece]
         first = np.cumsum(n) - n

@@ -83,3 +83,25 @@ def test_query_gives_the_ids_of_the_plain_call(spark):
     assert 50256 in ids[0]
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_rows(documents(spark, texts)).collect()}
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
+def test_held_ids_stay_bounded_over_texts_without_spaces(monkeypatch):
+    from docketry.llm import words as W
+
+    rng = random.Random(8)
+    encoder = t.Encoder(TOKENIZER)
+    held = []
+    for _ in range(6):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) for _ in range(20)] + ["some words " * 5]
+        for block in W.blocks(pa.array(texts)):
+            ids, n = encoder.encode(block)
+            want = [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+            assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+        held.append(len(encoder.ids))
+    assert max(held) < 50
+    monkeypatch.setattr(t, "CACHE_PIECES", 40)
+    for k in range(20):
+        texts = [" ".join(f"w{k}x{j}" for j in range(15))]
+        (block,) = W.blocks(pa.array(texts))
+        assert encoder.encode(block)[0].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert len(encoder.place) <= 40 and len(encoder.size) == len(encoder.place) and len(encoder.ids) < 400
