@@ -21,29 +21,46 @@ from __future__ import annotations
 import json
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.frames import col, packed
 from docketry.operators.ordering import dense_index
 
-CELLS = 1 << 16
+CELL_BITS = 16
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 VIRTUAL = 64
 
 
 def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> DataFrame:
-    """(arc, owner): the virtual nodes in ring order; `arc` is the cell where the arc ends.
+    """(arc, owner): the virtual nodes in ring order; `arc` is where the arc ends, a 64-bit hash.
 
-    A cell that several nodes hash to goes to the smallest shard number.
+    A place that several nodes hash to goes to the smallest shard number.
     """
-    if shards * virtual > CELLS // 4:
-        raise ValueError("too many virtual nodes for the ring's cells")
     owner, copy = (F.col("id") % shards).cast("int"), F.floor(F.col("id") / shards)
-    place = F.pmod(F.xxhash64(F.lit("node"), owner, copy), F.lit(CELLS)).cast("int")  # the same whatever `shards`
+    place = F.xxhash64(F.lit("node"), owner, copy)  # the same whatever `shards`
     nodes = spark.range(shards * virtual, numPartitions=1).select(owner.alias("owner"), place.alias("arc"))
     return nodes.groupBy("arc").agg(F.min("owner").alias("owner"))
 
 
+def _cell(place: Column) -> Column:
+    """The ring in CELLS equal parts: where a place is looked up."""
+    return (F.shiftright(place, 64 - CELL_BITS) + (1 << (CELL_BITS - 1))).cast("int")
+
+
+def arcs_by_cell(nodes: DataFrame) -> DataFrame:
+    """(_cell, _low, _high, _arc): the ranges of places of every arc, in each cell that they touch.
+    Cells plus nodes bound its rows."""
+    before = Window.orderBy("arc")  # the nodes of a ring, whatever the data
+    first, last = F.min("arc").over(Window.partitionBy()), F.max("arc").over(Window.partitionBy())
+    ends = nodes.select("arc", F.lag("arc").over(before).alias("prior"), first.alias("first"), last.alias("last"))
+    low = F.when(F.col("prior").isNull(), F.lit(LEAST)).otherwise(F.col("prior") + 1)
+    own = ends.select(low.alias("_low"), F.col("arc").alias("_high"), F.col("arc").alias("_arc"))
+    # Past the last node the ring goes on at the first.
+    rest = ends.where((F.col("arc") == F.col("last")) & (F.col("last") < F.lit(MOST))).select((F.col("last") + 1).alias("_low"), F.lit(MOST).alias("_high"), F.col("first").alias("_arc"))
+    return own.unionByName(rest).select("*", F.explode(F.sequence(_cell(F.col("_low")), _cell(F.col("_high")))).alias("_cell"))
+
+
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from the driver, read by the JVM alone."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -87,23 +104,18 @@ def shard_rows(df: DataFrame, key: str, shards: int, virtual: int = VIRTUAL, ord
     """
     spark = df.sparkSession
     kept = df.drop("shard", "slot")
-    place = F.pmod(F.xxhash64(F.lit("key"), col(key)), F.lit(CELLS)).cast("int")
     nodes = ring(spark, shards, virtual)
-    # Every cell's arc: a table of CELLS rows at most, whatever the data.
-    held = sorted((r.arc, r.owner) for r in nodes.collect())
-    arcs = [a for a, _ in held]
-    spans = [(low, a, a) for low, a in zip([0, *(a + 1 for a in arcs[:-1])], arcs, strict=True)]
-    if arcs[-1] < CELLS - 1:  # past the last node the ring goes on at the first
-        spans.append((arcs[-1] + 1, CELLS - 1, arcs[0]))
-    cells = _rows(spark, spans, "low int, high int, _arc int").select(F.explode(F.sequence("low", "high")).alias("_cell"), "_arc")
-    marked = packed(kept, _cell=place).join(F.broadcast(cells), "_cell")
+    held = sorted((r.arc, r.owner) for r in nodes.collect())  # shards x virtual nodes
+    arcs = arcs_by_cell(nodes)
+    marked = packed(kept, _place=F.xxhash64(F.lit("key"), col(key))).withColumn("_cell", _cell(F.col("_place")))
+    marked = marked.join(F.broadcast(arcs), "_cell").where("_place >= _low AND _place <= _high").drop("_low", "_high", "_cell")
     ties = [F.col("row").getField(c).asc_nulls_first() for c in [key, *(order or [])]]
-    indexed = dense_index(marked, [F.col("_arc"), F.col("_cell"), *ties], "_at", start=0)
+    indexed = dense_index(marked, [F.col("_arc"), F.col("_place"), *ties], "_at", start=0)
     sums = {r["_arc"]: (r["first"], r["n"]) for r in indexed.groupBy("_arc").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()}
     counts = [(arc, owner, sums.get(arc, (0, 0))[1]) for arc, owner in held]
     ranges = [(arc, sums[arc][0] + low, sums[arc][0] + high, shard, slot) for arc, low, high, shard, slot in walk(counts, shards)]
     if not ranges:
         return kept.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
-    plan = _rows(spark, ranges, "_arc int, _low long, _high long, shard int, _slot long")
+    plan = _rows(spark, ranges, "_arc long, _low long, _high long, shard int, _slot long")
     found = indexed.join(F.broadcast(plan), "_arc").where("_at >= _low AND _at < _high")
     return found.select("row.*", "shard", (F.col("_at") - F.col("_low") + F.col("_slot")).alias("slot"))

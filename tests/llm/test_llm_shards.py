@@ -3,6 +3,7 @@
 from collections import Counter
 
 from plain import documents
+from pyspark.sql import functions as F
 
 from docketry.llm import ring_shards as r
 from docketry.llm.queries import QUERIES
@@ -49,3 +50,39 @@ def test_small_and_empty_tables(spark):
 def test_plan_has_no_python(spark):
     plan = QUERIES["op8_ring_shards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_shards(spark):
+    docs = documents(spark, [(i, "t") for i in range(2500)])
+    for shards in (300, 1000):
+        count = Counter(x.shard for x in placed(docs, shards))
+        assert len(count) == shards and sum(count.values()) == 2500 and max(count.values()) - min(count.values()) <= 1
+
+
+def test_equals_a_plain_ring_with_bounded_loads(spark):
+    """Keys in ring order; each arc fills its owner, then what overflows goes on clockwise."""
+    docs = documents(spark, [(i % 400 if i % 4 else 7, f"t{i}") for i in range(900)])
+    shards, virtual = 6, 5
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit("key"), "doc_id").alias("h")).distinct().collect()}
+    nodes = {}
+    for owner, place in ((r.o, r.p) for r in spark.range(shards * virtual).select((F.col("id") % shards).cast("int").alias("o"), F.xxhash64(F.lit("node"), (F.col("id") % shards).cast("int"), F.floor(F.col("id") / shards)).alias("p")).collect()):
+        nodes[place] = min(owner, nodes.get(place, owner))
+    arcs = sorted(nodes)
+    queues = {a: [] for a in arcs}
+    for r in sorted(docs.collect(), key=lambda r: (hashed[r.doc_id], r.doc_id, r.text)):
+        queues[next((a for a in arcs if a >= hashed[r.doc_id]), arcs[0])].append(r.text)
+    room = [900 // shards + (s < 900 % shards) for s in range(shards)]
+    want, over = {s: [] for s in range(shards)}, []
+    for a in arcs:
+        taken = queues[a][: room[nodes[a]] - len(want[nodes[a]])]
+        want[nodes[a]] += taken
+        queues[a] = queues[a][len(taken) :]
+    for a in arcs + arcs:
+        over += queues[a]
+        queues[a] = []
+        while over and len(want[nodes[a]]) < room[nodes[a]]:
+            want[nodes[a]].append(over.pop(0))
+    got = {s: [] for s in range(shards)}
+    for x in sorted(placed(docs, shards, virtual=virtual, order=["text"]), key=lambda x: x.slot):
+        got[x.shard].append(x.text)
+    assert got == want
