@@ -75,9 +75,12 @@ def _visit(part: Column, number: Column) -> Column:
 
 def flatten_parts(messages: DataFrame, parts: str = "parts") -> DataFrame:
     """`messages` with content (flat, escaped), n_tokens and attachments
-    (number, kind, ref, start, tokens; start in code points of the content)."""
-    held = F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda p: F.coalesce(p, F.lit(None).cast(PART)))
-    seen = messages.withColumn("_parts", held).withColumn("_visited", F.transform("_parts", lambda p, i: _visit(p, i + 1)))
+    (number, kind, ref, start, tokens; start in code points of the content). Columns that have one
+    of these names already give way; all others pass through."""
+    held = F.transform(F.coalesce(col(parts), F.array().cast(f"array<{PART}>")), lambda p: F.coalesce(p, F.lit(None).cast(PART)))
+    other = [c for c in messages.columns if c.lower() not in ("content", "n_tokens", "attachments")]
+    given = messages.select(F.struct(*[col(c) for c in other]).alias("row"), held.alias("_parts"))
+    seen = given.withColumn("_visited", F.transform("_parts", lambda p, i: _visit(p, i + 1)))
     # Starts come from one running pass; content itself is joined once.
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<number:int,kind:string,ref:string,start:int,tokens:bigint>>").alias("found"))
 
@@ -87,7 +90,7 @@ def flatten_parts(messages: DataFrame, parts: str = "parts") -> DataFrame:
         return F.struct((acc["at"] + F.length(v["piece"])).alias("at"), found.alias("found"))
 
     return seen.select(
-        *[col(c) for c in messages.columns],
+        "row.*",
         F.array_join(F.transform("_visited", lambda v: v["piece"]), "").alias("content"),
         F.aggregate("_visited", F.lit(0).cast("long"), lambda a, v: a + v["tokens"]).alias("n_tokens"),
         F.aggregate("_visited", zero, step, lambda a: a["found"]).alias("attachments"),
@@ -97,7 +100,7 @@ def flatten_parts(messages: DataFrame, parts: str = "parts") -> DataFrame:
 def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """Per conversation: its id, formatted, loss (array of (from, to), one per turn), n_tokens,
     attachments (turn number from 0, then as in `flatten_parts`, start counted in the turn)."""
-    plain = messages.select(col(conv), col(turn).alias("turn"), col(role).alias("role"), col(parts).alias("parts"))
+    plain = messages.select(col(conv).alias("conv"), col(turn).alias("turn"), col(role).alias("role"), col(parts).alias("parts"))
     flat = flatten_parts(plain)
     head = F.concat(F.lit("<turn:"), escape(F.col("role")), F.lit(">"))
     begin, size = F.length("head"), F.length("content")
@@ -107,13 +110,13 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
     )
     moved = F.transform("attachments", lambda a: a.withField("start", a["start"] + F.length("head")))
     row = flat.withColumn("head", head).select(
-        conv,
+        "conv",
         F.struct("turn", "role", "content", F.concat("head", "content", F.lit(END)).alias("seg"), loss.alias("loss"), "n_tokens", moved.alias("attachments")).alias("t"),
     )
-    grouped = row.groupBy(conv).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    grouped = row.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     every = F.transform("ts", lambda t, i: F.transform(t["attachments"], lambda a: F.struct(i.alias("turn"), a["number"].alias("number"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["start"].alias("start"), a["tokens"].alias("tokens"))))
     return grouped.select(
-        conv,
+        F.col("conv").alias(conv),
         F.array_join(F.transform("ts", lambda t: t["seg"]), "").alias("formatted"),
         F.transform("ts", lambda t: t["loss"]).alias("loss"),
         F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + t["n_tokens"]).alias("n_tokens"),

@@ -1,5 +1,7 @@
 """Chat formatting: exact round trips, placeholders, masks, and no Python in the plan."""
 
+from pyspark.sql import functions as F
+
 from docketry.llm import chat_format as c
 from docketry.llm.queries import QUERIES
 
@@ -47,3 +49,12 @@ def test_ties_repeats_and_empty_tables(spark):
 def test_plan_has_no_python(spark):
     plan = QUERIES["op1_chat_format"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_the_result_s_names_give_way(spark):
+    df = spark.range(2).select(F.lit(1).alias("a.b"), F.col("id").alias("turn no"), F.lit("user").alias("head"), c.text_part(F.lit("hi")).alias("my parts"), F.lit("x").alias("content"), F.lit(5).alias("N_Tokens"), F.lit(0).alias("_parts"))
+    flat = c.flatten_parts(df, "my parts")
+    assert flat.columns == ["a.b", "turn no", "head", "my parts", "_parts", "content", "n_tokens", "attachments"]
+    assert [r.content for r in flat.collect()] == ["hi", "hi"]
+    (row,) = c.format_conversations(df, "a.b", "turn no", "head", "my parts").collect()
+    assert row["a.b"] == 1 and row["formatted"].count("hi") == 2
