@@ -35,8 +35,8 @@ from docketry.session import cut_lineage
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-BLOCK_BYTES = 16 << 20  # text that a worker encodes at a time
-CACHE_PIECES = 400_000  # pieces a worker remembers at most; then it starts over
+BLOCK_BYTES = 8 << 20  # text that a worker encodes at a time
+CACHE_PIECES = 700_000  # pieces a worker remembers; others are encoded again
 CACHE_CHARS = 64
 
 _GRAPHIC = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
@@ -71,12 +71,11 @@ class Encoder:
         return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
 
     def _remember(self, names: list[str], ids: np.ndarray, size: np.ndarray, first: np.ndarray) -> None:
-        """Keep the short pieces among the new ones; when there are too many, start over."""
-        short = np.array([i for i, name in enumerate(names) if len(name) <= CACHE_CHARS], np.int64)
-        if len(self.place) + len(short) > CACHE_PIECES:
-            self.place.clear()
-            self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        short = short[:CACHE_PIECES]
+        """Keep the short pieces among the new ones, while there is room."""
+        free = CACHE_PIECES - len(self.place)
+        if free <= 0:
+            return
+        short = np.array([i for i, name in enumerate(names) if len(name) <= CACHE_CHARS][:free], np.int64)
         n = size[short]
         at = np.cumsum(n) - n
         held = ids[np.repeat(first[short] - at, n) + np.arange(int(n.sum()))]
