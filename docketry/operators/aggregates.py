@@ -14,7 +14,7 @@ from docketry import fixed
 from docketry.functions.clean import annualize, plausible
 from docketry.functions.rules import role_group
 from docketry.operators.ordering import best_per_key
-from docketry.operators.percentiles import exact_percentiles
+from docketry.operators.percentiles import exact_percentiles, percentiles_of_counts
 from docketry.session import cut_lineage
 
 PAY_BAND = 1000.0  # histogram band: plausible pay spans fewer than a thousand bands
@@ -79,28 +79,41 @@ def last_years(cases: DataFrame, n: int = 2) -> DataFrame:
 
 
 def entity_year(cases: DataFrame, key: str = "employer_id", stem: str = SOURCE_STEM) -> DataFrame:
-    """Counts, stated workers, pay quartiles, level mix and flags per entity and year."""
+    """Counts, stated workers, pay quartiles, level mix and flags per entity and year.
+
+    The cases are read once for all of them, grouped down to one row per entity, year and counted
+    pay; counts add these rows up, quartiles rank them. The file labels read three columns more.
+    """
     keys = [key, "fiscal_year"]
-    workers = F.when(F.count_if(certified()) == 0, F.lit(0)).otherwise(
-        F.sum(F.when(certified(), F.col("total_workers")))
-    )
     levels = {
         "level_i": "I", "level_ii": "II", "level_iii": "III", "level_iv": "IV",
         "level_none": fixed.NO_LEVEL,
     }
-    counts = cases.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("int").alias("submitted"),
-        count_where(certified()).alias("certified"),
-        count_where(F.col("case_status").isin(*fixed.WITHDRAWN_GROUP)).alias("withdrawn"),
-        count_where(F.col("case_status") == fixed.DENIED).alias("denied"),
-        workers.cast("int").alias("certified_workers"),
-        *[count_where(certified() & (F.col("level") == v)).alias(c) for c, v in levels.items()],
-        F.bool_or("h1b_dependent").alias("h1b_dependent"),
-        F.bool_or("willful_violator").alias("willful_violator"),
+    tallies = {
+        "submitted": F.lit(True),
+        "certified": certified(),
+        "withdrawn": F.col("case_status").isin(*fixed.WITHDRAWN_GROUP),
+        "denied": F.col("case_status") == fixed.DENIED,
+        **{c: certified() & (F.col("level") == v) for c, v in levels.items()},
+    }
+    flags = ["h1b_dependent", "willful_violator"]
+    paid = F.when(certified() & pay_counts(), F.col("wage_annual"))
+    once = cut_lineage(
+        cases.groupBy(*keys, paid.alias("_v")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum(F.when(certified(), F.col("total_workers"))).alias("_workers"),
+            *[F.count_if(cond).alias(c) for c, cond in tallies.items()],
+            *[F.bool_or(c).alias(c) for c in flags],
+        )
     )
-    pay = exact_percentiles(
-        cases.where(certified() & pay_counts()), keys, F.col("wage_annual"), QUARTILES, "wage_rows", PAY_BAND
+    workers = F.when(F.sum("certified") == 0, F.lit(0)).otherwise(F.sum("_workers"))
+    counts = once.groupBy(*keys).agg(
+        *[F.sum(c).cast("int").alias(c) for c in tallies],
+        workers.cast("int").alias("certified_workers"),
+        *[F.bool_or(c).alias(c) for c in flags],
     )
+    counted = once.where(F.col("_v").isNotNull()).select(*keys, "_v", "_n")
+    pay = percentiles_of_counts(counted, keys, QUARTILES, "wage_rows", PAY_BAND)
     return (
         counts.join(pay, keys, "left")
         .withColumn("wage_rows", F.coalesce("wage_rows", F.lit(0)))

@@ -35,8 +35,16 @@ def exact_percentiles(
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", F.floor(F.col("_v") / band))
     )
+    return percentiles_of_counts(counted, keys, wanted, count, band, digits)
+
+
+def percentiles_of_counts(
+    counted: DataFrame, keys: list[str], wanted: dict[str, float], count: str, band: float, digits: int | None = 0
+) -> DataFrame:
+    """`exact_percentiles` of values already counted: one row (keys, _v, _n) per key and value. It is
+    read twice, so it should be a written table."""
+    counted = counted.withColumn("_band", F.floor(F.col("_v") / band))
     bands = counted.groupBy(*keys, "_band").agg(F.sum("_n").alias("_in"))
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)

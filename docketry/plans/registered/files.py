@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from docketry import fixed
 from docketry.functions.display import fiscal_year
-from docketry.operators import inventory
+from docketry.operators import inventory, quality
+from docketry.operators.ordering import dense_index
+from docketry.plans import publish
 from docketry.plans.registered.base import REGISTRY, query, registry, table
 from docketry.session import run_dir
 from docketry.sources import cases as case_files
+from docketry.sources import registers
 from docketry.sources import registry as registry_files
 from docketry.sources.releases import Release, header_map
 
@@ -170,3 +173,60 @@ def file_digests_written(spark, d):
     lines.drop("c_custkey").write.partitionBy("k").text(path)
     files = inventory.file_inventory(spark, path, "*.txt")
     return files.select(F.regexp_extract("file", "(k=[^/]*)/", 1).alias("folder"), "bytes", "sha256")
+
+
+@query(
+    "exempt_register_read",
+    """SELECT CASE WHEN c_custkey % 5 = 1 THEN lpad(CAST(c_custkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')
+        ELSE substr(lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 1, 2) || '-' || substr(lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 3) END AS fein,
+      lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS subsection, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS ntee
+    FROM customer WHERE c_custkey % 5 <> 0 AND (c_custkey % 5 <> 1 OR c_custkey < 100)""",
+)
+def exempt_register_read(spark, d):
+    """Ids with and without a dash, padded cells, absent codes; ids that lack a digit drop out."""
+    key = F.col("c_custkey").cast("string")
+    ein = F.when(F.col("c_custkey") % 5 == 0, F.lpad(key, 8, "0")).when(F.col("c_custkey") % 5 == 1, F.concat(F.when(F.col("c_custkey") < 100, F.lpad(key, 2, "0")).otherwise(key), F.lit("-"), F.lpad(key, 7, "0"))).otherwise(F.lpad(key, 9, "0"))
+    cells = {"EIN": ein, "NAME": F.col("c_name"), "SUBSECTION": F.concat(F.lit(" "), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")), "NTEE_CD": F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))}
+    path = written(table(spark, d, "customer").select(*[c.alias(h) for h, c in cells.items()]), ignoreLeadingWhiteSpace=False)
+    return registers.read_exempt_register(spark, path)
+
+
+@query(
+    "group_map_read",
+    f"""SELECT {", ".join(f"'{c} ' || c_custkey AS {c}" for c in fixed.GROUP_COLUMNS)} FROM customer""",
+)
+def group_map_read(spark, d):
+    """The curated map by its exact header."""
+    key = F.col("c_custkey").cast("string")
+    rows = table(spark, d, "customer").select(*[F.concat(F.lit(f"{c} "), key).alias(c) for c in fixed.GROUP_COLUMNS])
+    return registers.read_group_map(spark, written(rows))
+
+
+@query("csv_in_order", "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place, o_orderkey FROM orders")
+def csv_in_order(spark, d):
+    """Ordered CSV parts: read in the order of their names they give the rows in order."""
+    path = f"{run_dir(spark)}/ordered/{uuid.uuid4().hex}"
+    publish.write_csv(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), path, ["o_totalprice", "o_orderkey"])
+    rows = spark.read.options(header=True).schema("o_totalprice double, o_orderkey long").csv(path)
+    placed = rows.select("o_orderkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return dense_index(placed, [F.col("file"), F.col("block"), F.col("at")], "place").select("place", "o_orderkey")
+
+
+@query(
+    "golden_pairs",
+    """WITH p AS (SELECT c_custkey % 7 <> 0 AS same, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS found FROM customer),
+      c AS (SELECT count(*) FILTER (found AND same) AS tp, count(*) FILTER (found AND NOT same) AS fp,
+        count(*) FILTER (NOT found AND same) AS fn, count(*) FILTER (NOT found AND NOT same) AS tn FROM p)
+    SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+      tp / (tp + fp) >= 0.85 AND tp / (tp + fn) >= 0.8 AS floors_hold FROM c""",
+)
+def golden_pairs(spark, d):
+    """Labelled pairs of spellings: legal forms and case differ, some pairs are other companies, and
+    some abbreviate what the normal form does not know; the floors of precision and recall hold."""
+    key = F.col("c_custkey")
+    other = F.when(key % 7 == 0, key + 1).otherwise(key).cast("string")
+    a = F.concat(F.lit("Customer Works "), key.cast("string"), F.lit(", Inc."))
+    b = F.concat(F.when(key % 11 == 0, "CUST. WKS ").otherwise("CUSTOMER  WORKS "), other, F.lit(" LLC"))
+    pairs = table(spark, d, "customer").select(a.alias("name_a"), b.alias("name_b"), F.when(key % 7 == 0, "0").otherwise("1").alias("same"))
+    scores = quality.score_normalizer(pairs)
+    return scores.withColumn("floors_hold", (F.col("precision") >= 0.85) & (F.col("recall") >= 0.8))
