@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from docketry.session import cut_lineage
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
 BLOCK_BYTES = 8 << 20  # text that a worker encodes at a time
-CACHE_PIECES = 700_000  # pieces a worker remembers; others are encoded again
+CACHE_PIECES = 400_000  # pieces a worker remembers; others are encoded again
 CACHE_CHARS = 64
 
 _GRAPHIC = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
@@ -54,6 +55,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spelled = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.spelled[number] = len(token)
         self.place: dict[str, int] = {}
         self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -63,12 +68,20 @@ class Encoder:
             cls._held[path, added_tokens] = cls(path, added_tokens)
         return cls._held[path, added_tokens]
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many each has."""
+    def _encode(self, pieces: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has; `size` is their bytes."""
         if not pieces:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
+        (got,) = self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        # The fast call does not say whose an id is. Byte-level tokens spell their bytes, so pieces end
+        # where the bytes of ids and pieces add up alike.
+        ends, upto = np.cumsum(self.spelled[ids]), np.cumsum(size)
+        last = np.searchsorted(ends, upto)
+        if len(ids) and last[-1] == len(ids) - 1 and np.array_equal(ends[last], upto):
+            return ids, np.diff(last, prepend=-1)
+        slow = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(slow.ids, np.uint32), np.bincount(np.array(slow.word_ids, np.int64), minlength=len(pieces))
 
     def _remember(self, names: list[str], ids: np.ndarray, size: np.ndarray, first: np.ndarray) -> None:
         """Keep the short pieces among the new ones, while there is room."""
@@ -104,7 +117,7 @@ class Encoder:
         names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         where = np.array([self.place.get(p, -1) for p in names], np.int64)
         new = np.flatnonzero(where < 0)
-        ids, size = self._encode([names[i] for i in new])
+        ids, size = self._encode([names[i] for i in new], pc.binary_length(coded.dictionary).to_numpy()[new])
         base, total = len(self.size), len(self.ids)
         where[new] = base + np.arange(len(new))
         # This block's own arrays; only short pieces, which have a name, are kept beyond it.
