@@ -9,12 +9,13 @@ confirmed on the full sets.
 
 Texts with equal sets are one class and enter the bands once. Inside a bucket no pair list is
 made: each class is compared with a leader, and linked classes are contracted to components.
-Classes that share a bucket but not a component are compared further: those with one leader
-in blocks, inside tasks that pass on links only, the few others as pairs. A skipped comparison
-is always between two texts already connected.
+Classes that share a bucket but not a component are compared further, first those with one
+leader, then those of one bucket: in blocks, inside tasks that pass on links only. A skipped
+comparison is always between two texts already connected.
 
 Null and empty texts: no set, kept. A null id: compared with nothing, kept, component null.
-Rows with the same id count as one document. Extra columns, whatever their names, are not read.
+Rows with the same id count as one document, so the classes of its texts are linked; a row of it
+without a set still names its own id. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def band_keys(sets: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (a 128-bit hash of the set), bands (null for an empty set)."""
+    """id, t (hash of the text), n (set size), k1 and k2 (a 128-bit hash of the set), bands (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +99,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int
                     where = np.zeros(len(n) + 1, np.int32)
                     where[1:] = np.cumsum(n > 0) * bands
                     lists = pa.ListArray.from_arrays(pa.array(where), pa.array(keys.ravel()), mask=pa.array(n == 0))
-                ids = batch.column(0).slice(block.rows.start, len(n))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), lists], ["id", "n", "k1", "k2", "bands"])
+                ids, t = (batch.column(c).slice(block.rows.start, len(n)) for c in (0, 2))
+                found = [ids, t, pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), lists]
+                yield pa.RecordBatch.from_arrays(found, ["id", "t", "n", "k1", "k2", "bands"])
 
-    rows_in = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
-    return rows_in.mapInArrow(sign, "id long, n long, k1 long, k2 long, bands array<long>")
+    rows_in = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"), F.xxhash64(col(text)).alias("t"))
+    return rows_in.mapInArrow(sign, "id long, t long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -129,28 +131,28 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
 
     wide = (
-        pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-        .join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+        pairs.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("tu")), "u")
+        .join(texts.select(F.col("cls").alias("v"), F.col("text").alias("tv")), "v")
         .select("u", "v", "tu", "tv")
     )
     return wide.mapInArrow(check, "u long, v long")
 
 
 def _blockwise(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) inside each `home` group of members (home, rep, c), across components only.
+    """Links (u, v) inside each `home` group of members (home, cls, c), across components only.
 
     A group is cut into blocks of about BLOCK_ROWS; every two blocks meet in one task, which
     compares their sets and passes on, for each text and foreign component, its first link.
     """
     size = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("k"), F.min("c").alias("low"), F.max("c").alias("high"))
     cut = members.join(size.where("low < high").select("home", "k"), "home")
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    met = cut.select("home", "rep", "c", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    met = cut.select("home", "cls", "c", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     met = met.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
-    wide = met.join(texts.withColumnRenamed("id", "rep"), "rep")
+    wide = met.join(texts, "cls")
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, comp, mine = (group.column(x).to_numpy() for x in ("rep", "c", "mine"))
+        cls, comp, mine = (group.column(x).to_numpy() for x in ("cls", "c", "mine"))
         low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sets = []
         for block in W.blocks(group.column("text")):
@@ -169,10 +171,10 @@ def _blockwise(members: DataFrame, texts: DataFrame, shingle: int, percent: int)
             begin, end = np.searchsorted(gram, sets[x], "left"), np.searchsorted(gram, sets[x], "right")
             many = end - begin
             at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            shared = np.bincount(owner[at], minlength=len(rep))
+            shared = np.bincount(owner[at], minlength=len(cls))
             hit = np.flatnonzero((100 * shared >= percent * (n + n[x] - shared)) & (comp != comp[x]) & (mine == high))
             _, once = np.unique(comp[hit], return_index=True)
-            out += [(rep[x], rep[y]) for y in hit[once]]
+            out += [(cls[x], cls[y]) for y in hit[once]]
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return wide.groupBy("home", "i", "j").applyInArrow(compare, "u long, v long")
@@ -183,58 +185,66 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of `docs`: its id (named `doc_id`), n_shingles, component_id, kept."""
     signed = cut_lineage(signatures(docs, doc_id, text, shingle, bands, rows))
-    known = signed.where("id IS NOT NULL")
     key = ["n", "k1", "k2"]
-    classes = cut_lineage(known.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")))
+    full = signed.where("id IS NOT NULL AND n > 0")
+    classes = full.groupBy(*key).agg(F.min(F.struct("id", "t")).alias("rep"))
+    classes = cut_lineage(classes.withColumn("cls", F.xxhash64(*key)))
     # One row per class in the bands; the representative's own bands are the class's.
-    reps = known.where("n > 0").select("id", *key, "bands").join(classes, key).where("id = rep")
-    banded = reps.select("rep", "n", F.explode(F.array_distinct("bands")).alias("b"))
-    shared = banded.groupBy("b").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size"))
+    reps = full.join(classes, key).where("id = rep.id AND t = rep.t")
+    banded = reps.select("cls", "n", F.explode(F.array_distinct("bands")).alias("b"))
+    shared = banded.groupBy("b").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size"))
     shared = shared.where("low < high").select("b", "size")
     buckets = cut_lineage(banded.join(shared, "b").distinct())
     # A class with many bucket mates is near the middle of its group and leads its buckets.
-    weights = buckets.groupBy("rep").agg(F.sum("size").alias("w"))
-    wanted = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
-    texts = cut_lineage(wanted.join(weights.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]))
-    buckets = cut_lineage(buckets.drop("size").join(weights, "rep"))
+    weights = buckets.groupBy("cls").agg(F.sum("size").alias("w"))
+    wanted = docs.select(col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("t"), col(text).alias("text"))
+    asked = classes.join(weights, "cls").select("cls", "rep.id", "rep.t")
+    texts = cut_lineage(wanted.join(asked, ["id", "t"]).select("cls", "text").dropDuplicates(["cls"]))
+    buckets = cut_lineage(buckets.drop("size").join(weights, "cls"))
 
     def near(u: str, v: str) -> Column:  # sets whose sizes differ more cannot reach the similarity
         return 100 * F.least(u, v) >= percent * F.greatest(u, v)
 
-    lead = buckets.groupBy("b").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"), "n")).alias("l"))
-    lead = lead.select("b", (-F.col("l.m")).alias("lead"), F.col("l.w").alias("lw"), F.col("l.n").alias("ln"))
-    votes = buckets.join(lead, "b").groupBy("rep", "n", "lead", "ln").agg(F.count("*").alias("k"), F.max("lw").alias("lw"))
+    lead = buckets.groupBy("b").agg(F.max(F.struct("w", F.col("cls").alias("lead"), "n")).alias("l"))
+    lead = lead.select("b", "l.lead", F.col("l.w").alias("lw"), F.col("l.n").alias("ln"))
+    votes = buckets.join(lead, "b").groupBy("cls", "n", "lead", "ln").agg(F.count("*").alias("k"), F.max("lw").alias("lw"))
     votes = cut_lineage(votes)
 
     def best(rows: DataFrame) -> DataFrame:
-        top = rows.groupBy("rep").agg(F.max(F.struct("k", "lw", (-F.col("lead")).alias("m"))).alias("t"))
-        return top.select("rep", (-F.col("t.m")).alias("lead"))
+        return rows.groupBy("cls").agg(F.max(F.struct("k", "lw", "lead")).alias("t")).select("cls", "t.lead")
+
+    star = best(votes.where("cls <> lead").where(near("n", "ln"))).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    # Texts of one id are one document.
+    own = full.join(classes, key).select("id", "cls").distinct()
+    several = own.groupBy("id").agg(F.min("cls").alias("v"), F.max("cls").alias("high")).where("v < high").select("id", "v")
+    same = own.join(several, "id").select(F.col("cls").alias("u"), "v")
+    linked = cut_lineage(components(_confirm(cut_lineage(star), texts, shingle, percent).unionByName(same)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(linked, F.col("cls") == F.col("node"), "left").withColumn("c", F.coalesce("component", "cls")).drop("node", "component")
+
+    def joined(found: DataFrame) -> DataFrame:
+        told = linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return cut_lineage(components(told.unionByName(found)))
 
-    star = best(votes.where("rep <> lead").where(near("n", "ln"))).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
-    star = cut_lineage(star)
-    links = cut_lineage(_confirm(star, texts, shingle, percent))
-    linked = components(links)
     # What is left: buckets that hold more than one component.
-    home = best(votes).withColumnRenamed("lead", "home")
-    placed = buckets.join(linked, F.col("rep") == F.col("node"), "left").select("rep", "n", "b", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("b")
-    live = cut_lineage(placed.join(split, "b").join(home, "rep"))
-    inside = _blockwise(live.select("home", "rep", "c").distinct(), texts, shingle, percent)
-    a, b = live.alias("a"), live.alias("b")
-    pairs = a.join(b, F.col("a.b") == F.col("b.b")).where("a.rep > b.rep AND a.c <> b.c AND a.home <> b.home").where(near("a.n", "b.n"))
-    pairs = pairs.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    across = _confirm(cut_lineage(pairs), texts, shingle, percent)
-    linked = components(links.unionByName(inside).unionByName(across))
-    out = (
-        signed.select("id", *key)
-        .join(classes, key, "left")
-        .join(linked, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("id").alias(doc_id),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
-        )
-    )
+    now = placed(buckets.select("cls", "b"))
+    split = now.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("b")
+    live = cut_lineage(now.join(split, "b").join(best(votes).withColumnRenamed("lead", "home"), "cls"))
+    linked = joined(_blockwise(live.select("home", "cls", "c").distinct(), texts, shingle, percent))
+    # Buckets with several homes, those of the same members once.
+    now = placed(live.drop("c"))
+    ends = [f(c).alias(f"{c}_{name}") for c in ("c", "home") for name, f in (("low", F.min), ("high", F.max))]
+    split = now.groupBy("b").agg(*ends, F.bit_xor(F.xxhash64("cls")).alias("x"), F.count("*").alias("size"))
+    split = split.where("c_low < c_high AND home_low < home_high").groupBy("x", "size").agg(F.min("b").alias("b")).select("b")
+    linked = joined(_blockwise(now.join(split, "b").select(F.col("b").alias("home"), "cls", "c"), texts, shingle, percent))
+    # Components are named by the smallest id of their classes.
+    top = linked.join(classes, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep.id").alias("top"))
+    named = classes.join(linked, F.col("cls") == F.col("node"), "left").join(top, "component", "left")
+    named = named.select(*key, F.coalesce("top", "rep.id").alias("component_id"))
+    out = signed.select("id", *key).join(named, key, "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(col(doc_id) == F.col("component_id"), F.lit(True)))
 
 

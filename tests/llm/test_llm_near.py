@@ -87,3 +87,26 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    given = [(5, a), (5, b), (5, ""), (7, a + " x"), (8, b + " y"), (9, c), (9, b.upper()), (12, c + " z"), (13, prose(rng, 60))]
+    got = sorted((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in m.near_duplicates(documents(spark, given)).collect())
+    assert got == sorted([(5, True, 5, True)] * 2 + [(5, False, 5, True)] + [(k, True, 5, False) for k in (7, 8, 9, 9, 12)] + [(13, True, 13, True)])
+    many = [(1, prose(rng, 30)) for _ in range(60)]
+    more = [(100 + i, t + " q") for i, (_, t) in enumerate(many)]
+    assert {r.component_id for r in m.near_duplicates(documents(spark, many + more)).collect()} == {1}
+
+
+def test_buckets_with_several_leaders(spark):
+    """Texts a little under the threshold: many buckets, few links, small blocks."""
+    rng = random.Random(12)
+    given = [t for share in (0.07, 0.12) for base in (prose(rng, 90), prose(rng, 90)) for t in family(rng, base, 60, share)]
+    old, m.BLOCK_ROWS = m.BLOCK_ROWS, 7
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_duplicates(documents(spark, given), shingle=2).collect()}
+    finally:
+        m.BLOCK_ROWS = old
+    assert got == dict(enumerate(brute(given, 2)))
