@@ -3,12 +3,17 @@
 Two lines are near if one edit (a character changed, added or removed) makes them equal. Every
 line emits the hashes of its variants with one character deleted: lines with the same variant
 and position differ by a change there, and a line that equals another's variant differs by that
-character. Of every line, the earliest occurrence of it or of a near line is kept.
-
-A line of n characters has n variants, so first its halves, then its sixteenths are tried: two
-near lines agree on all but one part. Only lines that share such a frame with another go on, and
-they delete characters in that part alone. Nothing is lost by it. No pairs are made inside a
-group: a member is only joined to the group's earliest, and `levenshtein` verifies that pair.
+character. A line goes if it or a near line occurs earlier, even where that near line goes too;
+the kept line named beside it is then the end of the chain: from each line to its earliest near
+line, until one that stays.
+
+A line of n characters has n variants, so first its halves, then its sixteenths are tried, and
+sixteenths of those down to `WIDTH` characters: two near lines agree on all but one part. Only
+lines that share such a frame with another go on, and they delete characters in that part alone.
+Nothing is lost by it. In a run of one character only the last is deleted, since all give the
+same variant. So a long line is hashed whole some 16 times a level, not once per character. No
+pairs are made inside a group: a member is only joined to the group's earliest, and that pair is
+compared before and after the edit.
 
 Lines are parts between line feeds; lines without a word are always kept. Lines under `min_chars`
 characters have no near lines, only equal ones. Occurrences are ordered by document id (null
@@ -18,6 +23,8 @@ as one document. Extra columns pass through `drop_lines`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +33,7 @@ from docketry.session import cut_lineage
 
 MIN_CHARS = 20
 PARTS = 16
+WIDTH = 32
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -34,7 +42,14 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _cut(m: Column, part: Column | int, parts: int) -> Column:
-    return F.floor(m * part / parts).cast("int")
+    return F.floor(m.cast("long") * part / parts).cast("int")
+
+
+def _moves(line: Column, n: Column, m: Column, part: Column, parts: int) -> Column:
+    """Whether a part holds an edit to try: a change, or the deletion of a run's last character."""
+    low = _cut(m, part, parts)
+    size = _cut(m, part + 1, parts) - low + 1
+    return (m == n) | (F.substring(line, low + 1, size) != F.substring(line, low + 2, size))
 
 
 def _frame(line: Column, n: Column, m: Column, part: Column, parts: int) -> Column:
@@ -44,24 +59,23 @@ def _frame(line: Column, n: Column, m: Column, part: Column, parts: int) -> Colu
     return F.xxhash64(F.lit(parts), m, part, F.substring(line, F.lit(1), low), F.substring(line, n - rest + 1, rest))
 
 
-def _frames(line: Column, n: Column, parts: int) -> Column:
-    """(m, part, frame) for m = n and n - 1 and every part."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(2 * parts - 1)),
-        lambda j: F.struct(
-            (n - F.floor(j / parts).cast("int")).alias("m"),
-            (j % parts).alias("part"),
-            _frame(line, n, n - F.floor(j / parts).cast("int"), j % parts, parts).alias("frame"),
-        ),
-    )
-
-
 def _shared(keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key more than one row has."""
     twice = keys.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
     return keys.join(twice, key)
 
 
+def _roots(keep: DataFrame) -> DataFrame:
+    """(id, mate) with every mate followed to a line that stays; each round doubles the steps."""
+    while True:
+        onward = keep.select(F.col("id").alias("mate"), F.col("mate").alias("next"))
+        step = keep.join(onward, "mate", "left").select("id", F.coalesce("next", "mate").alias("mate"), F.col("next").isNotNull().alias("moved"))
+        step = cut_lineage(step)
+        keep = step.select("id", "mate")
+        if step.where("moved").isEmpty():
+            return keep
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, parts: int = PARTS) -> DataFrame:
     """doc_id, line_no (from 0), kept_doc_id, kept_line_no of every line that goes."""
     line, n = F.col("line"), F.length("line")
@@ -82,27 +96,50 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     texts = picked.select("d", F.posexplode(F.split("text", "\n", -1)).alias("l", "line"), "ls").where(F.array_contains("ls", F.col("l")))
     texts = texts.select(F.struct("d", "l").alias("id"), "line", F.length("line").alias("n")).distinct()
     texts = cut_lineage(texts)
-    # Sixteenths of those, then the deletion variants inside a shared frame.
-    framed = texts.select("id", "n", "line", F.inline(_frames(F.col("line"), F.col("n"), parts)))
-    near = _shared(framed.select("id", "m", "part", "frame"), "frame").join(texts, "id")
-    low, high = _cut(F.col("m"), F.col("part"), parts), _cut(F.col("m"), F.col("part") + 1, parts)
-    last = high + (F.col("n") - F.col("m")) - 1
-    spots = near.where(last >= low).select("id", "m", "n", "line", F.explode(F.sequence(low, last)).alias("i"))
+    # Sixteenths of those, finer ones of long lines, then the deletion variants inside a shared frame.
+    shifts = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("less")
+    tried = texts.select("id", "n", "line", shifts).select("id", "n", "line", (F.col("n") - F.col("less")).alias("m"), F.lit(0).alias("part"))
+    longest = texts.agg(F.max("n")).first()[0] or 0
+    level, step, spots = parts, parts, []
+    while True:
+        finer = F.explode(F.sequence(F.col("part") * step, F.col("part") * step + (step - 1))).alias("part")
+        framed = tried.select("id", "n", "line", "m", finer).where(_moves(line, F.col("n"), F.col("m"), F.col("part"), level))
+        keys = framed.select("id", "m", "part", _frame(line, F.col("n"), F.col("m"), F.col("part"), level).alias("frame"))
+        near = cut_lineage(_shared(keys, "frame").select("id", "m", "part")).join(texts, "id")
+        low, high = _cut(F.col("m"), F.col("part"), level), _cut(F.col("m"), F.col("part") + 1, level)
+        last = high + (F.col("n") - F.col("m")) - 1
+        narrow = near.where(F.col("m") <= WIDTH * level)
+        spots.append(narrow.where(last >= low).select("id", "m", "n", "line", F.explode(F.sequence(low, last)).alias("i")))
+        if longest <= WIDTH * level:
+            break
+        tried = near.where(F.col("m") > WIDTH * level)
+        level, step = level * PARTS, PARTS
+    at = reduce(DataFrame.unionByName, spots)
     variant = F.concat(F.substring("line", F.lit(1), F.col("i")), F.substring("line", F.col("i") + 2, F.col("n")))
-    changed = spots.where("m = n").select("id", F.lit(0).alias("side"), F.xxhash64(F.lit("change"), "i", "n", variant).alias("v"))
-    deleted = spots.where("m < n").select("id", F.lit(1).alias("side"), F.xxhash64(F.lit("delete"), variant).alias("v"))
-    whole = near.where("m = n").select("id", F.lit(2).alias("side"), F.xxhash64(F.lit("delete"), "line").alias("v"))
+    changed = at.where("m = n").select("id", F.lit(0).alias("side"), "i", F.xxhash64(F.lit("change"), "i", "n", variant).alias("v"))
+    ends = F.substring("line", F.col("i") + 1, F.lit(1)) != F.substring("line", F.col("i") + 2, F.lit(1))
+    deleted = at.where("m < n").where(ends).select("id", F.lit(1).alias("side"), "i", F.xxhash64(F.lit("delete"), variant).alias("v"))
+    whole = at.where("m = n").select("id", "line").distinct()
+    whole = whole.select("id", F.lit(2).alias("side"), F.lit(-1).alias("i"), F.xxhash64(F.lit("delete"), "line").alias("v"))
     rows = cut_lineage(changed.unionByName(deleted).unionByName(whole).distinct())
-    first = rows.groupBy("v").agg(F.count("*").alias("k"), *[F.min(F.when(F.col("side") == s, F.col("id"))).alias(f"m{s}") for s in range(3)])
+    earliest = [F.min(F.when(F.col("side") == s, F.struct("id", "i"))).alias(f"m{s}") for s in range(3)]
+    first = rows.groupBy("v").agg(F.count("*").alias("k"), *earliest)
     mate = F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = rows.join(first.where("k > 1"), "v").withColumn("mate", mate).where(F.col("mate") < F.col("id")).select("id", "mate").distinct()
-    mates = texts.select(F.col("id").alias("mate"), F.col("line").alias("other"))
-    close = pairs.join(texts, "id").join(mates, "mate").where(F.levenshtein("line", "other", 1) >= 0)
-    keep = cut_lineage(close.groupBy("id").agg(F.min("mate").alias("mate")))
+    pairs = rows.join(first.where("k > 1"), "v").withColumn("to", mate)
+    pairs = pairs.select("id", F.col("to.id").alias("mate"), F.greatest("i", "to.i").alias("i")).where(F.col("mate") < F.col("id")).distinct()
+    mates = texts.select(F.col("id").alias("mate"), F.col("line").alias("other"), F.col("n").alias("o"))
+
+    def rest(text: str, size: str) -> Column:  # what follows the edit; the shorter line lacks one character
+        skipped = F.when(F.col(size) == F.greatest("n", "o"), 2).otherwise(1)
+        return F.substring(text, F.col("i") + skipped, F.col(size))
+
+    same = (F.substring("line", F.lit(1), F.col("i")) == F.substring("other", F.lit(1), F.col("i"))) & (rest("line", "n") == rest("other", "o"))
+    close = pairs.join(texts, "id").join(mates, "mate").where(same)
+    keep = _roots(cut_lineage(close.groupBy("id").agg(F.min("mate").alias("mate"))))
     fate = distinct.select("h1", "h2", "id").join(keep, "id", "left").select("h1", "h2", "id", "mate")
     here = F.struct("d", "l")
     all_lines = told.select("d", "l", "h1", "h2").join(fate, ["h1", "h2"])
-    kept = F.when(~here.eqNullSafe(F.col("id")), F.col("id")).otherwise(F.col("mate"))
+    kept = F.when(~here.eqNullSafe(F.col("id")), F.coalesce("mate", "id")).otherwise(F.col("mate"))
     out = all_lines.select("d", "l", kept.alias("kept")).where("kept IS NOT NULL")
     return out.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("kept.d").alias("kept_doc_id"), F.col("kept.l").alias("kept_line_no"))
 

@@ -210,7 +210,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM raw),
 inked AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 first AS (SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS id FROM inked GROUP BY line),
@@ -232,9 +232,11 @@ near AS (
     ELSE false END
 ),
 mate AS (SELECT xid AS id, min(yid) AS mate FROM near GROUP BY xid),
+chain AS (SELECT id, mate FROM mate UNION SELECT chain.id, mate.mate FROM chain JOIN mate ON mate.id = chain.mate),
+stays AS (SELECT id, min(mate) AS root FROM chain GROUP BY id),
 fate AS (
-  SELECT inked.doc_id, inked.line_no, CASE WHEN first.id = {'d': inked.doc_id, 'l': inked.line_no} THEN mate.mate ELSE first.id END AS kept
-  FROM inked JOIN first USING (line) LEFT JOIN mate ON mate.id = first.id
+  SELECT inked.doc_id, inked.line_no, CASE WHEN first.id = {'d': inked.doc_id, 'l': inked.line_no} THEN root ELSE coalesce(root, first.id) END AS kept
+  FROM inked JOIN first USING (line) LEFT JOIN stays ON stays.id = first.id
 )
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kept.d AS kept_doc_id, CAST(kept.l AS INTEGER) AS kept_line_no FROM fate WHERE kept IS NOT NULL
 """

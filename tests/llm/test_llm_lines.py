@@ -20,15 +20,16 @@ def one_edit(a, b):
 
 def brute(given, min_chars=20):
     lines = sorted(((k, n, x) for k, t in given for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")), key=lambda r: (r[0], r[1]))
-    first, out = {}, []
+    first, out, root = {}, [], {}
     for k, n, x in lines:
         if x in first:
-            out.append((k, n, *first[x]))
+            out.append((k, n, *root[first[x]]))
             continue
         near = [at for y, at in first.items() if min(len(x), len(y)) >= min_chars and one_edit(x, y)]
         first[x] = (k, n)
+        root[k, n] = root[min(near)] if near else (k, n)
         if near:
-            out.append((k, n, *min(near)))
+            out.append((k, n, *root[k, n]))
     return sorted(out)
 
 
@@ -70,4 +71,20 @@ def test_dropping_keeps_other_lines_and_columns(spark):
 def test_repeated_rows_and_null_ids(spark):
     line = "the same line of more than twenty"
     got = d.removed_lines(documents(spark, [(4, line), (4, line), (None, line + "s"), (6, line)])).collect()
-    assert sorted(tuple(r) for r in got) == [(4, 0, None, 0), (4, 0, None, 0), (6, 0, 4, 0)]
+    assert sorted(tuple(r) for r in got) == [(4, 0, None, 0), (4, 0, None, 0), (6, 0, None, 0)]  # line 4 goes itself
+
+
+def test_chains_name_the_line_that_stays(spark):
+    line = "a line that changes one by one"
+    given = [(i, "b" * i + line[i:]) for i in range(9)] + [(20, "b" * 8 + line[8:])]
+    got = sorted(tuple(r) for r in d.removed_lines(documents(spark, given)).collect())
+    assert got == brute(given) and {r[2:] for r in got} == {(0, 0)}
+
+
+def test_long_lines(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdé ") for _ in range(300_000)) + "q"
+    run = "z" * 100_000
+    given = [(1, base), (2, base[:200_000] + "W" + base[200_001:]), (3, base[:7] + base[8:]), (4, run), (5, run + "z"), (6, run + "zzz"), (7, base[1:-1])]
+    got = sorted(tuple(r) for r in d.removed_lines(documents(spark, given)).collect())
+    assert got == [(2, 0, 1, 0), (3, 0, 1, 0), (5, 0, 4, 0)]
