@@ -10,7 +10,10 @@ Rows whose first choice nobody else can ever ask for are settled before the firs
 
 Numbered slugs (`stem-2`, `stem-3`, ...) would need as many rounds as entities share a stem,
 so entities of one stem are spread over the numbers at once: the one with p better-ranked
-entities before it cannot get a number below 2 + p.
+entities before it cannot get a number below the p-th free one. Numbers taken before are no
+rounds either: they are kept as runs with the count of free numbers below each, and a sweep
+along a stem turns the p-th free number into the number itself. Only a number that another
+entity of the same call holds by name costs a round.
 """
 
 from __future__ import annotations
@@ -40,16 +43,19 @@ def assign_slugs(
         F.lit(2).cast("bigint").alias("_num"),
     )
     state, settled = _uncontested(state, used)
+    gaps, numbered = None, 0
     fixed_holders = None
     if used is not None:
         fixed_holders = used.select(
             F.col(used.columns[0]).alias("_slug"), F.lit(-1).cast("bigint").alias("_best")
         )
     while True:
-        asked = state.withColumn(
+        if numbered and used is not None and gaps is None:
+            gaps = _gaps(state, used)
+        asked = _numbers(state, gaps).withColumn(
             "_slug",
             F.when(F.col("_k") < F.size("_choices"), F.get(F.col("_choices"), F.col("_k"))).otherwise(
-                F.concat_ws("-", F.col("_stem"), F.col("_num").cast("string"))
+                F.concat_ws("-", F.col("_stem"), F.col("_number").cast("string"))
             ),
         )
         best = asked.groupBy("_slug").agg(F.min("_rank").cast("bigint").alias("_best"))
@@ -98,6 +104,38 @@ def _uncontested(state: DataFrame, used: DataFrame | None) -> tuple[DataFrame, D
     return rest, marked.where("_safe").select("_rank", F.col("_first").alias("_slug"))
 
 
+def _gaps(state: DataFrame, used: DataFrame) -> DataFrame:
+    """Numbers taken before, as runs (_stem, _from, _over): the `_from`-th number in the count
+    that leaves them out, and all after it, lie `_over` higher. The count starts at 2."""
+    slug, form = F.col(used.columns[0]), "^(.*)-([1-9][0-9]{0,17})$"
+    taken = (
+        used.select(F.regexp_extract(slug, form, 1).alias("_stem"), F.regexp_extract(slug, form, 2).alias("_n"))
+        .where(F.col("_n") != "")
+        .select("_stem", F.col("_n").cast("bigint").alias("_n"))
+        .where(F.col("_n") >= 2)
+        .distinct()
+        .join(state.select("_stem").distinct(), "_stem", "left_semi")
+    )
+    # A taken number with j taken ones below it has n - 2 - j free ones below it.
+    placed = position_in_key(taken, ["_stem"], [F.col("_n")], "_j")
+    runs = placed.groupBy("_stem", (F.col("_n") - F.col("_j")).alias("_from"))
+    return cut_lineage(runs.agg((F.max("_j") + 1).alias("_over")))
+
+
+def _numbers(state: DataFrame, gaps: DataFrame | None) -> DataFrame:
+    """Add `_number`, the `_num`-th number of the stem that was not taken before. One sweep
+    along each stem meets the runs and the askers in order."""
+    if gaps is None:
+        return state.withColumn("_number", F.col("_num"))
+    named = F.col("_k") < F.size("_choices")
+    askers = state.where(~named).withColumns({"_at": 2 * F.col("_num") + 1, "_over": F.lit(0).cast("bigint")})
+    runs = gaps.select("_stem", (2 * F.col("_from")).alias("_at"), F.col("_over").cast("bigint").alias("_over"))
+    met = running_max(askers.unionByName(runs, allowMissingColumns=True), ["_stem"], "_at", "_over", "_above")
+    numbered = met.where(F.col("_rank").isNotNull()).withColumn("_number", F.col("_num") + F.col("_above"))
+    plain = state.where(named).withColumn("_number", F.col("_num"))
+    return plain.unionByName(numbered.select(*plain.columns))
+
+
 def _advance(judged: DataFrame, n_numbered: int) -> DataFrame:
     """Losers move to their next choice; numbered entities move up together, numbered by a sort
     that splits a hot stem over many tasks."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.names import slugify
 from docketry.operators.ordering import dense_index, latest_wins, position_in_key, running_max
 from docketry.operators.percentiles import exact_percentiles
+from docketry.operators import slugs
 from docketry.operators.slugs import assign_slugs
 
 
@@ -107,3 +108,18 @@ def test_slugs_equal_the_sequential_rule(spark):
         plain.append((rank, [s, f"{s}-{state or 'xx'}", f"{s}-{tail}" if tail else None], s))
     assert got == greedy(plain, ["a-5", "b"])
     assert len(set(got.values())) == len(data)
+
+
+def test_numbers_taken_before_cost_no_rounds(spark, monkeypatch):
+    """10,000 taken numbers with holes, a hot stem, and numbers that others hold by name."""
+    taken = [n for n in range(2, 10_002) if n % 1000]
+    used = [f"a-{n}" for n in taken] + ["a", "a-1", "a-007", "a-2-5", "b-3", "a-" + "9" * 30, "a-3"]
+    data = [(r, "a" if r % 3 else "b") for r in range(1, 91)] + [(91, "a 10005"), (92, "a 10"), (5000, "a")]
+    df = spark.createDataFrame(data, "rank int, name string")
+    stem = slugify(F.col("name"))
+    rounds, advance = [], slugs._advance
+    monkeypatch.setattr(slugs, "_advance", lambda *a: rounds.append(1) or advance(*a))
+    got = {r["rank"]: r.slug for r in assign_slugs(df, "rank", [stem], stem, spark.createDataFrame([(u,) for u in used], "s string")).collect()}
+    plain = [(r, [n.replace(" ", "-")], n.replace(" ", "-")) for r, n in data]
+    assert got == greedy(plain, used)
+    assert [got[1], got[13], got[14], got[16]] == ["a-1000", "a-9000", "a-10000", "a-10002"] and len(rounds) <= 4
