@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docketry.operators.aggregates import fact_cube
 from docketry.operators.links import link_members, partners_of
 from docketry.operators.ordering import dense_index
-from docketry.plans import explore, profile, search
+from docketry.plans import explore, name_index, profile, search
 from docketry.plans.case_flow import meta_years
 from docketry.plans.registered.aggregated import CUBE, YEAR_STATS
 from docketry.plans.registered.base import CASES, EMPLOYERS, aliases, cases, employers, query, table
+from docketry.session import run_dir
 
 FOUND = """summed AS (SELECT employer_id, CAST(sum(certified) AS INTEGER) AS certified, CAST(sum(wage_rows) AS INTEGER) AS wage_rows,
     CAST(sum(CAST(wage_sum AS DECIMAL(28,4))) AS DOUBLE) AS pay FROM cube WHERE {cells} GROUP BY employer_id),
@@ -141,6 +144,20 @@ def search_batch_trigram(spark, d):
     return search.search_batch(asked, alias, people(alias), 25)
 
 
+@query(
+    "search_stored_index",
+    "WITH " + ALIASES.format(queries="SELECT p_name AS q, upper(p_name) AS norm FROM part GROUP BY ALL") + RANKED.format(n=25),
+)
+def search_stored_index(spark, d):
+    """The batch again, through an index that two overlapping arrivals of aliases filled."""
+    alias = aliases(spark, d)
+    asked = table(spark, d, "part").select(F.col("p_name").alias("q")).distinct()
+    root = f"{run_dir(spark)}/names/{uuid.uuid4().hex}"
+    name_index.extend_index(alias.where("employer_id % 3 <> 0"), root, 0)
+    name_index.extend_index(alias, root, 1)
+    return name_index.search_indexed(root, asked, alias, people(alias), 25)
+
+
 @query(
     "similar_entities",
     f"""WITH {EMPLOYERS}, t AS (SELECT * FROM employers WHERE has_lca),

@@ -21,6 +21,19 @@ def prepare_queries(queries: DataFrame, text: str = "q") -> DataFrame:
     return queries.withColumn("q_norm", normalize_name(F.trim(F.col(text)))).where(F.length("q_norm") >= QUERY_MIN)
 
 
+def rarest_grams(side: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    """The probe trigrams (name, size, gram) of a side with trigrams `g`: the rarest
+    size - ceil(t * size) + 1 by `counts` (gram, df), a table bounded by the alphabet."""
+    each = side.select(name, F.size("g").alias("size"), F.explode("g").alias("gram"))
+    ranked = each.join(F.broadcast(counts), "gram", "left").groupBy(name, "size").agg(
+        F.sort_array(
+            F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))
+        ).alias("by_df")  # a name's own trigrams
+    )
+    keep = F.col("size") - F.ceil(F.col("size") * fixed.TRIGRAM_THRESHOLD - 1e-9) + 1
+    return ranked.select(name, "size", F.explode(F.slice("by_df", F.lit(1), keep.cast("int"))["gram"]).alias("gram"))
+
+
 def _candidates(forms: DataFrame, asked: DataFrame) -> DataFrame:
     """(norm, q_norm) pairs that may match, without trying every name against every query.
 
@@ -34,20 +47,11 @@ def _candidates(forms: DataFrame, asked: DataFrame) -> DataFrame:
     # At most 37^3 + padding trigrams exist over [A-Z0-9 ], so this table is bounded.
     counts = grams.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
-    def rarest(side: DataFrame, name: str) -> DataFrame:
-        """The side's probe trigrams: the rarest size - ceil(t * size) + 1."""
-        each = side.select(name, F.size("g").alias("size"), F.explode("g").alias("gram"))
-        ranked = each.join(F.broadcast(counts), "gram", "left").groupBy(name, "size").agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))
-            ).alias("by_df")  # a name's own trigrams
-        )
-        keep = F.col("size") - F.ceil(F.col("size") * fixed.TRIGRAM_THRESHOLD - 1e-9) + 1
-        return ranked.select(
-            name, F.explode(F.slice("by_df", F.lit(1), keep.cast("int"))["gram"]).alias("gram")
-        )
-
-    fuzzy = rarest(grams, "norm").join(rarest(wanted, "q_norm"), "gram").select("norm", "q_norm")
+    fuzzy = (
+        rarest_grams(grams, "norm", counts)
+        .join(rarest_grams(wanted, "q_norm", counts).drop("size"), "gram")
+        .select("norm", "q_norm")
+    )
 
     # A query is contained only in names that hold its rarest piece (of three letters, or of
     # two for a two-letter query); a piece no name holds ranks rarest and rules all out.
@@ -78,9 +82,9 @@ def search_batch(
     asked = cut_lineage(prepare_queries(queries.select(query).distinct(), query))
     # Distinct forms first: many entities sharing a spelling are matched once.
     forms = cut_lineage(aliases.select("norm").where(F.col("norm") != "").distinct())
-    scored = _rank_tier(_scored(_candidates(forms, asked.select("q_norm").distinct())))
+    scored = score_pairs(_candidates(forms, asked.select("q_norm").distinct()))
     hits = scored.join(asked, "q_norm").join(aliases, "norm")
-    return _ranked(hits, employers, [query], limit)
+    return rank_hits(hits, employers, [query], limit)
 
 
 def search(
@@ -92,7 +96,12 @@ def search(
     norm = (asked.first() or {"q_norm": None})["q_norm"]  # the normalized query, one string
     asked_form = {"q": F.lit(text), "q_norm": F.lit(norm).cast("string")}
     found = _scored(aliases.withColumns(asked_form).where(F.lit(norm is not None)))
-    return _ranked(_rank_tier(found), employers, ["q"], limit)
+    return rank_hits(_rank_tier(found), employers, ["q"], limit)
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Similarity and tier of (norm, q_norm) pairs; pairs of no tier are left out."""
+    return _rank_tier(_scored(pairs))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def _rank_tier(found: DataFrame) -> DataFrame:
     return found.withColumn("tier", tier).where(F.col("tier").isNotNull())
 
 
-def _ranked(hits: DataFrame, employers: DataFrame, by: list[str], limit: int) -> DataFrame:
+def rank_hits(hits: DataFrame, employers: DataFrame, by: list[str], limit: int) -> DataFrame:
     best = best_per_key(
         hits,
         [*by, "employer_id"],

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from docketry import fixed
 from docketry.functions.names import normalize_name
 from docketry.operators import groups, inventory, quality
-from docketry.plans import explore, profile, publish, search
+from docketry.plans import explore, name_index, profile, publish, search
 from docketry.streaming import arrivals
 
 HOSTILE = ["%00", "\\", "0 UNION SELECT 1", "*/ /*", "${7*7}", "\u202e", "null", ",,,", "-0", " "]
@@ -73,7 +73,7 @@ def plain_trigrams(s):
     return out
 
 
-def test_batch_search_finds_what_brute_force_finds(spark):
+def test_batch_search_finds_what_brute_force_finds(spark, tmp_path):
     rnd = random.Random(3)
     words = ["GOOGLE", "GOOD", "AMAZON", "AMA", "ACME", "BANK", "BANC", "US", "OF", "THE", "WEST", "A1"]
     names = sorted({" ".join(rnd.choices(words, k=rnd.randint(1, 3))) for _ in range(120)})
@@ -98,11 +98,37 @@ def test_batch_search_finds_what_brute_force_finds(spark):
             if len(n) >= 2 and tier is not None:
                 want[e] = min(tier, want.get(e, 9))
         assert found.get(q, {}) == dict(want), q
+    # The stored index gives the same rows, filled by overlapping arrivals, one of them twice.
+    root = str(tmp_path / "names")
+    with pytest.raises(FileNotFoundError):
+        name_index.candidate_pairs(spark, root, alias.select(F.col("norm").alias("q_norm")))
+    for part, some in enumerate(["employer_id < 20", "employer_id < 1", "employer_id < 50", "true"]):
+        name_index.extend_index(alias.where(some), root, part, buckets=4)
+    name_index.extend_index(alias, root, 1)
+    stored = name_index.search_indexed(root, spark.createDataFrame([(q,) for q in asked], "q string"), alias, emp, 50)
+    assert rows(stored) == rows(got)
+    assert name_index.complete_parts(spark, root) == dict.fromkeys(range(4), 4)
+    held = spark.read.parquet(f"{root}/forms")
+    assert held.count() == held.select("norm").distinct().count() == alias.select("norm").distinct().count()
     one = search.search("google", alias, emp, 50).collect()
     assert {r.employer_id: r.tier for r in one} == found["google"]
     assert search.search("x", alias, emp).count() == 0
 
 
+def test_a_batch_reads_only_its_posting_folders(spark, tmp_path):
+    names = spark.createDataFrame([(f"NAME {i} {'LONG ' * (i % 12)}".strip(),) for i in range(300)], "norm string")
+    root = str(tmp_path / "names")
+    name_index.extend_index(names, root, 0, buckets=8)
+    folders = {p.parent for p in (tmp_path / "names/postings").rglob("*.parquet")}
+    pairs = name_index.candidate_pairs(spark, root, spark.createDataFrame([("NAME 12",)], "q_norm string"))
+    assert "NAME 12" in {r.norm for r in pairs.collect()}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert any("bucket" in line.split("PartitionFilters: ")[1] for line in plan.splitlines() if "PartitionFilters: " in line)
+    postings = name_index._read_postings(spark, root, {0: 8})
+    read = {r[0] for r in postings.where("kind = 'gram' AND bucket = 1 AND band = 3").select(F.input_file_name()).distinct().collect()}
+    assert len(read) < len(folders)
+
+
 def test_similar_employers_equal_brute_force(spark):
     rnd = random.Random(4)
     data = [(i, f"s{i}", f"E{i % 9}", rnd.choice(["54", None, "61"]), rnd.choice(["VA", "DC"]), rnd.random() > 0.2,
