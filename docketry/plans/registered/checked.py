@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.display import fiscal_quarter, fiscal_year
 from docketry.operators import aggregates, inventory, quality
 from docketry.operators.ordering import latest_wins
+from docketry.plans import catalog, clustering
 from docketry.plans.registered.base import CASES, cases, query, table
 from docketry.session import run_dir
 from docketry.sources import links
@@ -305,6 +309,60 @@ def entity_rows_ordered(spark, d):
     return read_published(spark, root, "entity_rows")
 
 
+@query(
+    "clustered_ranges",
+    f"""WITH {CASES}, b(box, low, high, first, last) AS (VALUES ('ids', 1, 20, DATE '1900-01-01', DATE '2100-01-01'),
+        ('year', 0, 2000000000, DATE '1996-01-01', DATE '1996-12-31'), ('both', 10, 60, DATE '1995-06-01', DATE '1996-02-01'))
+    SELECT box, CAST(0 AS BIGINT) AS overlaps, (SELECT count(*) FROM cases) AS stored, true AS skipped, count(*) AS "rows", sum(case_number) AS checksum
+    FROM b JOIN cases ON employer_id BETWEEN low AND high AND decision_date BETWEEN first AND last GROUP BY box""",
+)
+def clustered_ranges(spark, d):
+    """A table clustered by employer and day: file ranges apart, three boxes read through them."""
+    rows = cases(spark, d).select("employer_id", "decision_date", "case_number")
+    columns = ["employer_id", "decision_date"]
+    path = f"{run_dir(spark)}/clustered/{uuid.uuid4().hex}"
+    clustering.write_clustered(rows, path, columns, files=16)
+    ranges = clustering.file_ranges(spark, path)
+    facts = clustering.overlaps(spark, path).crossJoin(ranges.agg(F.sum("rows").alias("stored"), F.count(F.lit(1)).alias("files")))
+    day = dt.date
+    boxes = {
+        "ids": {"employer_id": (1, 20)},
+        "year": {"decision_date": (day(1996, 1, 1), day(1996, 12, 31))},
+        "both": {"employer_id": (10, 60), "decision_date": (day(1995, 6, 1), day(1996, 2, 1))},
+    }
+    out = []
+    for box, within in boxes.items():
+        found = clustering.read_clustered(spark, path, columns, within)
+        opened = len(found.inputFiles())
+        counted = found.agg(F.count(F.lit(1)).alias("rows"), F.sum("case_number").alias("checksum"))
+        out.append(
+            counted.crossJoin(facts).select(
+                F.lit(box).alias("box"), "overlaps", "stored", (F.lit(opened) < F.col("files")).alias("skipped"), "rows", "checksum"
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(
+    "catalog_switch",
+    f"""WITH {CASES} SELECT 1 AS step, 'case_number bigint, fiscal_year int' AS columns, count(*) AS "rows" FROM cases WHERE fiscal_year < 1996
+    UNION ALL SELECT 2, 'case_number bigint, fiscal_year int, wage_valid boolean', count(*) FROM cases""",
+)
+def catalog_switch(spark, d):
+    """A table read by its name before and after a switch, its columns from the catalog."""
+    name = uuid.uuid4().hex
+    database, root = f"load_{name}", f"{run_dir(spark)}/catalog/{name}"
+    rows = cases(spark, d).select("case_number", "fiscal_year", "wage_valid")
+    out = []
+    for step, load in enumerate([rows.where("fiscal_year < 1996").drop("wage_valid"), rows], 1):
+        catalog.publish_by_name({"cases": load, "years": load.select("fiscal_year").distinct()}, database, root, str(step))
+        catalog.require_columns(spark, database, "cases", ["case_number"])
+        columns = ", ".join(f"{c} {t}" for c, t in catalog.catalog_columns(spark, database, "cases").items())
+        read = catalog.read_by_name(spark, database, "cases")
+        out.append(read.agg(F.lit(step).alias("step"), F.lit(columns).alias("columns"), F.count(F.lit(1)).alias("rows")))
+    return out[0].unionByName(out[1])
+
+
 @query(
     "year_recent",
     f"""WITH {CASES} SELECT DISTINCT fiscal_year FROM cases ORDER BY 1 DESC LIMIT 2""",
