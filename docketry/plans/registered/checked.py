@@ -16,7 +16,7 @@ from docketry.plans import catalog, clustering
 from docketry.plans.registered.base import CASES, cases, query, table
 from docketry.session import run_dir
 from docketry.sources import links
-from docketry.streaming import arrivals
+from docketry.streaming import arrivals, upkeep
 
 LINE_CASES = """lines AS (SELECT CAST(year(l_shipdate) + CASE WHEN month(l_shipdate) >= 10 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year,
     CAST(floor(((month(l_shipdate) + 2) % 12) / 3) AS INTEGER) + 1 AS quarter,
@@ -257,6 +257,31 @@ def stream_upsert_latest(spark, d):
     return arrivals.current_rows(spark, root).select("user_id", "event_type", "fiscal_year", "event_id", "value")
 
 
+@query(
+    "arrivals_upkeep",
+    """WITH e AS (SELECT user_id, event_type, CAST(2020 + user_id % 3 AS INTEGER) AS fiscal_year, CAST(event_id % 7 AS INTEGER) AS batch, event_id FROM events),
+      held AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY fiscal_year, user_id, event_type ORDER BY batch DESC, event_id DESC) = 1)
+    SELECT 'log' AS part, fiscal_year, batch, count(*) AS "rows", sum(event_id) AS checksum FROM e GROUP BY ALL
+    UNION ALL SELECT 'held', fiscal_year, NULL, count(*), sum(event_id) FROM held GROUP BY ALL""",
+)
+def arrivals_upkeep(spark, d):
+    """The events in seven batches with upkeep between them: the merged log, and the state."""
+    key = F.col("event_id") % 7
+    events = table(spark, d, "events").select(
+        "user_id", "event_type", (F.col("user_id") % 3 + 2020).cast("int").alias("fiscal_year"), key.cast("int").alias("n"), "event_id"
+    )
+    root = f"{run_dir(spark)}/arrivals/{uuid.uuid4().hex}"
+    order = [F.desc("n"), F.desc("event_id")]
+    for n in range(7):
+        arrivals.take_batch(events.where(F.col("n") == n), n, root, ["fiscal_year", "user_id", "event_type"], order)
+        if n % 3 == 2:
+            upkeep.upkeep(spark, root, fan=2)
+    sums = F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("checksum")
+    log = upkeep.logged_rows(spark, root).groupBy(F.lit("log").alias("part"), "fiscal_year", "batch").agg(*sums)
+    held = arrivals.current_rows(spark, root).groupBy("fiscal_year").agg(*sums)
+    return log.unionByName(held.withColumns({"part": F.lit("held"), "batch": F.lit(None).cast("int")}))
+
+
 @query(
     "published_counts",
     f"WITH {CASES} SELECT 'cases' AS name, count(*) AS \"rows\" FROM cases UNION ALL SELECT 'pay', count(*) FROM cases WHERE wage_valid",

@@ -10,6 +10,8 @@ without a year stops the batch before anything is written.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +75,11 @@ def _pointers(spark: SparkSession, root: str, below: int | None = None) -> DataF
 
 def _snapshot(spark: SparkSession, root: str, pointers: DataFrame, year: str) -> DataFrame:
     rows = spark.read.option("basePath", f"{root}/snapshot").parquet(f"{root}/snapshot")
-    newest = pointers.groupBy(year).agg(F.max("batch").alias("batch"))
-    # One row per fiscal year; year and batch are folders, so others are not read.
-    return rows.join(F.broadcast(newest), [year, "batch"], "left_semi").drop("batch")
+    # One row per fiscal year, resolved now: a reader does not depend on pointer files that
+    # later upkeep merges. Year and batch are folders, so others are not read.
+    newest = pointers.groupBy(year).agg(F.max("batch").alias("batch")).collect()
+    named = [(F.col(year) == r[year]) & (F.col("batch") == r.batch) for r in newest]
+    return rows.where(functools.reduce(Column.__or__, named, F.lit(False))).drop("batch")
 
 
 def current_rows(spark: SparkSession, root: str, year: str = "fiscal_year") -> DataFrame:
