@@ -2,10 +2,10 @@
 
 A split begins at a line, but the line may lie inside a quoted cell that an earlier split opened. Each
 line is therefore given as a rule on two states, outside or inside a cell: where it ends if it
-begins outside, and where if it begins inside. Rules are composed along the lines of a split, and
-the few composed rules of a file's splits along the file, which tells every split's first state;
-after that each line's state is known in its own task. Only lines of records that have more than
-one line are grouped; all others are records as they stand.
+begins outside, and where if it begins inside. One pass composes the rules along the lines of a split
+in the order they are read, and the few composed rules of a file's splits are composed along the
+file, which tells every split's first state and the text that ends the record open at its end. A second
+pass then puts records together while it reads: the text is neither shuffled nor written for it.
 
 A quote opens a cell only at its beginning, so a stray quote in a bare cell changes nothing, and
 most lines have one outcome whichever state they begin in.
@@ -19,17 +19,31 @@ from __future__ import annotations
 
 import csv
 from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.barrier import with_once
 from docketry.session import cut_lineage
 
 PLACE = ["file", "block"]
+HEAD = 1 << 20  # bytes of a split's first lines that the first pass keeps, whichever state holds
+RULES = "file string, block long, out boolean, ins boolean, starts_in boolean, head binary"
+RECORDS = "file string, block long, seq long, value binary"
 
 
 def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """(file, block, seq, value): lines with the split they are in and their order inside."""
+    """(file, block, seq, value): lines with the split they are in and their order inside.
+
+    Splits of small files follow from the number of cores, so that is fixed here: every pass must
+    see the same splits, also when executors come or go."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
     return (
         spark.read.options(**options)
         .text(path)
@@ -64,34 +78,125 @@ def _composed(rows: DataFrame, keys: list[str], order: str, first: dict[str, Col
     return rows.withColumns(states).drop("_turns", "_fixed", "_before")
 
 
-def _outcome(state: Column) -> Column:
-    return F.when(state, F.col("ins")).otherwise(F.col("out"))
+def _states(out: np.ndarray, ins: np.ndarray, first: bool) -> np.ndarray:
+    """The state before each line and after the last, if the first begins in state `first`."""
+    at = np.maximum.accumulate(np.where(out == ins, np.arange(len(out)), -1))  # the last line of one outcome
+    turns = np.cumsum(out & ~ins)
+    since = turns - np.where(at >= 0, turns[at], 0)
+    return np.concatenate([[first], np.where(at >= 0, out[at], first) ^ (since % 2 == 1)])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """((file, block), lines, out, ins): batches cut where another split begins."""
+    for batch in batches:
+        split = batch.column("split").to_numpy()
+        cuts = [0, *(np.flatnonzero(split[1:] != split[:-1]) + 1), len(split)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high > low:
+                part = batch.slice(low, high - low)
+                out, ins = (part.column(c).to_numpy(zero_copy_only=False) for c in ("out", "ins"))
+                yield (part.column("file")[0].as_py(), part.column("block")[0].as_py()), part, out, ins
+
+
+def _split_rules(between: bytes, most: int, only: frozenset[tuple[str, int]] = frozenset()) -> Callable:
+    """A row per split: its composed rule, whether a record starts in it if it begins inside, and the
+    text before that start; NULL if longer than `most` bytes, unless the split is one of `only`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rows, lines, size = None, [], [], 0
+        for key, part, out, ins in _parts(batches):
+            if key != place:
+                if place:
+                    rows[-1]["head"] = None if lines is None else between.join(lines)
+                rows.append({"file": key[0], "block": key[1], "out": False, "ins": True, "starts_in": False})
+                place, lines, size = key, [], 0
+            row = rows[-1]
+            before = _states(out, ins, row["ins"])
+            if not row["starts_in"]:
+                starts = np.flatnonzero(~before[:-1])
+                head = part.column("value").slice(0, starts[0] if len(starts) else len(out))
+                size += head.nbytes
+                if lines is not None and (size <= most or key in only):
+                    lines.extend(head.to_pylist())
+                else:
+                    lines = None
+                row["starts_in"] = len(starts) > 0
+            row["out"], row["ins"] = bool(_states(out, ins, row["out"])[-1]), bool(before[-1])
+        if place:
+            rows[-1]["head"] = None if lines is None else between.join(lines)
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary()]
+            names = ["file", "block", "out", "ins", "starts_in", "head"]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(names, kinds, strict=True))))
+
+    return run
+
+
+def _records(known: dict[tuple[str, int], tuple[bool, bytes | None]], between: bytes) -> Callable:
+    """Lines put together to the records that start in each split. `known`: a split's first state, and
+    the text in later splits that ends its last record."""
+    glue = pa.scalar(between, pa.binary())
+
+    def merged(part: pa.RecordBatch, starts: np.ndarray, stop: int) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array([*starts, stop], pa.int32()), part.column("value"))
+        first = part.select(["file", "block", "seq"]).take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([*first.columns, pc.binary_join(lists, glue)], names=["file", "block", "seq", "value"])
+
+    def whole(held: list[pa.RecordBatch], tail: bytes | None) -> pa.RecordBatch:
+        lines = [line for part in held for line in part.column("value").to_pylist()]
+        value = between.join(lines if tail is None else [*lines, tail])
+        first = held[0].select(["file", "block", "seq"]).slice(0, 1)
+        return pa.RecordBatch.from_arrays([*first.columns, pa.array([value], pa.binary())], names=["file", "block", "seq", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, state, tail, held = None, False, None, []
+        for key, part, out, ins in _parts(batches):
+            if key != place:
+                if held:
+                    yield whole(held, tail)
+                if key not in known:
+                    raise RuntimeError(f"{key} was not a split of the first pass; keep spark.sql.files settings between passes")
+                place, held, (state, tail) = key, [], known[key]
+            before = _states(out, ins, state)
+            state = bool(before[-1])
+            starts = np.flatnonzero(~before[:-1])
+            if len(starts) == 0:
+                if held:  # else the end of an earlier split's record
+                    held.append(part)
+                continue
+            if held:
+                yield whole([*held, part.slice(0, starts[0])], None)
+            if len(starts) > 1:
+                yield merged(part, starts[:-1], starts[-1])
+            held = [part.slice(starts[-1])]
+        if held:
+            yield whole(held, tail)
+
+    return run
 
 
 def joined(pieces: DataFrame, out: Column, ins: Column, between: str) -> DataFrame:
     """(file, block, seq, value): pieces put together wherever one ends inside, in the order of
-    their first piece. `block` and `seq` are those of the first."""
-    ruled = pieces.withColumns({"out": out, "ins": ins})
-    marked = cut_lineage(_composed(ruled, PLACE, "seq", {"if_out": F.lit(False), "if_in": F.lit(True)}))
-    last = lambda state: F.max_by(_outcome(F.col(state)), F.col("seq"))
-    # One row per split from here on.
-    blocks = marked.groupBy(*PLACE).agg(last("if_out").alias("out"), last("if_in").alias("ins"))
-    starts = _composed(blocks, ["file"], "block", {"starts": F.lit(False)}).select(*PLACE, "starts")
-    inside = F.when(F.col("starts"), F.col("if_in")).otherwise(F.col("if_out"))
-    known = marked.join(starts, PLACE).withColumn("inside", inside).withColumn("open", _outcome(F.col("inside")))
-    whole = known.where(~F.col("inside") & ~F.col("open")).select(*PLACE, "seq", "value")
-    parts = known.where(F.col("inside") | F.col("open")).select(*PLACE, "seq", "value", "inside")
-    upto = Window.partitionBy(*PLACE).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.when(~F.col("inside"), F.struct("block", "seq"))
-    parts = parts.withColumn("owner", F.last(here, True).over(upto))
-    # Pieces before a split's first start belong to the last start of the splits before it.
+    their first piece. `block` and `seq` are those of the first; `value` is binary.
+
+    Rows of `pieces` must come split by split, in order, as `_lines` and this function give them."""
+    glue = between.encode()
+    value = F.col("value").cast("binary")
+    ruled = pieces.select(*PLACE, "seq", F.xxhash64(*PLACE).alias("split"), out.alias("out"), ins.alias("ins"), value.alias("value"))
+    rules = cut_lineage(ruled.mapInArrow(_split_rules(glue, HEAD), RULES))  # a row per split from here on
+    splits = _composed(rules, ["file"], "block", {"starts": F.lit(False)})
+    long = splits.where("starts AND head IS NULL").select(*PLACE).collect()
+    if long:
+        only = frozenset((r.file, r.block) for r in long)
+        heads = ruled.mapInArrow(_split_rules(glue, -1, only), RULES).where(F.col("head").isNotNull()).select(*PLACE, F.col("head").alias("_head"))
+        splits = splits.join(cut_lineage(heads), PLACE, "left").withColumn("head", F.coalesce("_head", "head"))
+    # A record that a split leaves open ends in the heads of the splits up to the next that has a start.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    left = parts.groupBy(*PLACE).agg(F.max("owner").alias("last"))
-    left = left.select(*PLACE, F.last("last", True).over(before).alias("earlier"))
-    owned = parts.join(left, PLACE).withColumn("owner", F.coalesce("owner", "earlier", F.struct("block", "seq")))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "seq", "value")))
-    grouped = owned.groupBy("file", "owner").agg(F.array_join(F.transform(ordered, lambda p: p["value"]), between).alias("value"))
-    return whole.unionByName(grouped.select("file", "owner.block", "owner.seq", "value"))
+    owner = F.last(F.when(~F.col("starts") | F.col("starts_in"), F.col("block")), True).over(before)
+    owned = splits.withColumn("owner", owner).where("starts")
+    ordered = F.sort_array(F.collect_list(F.struct("block", "head")))
+    ends = owned.groupBy("file", F.col("owner").alias("block")).agg(F.transform(ordered, lambda p: p["head"]).alias("heads"))
+    known = {(r.file, r.block): (r.starts, r.heads and glue.join(map(bytes, r.heads))) for r in splits.join(ends, PLACE, "left").select(*PLACE, "starts", "heads").collect()}
+    return ruled.mapInArrow(_records(known, glue), RECORDS)
 
 
 def quote_rules(line: Column, sep: str) -> tuple[Column, Column]:
@@ -129,19 +234,21 @@ def header_names(record: str, sep: str) -> list[str]:
 def records_of(spark: SparkSession, path: str, sep: str, charset: str = "UTF-8") -> DataFrame:
     """(file, block, seq, value): the records of the files under `path`, header records included."""
     lines = _lines(spark, path) if charset == "UTF-8" else utf16_lines(spark, path, charset)
-    return joined(lines, *quote_rules(F.col("value"), sep), "\n")
+    records = joined(lines, *quote_rules(F.col("value"), sep), "\n")
+    return records.withColumn("value", F.col("value").cast("string"))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str, charset: str = "UTF-8") -> DataFrame:
     """All cells of the files under `path` as text, one row per record; each file has the same
     header. Line ends inside cells come out as line feeds. An empty file has no records."""
-    records = cut_lineage(records_of(spark, path, sep, charset))  # for the headers, and for the cells
+    records = cut_lineage(records_of(spark, path, sep, charset), "zstd")  # for the headers, and for the cells
     first = records.groupBy("file").agg(F.min(F.struct("block", "seq", "value")).alias("head"))  # a row per file
     header = first.orderBy("file").first()
     names = header_names(header["head"]["value"], sep) if header else ["_c0"]
     head = first.select("file", "head.block", "head.seq")
-    body = records.join(head, ["file", "block", "seq"], "left_anti")
+    body = records.join(F.broadcast(head), ["file", "block", "seq"], "left_anti")
     cells = ", ".join(f"c{i} STRING" for i in range(len(names)))
     # A record is parsed by itself, so no character may end it.
     how = {"sep": sep, "escape": '"', "quote": '"', "lineSep": "\0"}
-    return body.select(F.from_csv("value", cells, how).alias("r")).select("r.*").toDF(*names)
+    # Parsed once, not once for every cell that a filter above asks for.
+    return with_once(body, "r", F.from_csv("value", cells, how)).select("r.*").toDF(*names)

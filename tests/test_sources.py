@@ -336,6 +336,41 @@ def test_a_quoted_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_quoted_and_utf16_files_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from docketry.sources import split_text
+
+    text = "Name,Note,N\n" + "".join(f'"{"x" * (k % 3)}\n{"long" * 9}\n",{k},"b\n"\n' for k in range(20)) + '"a\n' + "line\n" * 60 + '",b,c\nd,e,f\n'
+    (tmp_path / "q.csv").write_text(text)
+    # Letters whose bytes, side by side, hold those of a line feed: in some places, and in one place only.
+    for name, wide in (("w.txt", text.replace("x", "\u0a41\u0100")), ("o.txt", text.replace("d,e", "\u0a41\u0100,e"))):
+        (tmp_path / name).write_bytes(wide.encode("utf-16-le"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        # Heads kept by the first pass, or read again.
+        for name, charset, head in (("q.csv", "UTF-8", 4), ("w.txt", "UTF-16LE", split_text.HEAD), ("o.txt", "UTF-16LE", 4)):
+            monkeypatch.setattr(split_text, "HEAD", head)
+            records = split_text.records_of(spark, str(tmp_path / name), ",", charset)
+            assert "Exchange" not in planned(records)
+            got = [r.value for r in sorted(records.collect(), key=lambda r: (r.block, r.seq))]
+            whole = (tmp_path / name).read_bytes().decode("utf-8" if charset == "UTF-8" else "utf-16-le")
+            assert len(got) == 23 and "\n".join([*got, ""]) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    from docketry.sources import split_text
+
+    path = write(tmp_path / "p.csv", 'Name,Note,N\n"a\nb",c,1\n')
+    read = registry.not_blank(split_text.read_delimited(spark, path, ","))
+    assert planned(read).count("from_csv") == 1
+    assert cells(read) == [("a\nb", "c", "1")]
+
+
 def test_row_gate_of_the_registry(spark, tmp_path, monkeypatch):
     write(tmp_path / "uscis_hub_FY2026.csv", SIX + "\n2026,ACME,1111,54,X,VA,1" + ",0" * 12 + "\n")
     files = releases.present_files(spark, [f for f in releases.declared_registry_files() if f.fiscal_year == 2026], str(tmp_path))
