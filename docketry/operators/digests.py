@@ -28,11 +28,18 @@ def one_slash(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def packed(file_name: Column) -> Column:
+    """Whether Spark's readers open a file as what is inside. On a reader's own `_metadata.file_name`, this
+    chooses files before any is opened; on its `path` column, only after a whole file was read."""
+    return file_name.rlike(PACKED)
+
+
 def _pieces(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, block, seq, data): the bytes of files between line feeds."""
     options = {"lineSep": "\n", "pathGlobFilter": glob, "recursiveFileLookup": "true"}
     place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
-    return spark.read.options(**options).text(path).select(*place, F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("data"))
+    plain = spark.read.options(**options).text(path).where(~packed(F.col("_metadata.file_name")))
+    return plain.select(*place, F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("data"))
 
 
 def _placed(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -78,8 +85,8 @@ def file_digests(spark: SparkSession, path: str, glob: str = "*", size: int = RA
     """(path, bytes, digest) of the files under `path`, as hexadecimal text."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     listed = cut_lineage(reader.load(path).select("path", F.col("length").alias("bytes")))
-    plain = listed.where(~F.col("path").rlike(PACKED))
-    pieces = _pieces(spark, path, glob).where(~F.col("path").rlike(PACKED))
+    plain = listed.where(~packed(F.col("path")))
+    pieces = _pieces(spark, path, glob)
     same = lambda df: df.withColumn("path", one_slash(F.col("path")))
     nodes = range_hashes(_placed(same(pieces), same(plain)), size)
     left = (listed.agg(F.max("bytes")).first()[0] or 0) // size + 1  # ranges of the largest file
@@ -91,7 +98,7 @@ def file_digests(spark: SparkSession, path: str, glob: str = "*", size: int = RA
         one = F.when(F.size("parts") == 1, F.col("parts")[0]["data"]).otherwise(_hash(F.col("parts")))
         nodes = many.select("path", F.col("up").alias("place"), one.alias("data"))
         left = -(-left // FAN)
-    packed = reader.load(path).where(F.col("path").rlike(PACKED)).select("path", F.sha2("content", 256).alias("digest"))
-    found = nodes.select("path", F.lower(F.hex("data")).alias("digest")).unionByName(same(packed))
+    whole = reader.load(path).where(packed(F.col("_metadata.file_name"))).select("path", F.sha2("content", 256).alias("digest"))
+    found = nodes.select("path", F.lower(F.hex("data")).alias("digest")).unionByName(same(whole))
     # Only a lone byte order mark has bytes and no pieces. Spark's readers do not list empty files.
     return same(listed).join(found, "path", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.unhex(F.lit("EFBBBF")), 256)))

@@ -40,6 +40,17 @@ def test_digests_of_any_bytes_and_splits(spark, tmp_path, monkeypatch):
     assert listed == {n: hashlib.sha256(b).hexdigest() for n, b in files.items()}
 
 
+def test_only_packed_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "plain.bin").write_bytes(b"abc\n" * 500)
+    (tmp_path / "z.gz").write_bytes(gzip.compress(b"abc" * 50))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")  # a row that held the plain file would fail
+    try:
+        got = {r["path"].rsplit("/", 1)[1]: r["digest"] for r in digests.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("plain.bin", "z.gz")}
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"x")
     assert digests.file_digests(spark, str(tmp_path), "*.none").collect() == []
