@@ -132,7 +132,7 @@ def registry_ids(linked: DataFrame, entity: DataFrame) -> DataFrame:
 
 def registry_slugs(numbered: DataFrame, entity: DataFrame) -> DataFrame:
     """Free slugs, none of which an entity holds, for the rows of `registry_ids`."""
-    placed = numbered.withColumn("_base", slugify(F.coalesce("name", "norm")))
+    placed = with_once(numbered, "_base", slugify(F.coalesce("name", "norm")))  # the choices name it several times
     base = F.col("_base")
     stem = F.concat_ws("-", base, F.lower(F.coalesce("state", F.lit("xx"))))
     return assign_slugs(placed, "new_id", [base, stem], stem, entity.select("slug"), out="new_slug").drop("_base")

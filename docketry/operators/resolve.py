@@ -179,7 +179,7 @@ def numbered_entities(keyed: DataFrame) -> DataFrame:
 
 def with_slugs(numbered: DataFrame) -> DataFrame:
     """Entities with their unique slugs."""
-    ranked = numbered.withColumn("_stem", slugify(F.col("display_name")))
+    ranked = with_once(numbered, "_stem", slugify(F.col("display_name")))  # the choices name it several times
     stem = F.col("_stem")
     area = F.lower(F.coalesce("state", F.lit("xx")))
     choices = [

@@ -69,3 +69,22 @@ def test_pieces(spark):
 def test_distinct_names(spark):
     df = spark.createDataFrame([("Acme Inc",), ("Acme Inc",), (None,)], "n string")
     assert [tuple(r) for r in names.distinct_names(df, "n").collect()] == [("Acme Inc", "ACME")]
+
+
+def test_a_slug_is_made_once_for_all_choices(spark, monkeypatch):
+    from docketry.operators import linkage, resolve
+
+    seen = []
+
+    def assign(df, rank, choices, stem, *rest, **named):
+        plan = df.select(rank, *[c.alias(f"c{i}") for i, c in enumerate(choices)], stem.alias("s"))
+        seen.append(plan._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+"))
+        return df.withColumn(named.get("out", "slug"), F.lit("x"))
+
+    monkeypatch.setattr(resolve, "assign_slugs", assign)
+    monkeypatch.setattr(linkage, "assign_slugs", assign)
+    ours = spark.range(2).selectExpr("id AS employer_id", "'k' AS employer_key", "concat('n', id) AS display_name", "'12-3456789' AS fein", "'c' AS city", "'s' AS state", "id AS lca_rows")
+    theirs = spark.range(2).selectExpr("id AS new_id", "concat('n', id) AS name", "'N' AS norm", "'s' AS state")
+    resolve.with_slugs(ours)
+    linkage.registry_slugs(theirs, ours.selectExpr("'x' AS slug"))
+    assert seen == [1, 1]
