@@ -11,6 +11,8 @@ Spark's writer commits it, so a lost task leaves nothing behind and any store wi
 
 Texts are encoded once. Byte-level BPE never merges across the start of ` word`, so a text is cut
 there and each distinct piece is encoded once per worker; the result is that of the whole text.
+Where the tokenizer splits by its byte-level pattern, a text is also cut between ASCII letters,
+digits, punctuation and single line ends, where that pattern splits whatever stands around.
 With `added_tokens` the strings of the tokenizer's added tokens stand for their ids, as in its
 plain call; otherwise they are ordinary text.
 
@@ -21,6 +23,7 @@ empty files.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -39,9 +42,18 @@ BLOCK_TOKENS = 1 << 20
 BLOCK_BYTES = 8 << 20  # text that a worker encodes at a time
 CACHE_PIECES = 400_000  # pieces a worker remembers; others are encoded again
 CACHE_CHARS = 64
+JOINED = 100  # pieces that the tokenizer is given as one text
 
 _GRAPHIC = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
 _TWO = (np.arange(256) >= 0xC3) & (np.arange(256) <= 0xDF)  # leads of two-byte letters; no white space among them
+_LETTER = np.isin(np.arange(256), [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+_DIGIT = np.isin(np.arange(256), [*b"0123456789"])
+_BREAK = (np.arange(256) >= 9) & (np.arange(256) <= 13)
+_POINT = _GRAPHIC & ~_LETTER & ~_DIGIT
+# Kinds of a byte: 1 letter, 2 digit, 3 punctuation, 4 apostrophe, which may begin 's, 't and the like, 5 line end or tab.
+_KIND = bytes(4 if chr(c) == "'" else _LETTER[c] + 2 * _DIGIT[c] + 3 * _POINT[c] + 5 * _BREAK[c] for c in range(256))
+# Between these kinds the byte-level pattern splits, whatever stands around; a pair is 8 x first + second.
+_APART = bytes((c >> 3, c & 7) in {*[(1, k) for k in (2, 3, 4, 5)], *[(2, k) for k in (1, 3, 4, 5)], (3, 1), (3, 2), (3, 5), (4, 5)} for c in range(256))
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
@@ -59,7 +71,13 @@ class Encoder:
         self.spelled = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, number in vocabulary.items():
             self.spelled[number] = len(token)
-        self.place: dict[str, int] = {}
+        told = json.loads(self.tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        self.added = [x["content"].encode() for x in told["added_tokens"]]
+        self.fine = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told["normalizer"]
+        # An added token that looks at its neighbours, or holds a space, may show up where pieces meet.
+        self.alone = any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in told["added_tokens"])
+        self.place = pa.array([], pa.large_string())
         self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
@@ -68,73 +86,115 @@ class Encoder:
             cls._held[path, added_tokens] = cls(path, added_tokens)
         return cls._held[path, added_tokens]
 
-    def _encode(self, pieces: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many each has; `size` is their bytes."""
-        if not pieces:
+    def _starts(self, block: W.Block) -> np.ndarray:
+        """Where the pieces of a block start."""
+        data, at = block.data, block.at
+        mark = np.zeros(len(data), bool)
+        if self.fine and len(data) > 2:
+            raw = data.tobytes()
+            kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+            pair = kind[:-1] * np.uint8(8) + kind[1:]
+            mark[1:] = np.frombuffer(pair.tobytes().translate(_APART), bool)
+            # A single line end is a piece; in a longer run of white space the last one is split off.
+            lone = np.flatnonzero(kind[1:-1] == 5) + 1
+            mark[lone[_GRAPHIC[data[lone - 1]] & _GRAPHIC[data[lone + 1]]] + 1] = True
+            for token in self.added:
+                low = raw.find(token)
+                while low >= 0:
+                    mark[low : low + len(token) + 1] = False
+                    low = raw.find(token, low + 1)
+        space = np.flatnonzero(data == 32)
+        space = space[(space > 1) & (space < len(data) - 1)]
+        before, after = data[space - 1], data[space + 1]
+        mark[space[(_GRAPHIC[before] | _TWO[data[space - 2]]) & (_GRAPHIC[after] | _TWO[after])]] = True
+        mark[at[:-1][at[:-1] < at[1:]]] = True
+        return np.flatnonzero(mark)
+
+    def _join(self, pieces: pa.Array) -> tuple[np.ndarray, int]:
+        """An order of the pieces, and how many of its first ones may stand side by side in a text:
+        it would be cut where they meet."""
+        if self.alone:
+            return np.arange(len(pieces)), 0
+        data, at = _bytes(pieces)
+        size = np.diff(at)
+        long = np.flatnonzero(size > 2)
+        low, high = at[:-1][long], at[1:][long]
+        fits = (data[low] == 32) & (_GRAPHIC[data[low + 1]] | _TWO[data[low + 1]]) & (_GRAPHIC[data[high - 1]] | _TWO[data[high - 2]])
+        alone = np.ones(len(pieces), bool)
+        alone[long[fits]] = False
+        return np.argsort(alone, kind="stable"), int(fits.sum())
+
+    def _encode(self, pieces: pa.Array, side_by_side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        (got,) = self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)
+        data, at = _bytes(pieces)
+        texts = _strings(data, np.concatenate([at[:side_by_side:JOINED], at[side_by_side:]])).to_pylist()
+        (got,) = self.tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, np.uint32)
         # The fast call does not say whose an id is. Byte-level tokens spell their bytes, so pieces end
         # where the bytes of ids and pieces add up alike.
-        ends, upto = np.cumsum(self.spelled[ids]), np.cumsum(size)
+        ends, upto = np.cumsum(self.spelled[ids]), at[1:] - at[0]
         last = np.searchsorted(ends, upto)
         if len(ids) and last[-1] == len(ids) - 1 and np.array_equal(ends[last], upto):
             return ids, np.diff(last, prepend=-1)
-        slow = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        slow = self.tokenizer.encode(pieces.to_pylist(), is_pretokenized=True, add_special_tokens=False)
         return np.array(slow.ids, np.uint32), np.bincount(np.array(slow.word_ids, np.int64), minlength=len(pieces))
 
-    def _remember(self, names: list[str], ids: np.ndarray, size: np.ndarray, first: np.ndarray) -> None:
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, size: np.ndarray, first: np.ndarray) -> None:
         """Keep the short pieces among the new ones, while there is room."""
         free = CACHE_PIECES - len(self.place)
         if free <= 0:
             return
-        short = np.array([i for i, name in enumerate(names) if len(name) <= CACHE_CHARS][:free], np.int64)
+        short = np.flatnonzero(pc.utf8_length(pieces).to_numpy() <= CACHE_CHARS)[:free]
         n = size[short]
         at = np.cumsum(n) - n
         held = ids[np.repeat(first[short] - at, n) + np.arange(int(n.sum()))]
-        base, total = len(self.size), len(self.ids)
-        self.place.update(zip([names[i] for i in short], range(base, base + len(short)), strict=True))
+        self.place = pa.concat_arrays([self.place, pieces.take(pa.array(short))])
+        self.at = np.concatenate([self.at, len(self.ids) + at])
         self.ids = np.concatenate([self.ids, held])
         self.size = np.concatenate([self.size, n])
-        self.at = np.concatenate([self.at, total + at])
 
     def encode(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's texts in a row, and how many each text has."""
         data, at = block.data, block.at
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        space = np.flatnonzero(data == 32)
-        space = space[(space > 1) & (space < len(data) - 1)]
-        before, after = data[space - 1], data[space + 1]
-        space = space[(_GRAPHIC[before] | _TWO[data[space - 2]]) & (_GRAPHIC[after] | _TWO[after])]
-        mark = np.zeros(len(data), bool)
-        mark[at[:-1][at[:-1] < at[1:]]] = True
-        mark[space] = True
-        starts = np.flatnonzero(mark)
-        bounds = np.append(starts, len(data)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = pieces.dictionary_encode()
-        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        where = np.array([self.place.get(p, -1) for p in names], np.int64)
+        starts = self._starts(block)
+        coded = _strings(data, np.append(starts, len(data))).dictionary_encode()
+        names, which = coded.dictionary, coded.indices.to_numpy()
+        where = pc.fill_null(pc.index_in(names, value_set=self.place), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(where < 0)
-        ids, size = self._encode([names[i] for i in new], pc.binary_length(coded.dictionary).to_numpy()[new])
-        base, total = len(self.size), len(self.ids)
-        where[new] = base + np.arange(len(new))
-        # This block's own arrays; only short pieces, which have a name, are kept beyond it.
+        order, side_by_side = self._join(names.take(pa.array(new)))
+        new = new[order]
+        pieces = names.take(pa.array(new))
+        ids, size = self._encode(pieces, side_by_side)
+        where[new] = len(self.size) + np.arange(len(new))
+        # This block's own arrays; only short pieces are kept beyond it.
+        first = np.cumsum(size) - size
         all_ids = np.concatenate([self.ids, ids])
         all_size = np.concatenate([self.size, size])
-        first = np.cumsum(size) - size
-        all_at = np.concatenate([self.at, total + first])
-        self._remember([names[i] for i in new], ids, size, first)
-        piece = where[which]
-        n = all_size[piece]
-        first = np.cumsum(n) - n
-        out = all_ids[np.repeat(all_at[piece] - first, n) + np.arange(int(n.sum()))]
+        all_at = np.concatenate([self.at, len(self.ids) + first])
+        self._remember(pieces, ids, size, first)
+        n = all_size[where][which]
         ends = np.concatenate([[0], np.cumsum(n)])
+        out = all_ids[np.repeat(all_at[where][which] - ends[:-1], n) + np.arange(ends[-1])]
         per_text = ends[np.searchsorted(starts, at)]
         return out, np.diff(per_text)
 
 
+def _strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes between consecutive offsets as strings."""
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of strings without nulls, and where each starts and the last ends."""
+    _, where, chars = strings.buffers()
+    at = np.frombuffer(where, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return np.frombuffer(chars, np.uint8) if chars is not None else np.zeros(0, np.uint8), at
+
+
 def _slots(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control bytes of each document, and the two-bit slot of each of its ranks."""
     size = -(-n // 4)

@@ -105,3 +105,43 @@ def test_held_ids_stay_bounded_over_texts_without_spaces(monkeypatch):
         (block,) = W.blocks(pa.array(texts))
         assert encoder.encode(block)[0].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
         assert len(encoder.place) <= 40 and len(encoder.size) == len(encoder.place) and len(encoder.ids) < 400
+
+
+def test_words_are_encoded_once_whatever_points_follow():
+    marks = [".", ",", "!", "?", ";", "&&&", ").", "7"]
+    texts = [" ".join(f"{w}{m}" for m in marks) for w in ("alpha", "beta", "gamma", "señor", "delta")]
+    (block,) = t.W.blocks(pa.array([f"{x} end" for x in texts]))
+    encoder = t.Encoder(TOKENIZER)
+    ids, n = encoder.encode(block)
+    want = [encoder.tokenizer.encode(f"{x} end", add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(encoder.place) < 25  # 40 ` word.` and the like, but few words and marks
+
+
+def test_cuts_between_kinds_of_characters_give_the_tokens_of_the_whole_text(tokenizer):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(4)
+    marks = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1f", "\x7f", "\x85", "\xa0", " ", "é", "×", "́", "Ж", "٣", "½", "🙂", "'", "'s", "'re", "'S", "a", "t", "the", "12", "...", ",", "&&&", "<|endoftext|>", "<|", "|>", "endoftext", "AKIA9X", "ab01"]
+    for added, whole in ((True, plain), (False, tokenizer)):
+        encoder = t.Encoder(TOKENIZER, added)
+        for few in (3, 6, len(marks)) * 5:
+            some = rng.sample(marks, few)
+            texts = ["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(200)]
+            ids, n = encoder.encode(next(iter(t.W.blocks(pa.array(texts), 1 << 30))))
+            want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_joined_pieces_make_no_added_token(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    own = Tokenizer.from_file(TOKENIZER)
+    own.add_tokens([AddedToken("red fox", normalized=False)])
+    own.save(str(tmp_path / "own.json"))
+    encoder = t.Encoder(str(tmp_path / "own.json"), True)
+    texts = ["a red b", "a fox b", "a red dog", "the fox"]
+    ids, n = encoder.encode(next(iter(t.W.blocks(pa.array(texts)))))
+    want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
