@@ -362,6 +362,59 @@ def test_records_of_quoted_and_utf16_files_are_not_shuffled(spark, tmp_path, mon
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_wide_records_are_put_together_in_one_step(spark, tmp_path, monkeypatch):
+    from docketry.sources import split_text
+
+    # Letters whose bytes, side by side, hold those of a line feed; returns and marks at the ends of lines.
+    text = "\ufeffName\tNote\r\n" + "".join(f'"{"\u0a41\u0100" * (k % 3)}\r\n{"long" * 9}\n"\t5" {k}\u0a4e\u0100\r\n' for k in range(20)) + '\ufeff"a\n' + "line\u0a4e\u0100\n" * 60 + '"\tb\r\nd\te'
+    want = text.replace("\r", "").replace("\ufeff", "")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        for charset, head in (("UTF-16LE", split_text.HEAD), ("UTF-16BE", 4)):
+            monkeypatch.setattr(split_text, "HEAD", head)
+            path = tmp_path / charset
+            path.write_bytes(text.encode(charset))
+            records = split_text.records_of(spark, str(path), "\t", charset)
+            plan = planned(records)
+            assert plan.count("MapInArrow") == 1 and "regexp" not in plan.lower() and "rlike" not in plan.lower()
+            assert "\n".join(r.value for r in sorted(records.collect(), key=lambda r: (r.block, r.seq))) == want
+            read = split_text.read_delimited(spark, str(path), "\t", charset)
+            assert "parquet" not in planned(read).lower() and read.columns == ["Name", "Note"]
+            assert read.count() == 22
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_wide_file_that_ends_inside_a_character_is_refused(spark, tmp_path):
+    from docketry.sources import split_text
+
+    (tmp_path / "o.txt").write_bytes("a\tb\nc\td\n".encode("utf-16-le") + b"e")
+    with pytest.raises(ValueError, match="inside a character"):
+        split_text.read_delimited(spark, str(tmp_path / "o.txt"), "\t", "UTF-16LE")
+
+
+def test_states_of_a_text_are_those_of_its_lines(spark):
+    from itertools import product
+
+    import numpy as np
+
+    from docketry.sources import split_text
+
+    lines = ["".join(p) for n in range(6) for p in product('",a', repeat=n)]
+    rules = spark.createDataFrame([(x,) for x in lines], "value string").select("value", *split_text.quote_rules(F.col("value"), ",")).collect()
+    ends = {False: {r[0]: r[1] for r in rules}, True: {r[0]: r[2] for r in rules}}
+    assert len(ends[True]) == 364
+    for first in (False, True):
+        state, want = first, []
+        for x in lines:
+            state = ends[state][x]
+            want.append(state)
+        for charset, kind in (("utf-8", "u1"), ("utf-16-le", "<u2"), ("utf-16-be", ">u2")):
+            units = np.frombuffer("\n".join([*lines, ""]).encode(charset), kind)
+            feeds, states = split_text._states(units, True, ",")
+            assert len(feeds) == len(lines) and states[first].tolist() == [*want, want[-1]]
+
+
 def test_a_record_is_parsed_once(spark, tmp_path):
     from docketry.sources import split_text
 
