@@ -333,7 +333,8 @@ def records_of(spark: SparkSession, path: str, sep: str, charset: str = "UTF-8")
 
 def read_delimited(spark: SparkSession, path: str, sep: str, charset: str = "UTF-8") -> DataFrame:
     """All cells of the files under `path` as text, one row per record; each file has the same
-    header. Line ends inside cells come out as line feeds. An empty file has no records."""
+    header. Line ends inside cells come out as line feeds. An empty file has no records. Each action on
+    the rows reads the files again; cut their lineage where many do."""
     lines, places, header = scanned(spark, path, sep, charset)
     names = ["_c0"] if header is None else header_names(header, sep)
     body = lines.mapInArrow(_records(places, UNITS[charset], sep, False), "value binary").select(F.col("value").cast("string").alias("value"))
